@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 PROBE = f"{END}{START}assistant ok"
@@ -110,6 +110,7 @@ def format_log(events: DataFrame) -> DataFrame:
 
     A null conv_id is a conversation of its own, null turns come first.
     """
+    small_batches(events.sparkSession)
     turns = messages(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "message", "role", "text"))).alias("turns"))
     mask = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 #: A word: after A-Z are lower-cased, a longest run of these characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Text bytes that a Python worker holds at once, besides a single longer text.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+ARROW_ROWS = 1000
 #: Most rows of a table of a few numbers and words that is broadcast; beyond that the same join is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -43,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session pass texts to Python workers in Arrow batches of ARROW_ROWS at most: batches of long rows fill workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has been counted to have few rows. df is to be a written table."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

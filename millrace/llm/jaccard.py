@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, small, table, written
+from .common import pieces, small, small_batches, table, written
 from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     if threshold < THRESHOLD:
         raise ValueError(f"sketches are sized for thresholds of {THRESHOLD} or more")
+    small_batches(docs.sparkSession)
     runs = runs_for(recall)
     rows = written(embeddings(docs, runs), "embedded")
     known = rows.where("class is not null and doc_id is not null")

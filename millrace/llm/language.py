@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import pieces, table
+from .common import pieces, small_batches, table
 
 UNKNOWN = "und"
 #: Bounds of the fit: labelled rows drawn for a language, by hash, and symbols of their text kept for its automaton.
@@ -188,6 +188,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     `und` with score 0 where the text is null or has no letter, or where no language was learned; ties between
     languages go to the first by name; whatever other columns there are stay.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
     names = [*docs.columns, "lang_pred", "score"]

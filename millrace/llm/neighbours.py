@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import table, written
+from .common import small_batches, table, written
 
 TOP, QUERY_EVERY = 20, 20
 #: Centroids of a half; vectors drawn by hash to fit them; rounds of k-means.
@@ -115,6 +115,7 @@ def nearest(vectors: DataFrame, is_query, top: int = TOP, share: float = SHARE,
     rows repeated under one vec_id count once, by their smallest vector. Unusable vectors (see usable) take no part.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     each = written(usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     total = each.count()
     draw = each.select("v", F.xxhash64(F.lit("fit"), "vec_id").alias("draw")).where(F.pmod("draw", F.lit(max(1, total))) < 2 * SAMPLE)

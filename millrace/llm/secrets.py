@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import pieces, table
+from .common import pieces, small_batches, table
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "checked")
@@ -119,6 +119,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             found = [[{"kind": KINDS[k], "start": a, "end": z} for a, k, z in spans(t, words)] for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["key", "spans"])
 
+    small_batches(docs.sparkSession)
     plain = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     return plain.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>").withColumnRenamed("key", key)
 
@@ -144,6 +145,7 @@ def spark_digest(found: DataFrame) -> DataFrame:
 def without_secrets(docs: DataFrame) -> DataFrame:
     """docs without the rows that hold a secret; columns stay."""
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = automaton()

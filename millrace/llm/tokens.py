@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import pieces, small_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -85,6 +85,7 @@ def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataF
             texts = [t or "" for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(known.counts(texts), pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())], ["doc_id", "n_tokens", "n_bytes"])
 
+    small_batches(docs.sparkSession)
     plain = docs.select("doc_id", "text")
     n = plain.mapInArrow(run, f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, n_bytes bigint")
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
