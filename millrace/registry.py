@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import aggregation, events, extraction, ingest, matching, ordering, quality, scalars, variants  # noqa: F401  they register themselves
+from .plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
