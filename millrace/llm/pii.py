@@ -82,9 +82,8 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), lambda a, i: a + F.when(i % 2 == 1, twice(place(i))).otherwise(place(i)))
 
 
-def surrogate(kind: Column, canon: Column, attempt: int, key: str) -> Column:
-    """The attempt-th replacement of a canonical entity, in canonical form."""
-    a = _digest(kind, canon, attempt, key)
+def surrogate(kind: Column, canon: Column, a: Column, attempt: int, key: str) -> Column:
+    """The attempt-th replacement of a canonical entity, in canonical form; a is its digest, a column of its own."""
     from_digest = lambda d, alphabet, i: F.substring(F.lit(alphabet), _byte(d, i) % len(alphabet) + 1, F.lit(1))
     chars = lambda text, digest: F.array_join(
         F.transform(
@@ -131,7 +130,9 @@ def mapping(entities: DataFrame, key: str = KEY, attempts: int = ATTEMPTS) -> Da
     entities = written(entities.select("kind", "canon").distinct(), "entities")
     left, done = entities, None
     for attempt in range(attempts):
-        tried = left.withColumn("new", surrogate(F.col("kind"), F.col("canon"), attempt, key))
+        # the shuffle keeps the digest a column: inlined, it would be computed anew for every character
+        keyed = left.withColumn("_a", _digest(F.col("kind"), F.col("canon"), attempt, key)).repartition("kind", "canon")
+        tried = keyed.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("_a"), attempt, key)).drop("_a")
         real = entities.select("kind", F.col("canon").alias("new"))
         free = tried.join(real, ["kind", "new"], "left_anti")
         if done is not None:
