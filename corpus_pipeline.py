@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from millrace.llm import decontamination, jaccard, language, mixing, secrets
 from millrace.llm.common import table, written
 
-#: A document is rejected when its language cannot be told or differs from its label with at least this score.
-SURE = 0.9
+#: A document is rejected when its language cannot be told, or when it has so many characters and its language differs
+#: from its label with at least this score: short texts may be licence lines or addresses in no language of their own.
+SURE, LEAST_CHARS = 0.95, 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language and those whose text is surely in another one than their label says."""
     model = language.fit(docs.where(language.crc_mod3() != 1).select("doc_id", "text", "lang"))
     said = language.predicted(docs, model)
-    other = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE)
+    other = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE) & (F.length("text") >= LEAST_CHARS)
     return said.where((F.col("lang_pred") != language.UNKNOWN) & ~other).select(*docs.columns)
 
 

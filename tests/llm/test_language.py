@@ -32,3 +32,10 @@ def test_odd_rows_and_clashing_columns(spark):
     empty = docs.limit(0)
     assert language.predicted(empty, language.fit(empty)).collect() == []
     assert language.predicted(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_mislabelled_samples_are_left_out():
+    words = {"a": "the cat sat on the mat and the dog ran to the house with a ball", "b": "le chat est sur la table avec le chien dans la maison et le jardin"}
+    texts = {"a": [words["a"], words["a"][::2], words["a"][4:], words["b"]], "b": [words["b"], words["b"][3:], words["b"][6:]]}
+    assert words["b"] not in language.consistent(texts)["a"]
+    assert language.consistent({"a": ["x y"]}) == {"a": ["x y"]}
