@@ -7,7 +7,7 @@ large on a further one, up to DEPTH, and compares small buckets by brute force o
 with other tokens repeat until a pair at the threshold is met with the target recall. What is met that way, with
 room for the sketch's error, forms clusters; every pair inside a cluster is then checked exactly on the shingles.
 
-Buckets and clusters over BLOCK rows are dealt out as pairs of blocks, so a group of copies of any size is spread
+Larger buckets and clusters are dealt out as pairs of blocks, so a group of copies of any size is spread
 over tasks that hold two blocks. Tasks return counts and the links of a spanning forest, never all pairs.
 """
 
@@ -27,8 +27,8 @@ from .components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 MINHASHES, DEPTH = 128, 3
-#: A bucket of at most so many is small; a block has at most so many.
-SMALL, BLOCK = 64, 256
+#: A bucket of at most so many is small; a block of sketches and one of whole sets have about so many.
+SMALL, BLOCK, SET_BLOCK = 64, 1024, 512
 #: A sketch says a pair may be similar down to so many standard errors below the threshold.
 ERRORS = 4.0
 
@@ -142,7 +142,7 @@ def leaves(sets: DataFrame, runs: int, depth: int, small: int) -> DataFrame:
     return out
 
 
-def dealt(rows: DataFrame, group: str, n: str, key: str, block: int = BLOCK) -> DataFrame:
+def dealt(rows: DataFrame, group: str, n: str, key: str, block: int) -> DataFrame:
     """rows with _task and _part: groups over `block` as pairs of blocks, each row in all pairs that have its block.
 
     _task is a digest of group and pair, _same says whether the pair is a block with itself, and _part is the
@@ -201,6 +201,37 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def links_of(near: np.ndarray, part: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges that a task adds to its blocks' graph, near being all similar pairs among its rows.
+
+    A block with itself adds a spanning forest. A pair of blocks adds only what joins different components of the
+    two, which their own tasks have joined inside: a group of similar rows costs a pair one edge, not one a row.
+    """
+    if same:
+        return forest(near)
+    label = np.arange(len(near))
+    for root, member in forest(near & (part[:, None] == part[None, :])):
+        label[member] = root
+    i, j = np.nonzero(near & (part[:, None] < part[None, :]))
+    if not len(i):
+        return []
+    _, first = np.unique(label[i] * len(near) + label[j], return_index=True)
+    top = list(range(len(near)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        x, y = find(int(label[a])), find(int(label[b]))
+        if x != y:
+            top[y] = x
+            out.append((a, b))
+    return out
+
+
 def met_in_buckets(columns: dict[str, list]) -> list[tuple]:
     """Links between representatives of a bucket whose sketches are near enough."""
     rep = np.array(columns["rep"])
@@ -209,9 +240,7 @@ def met_in_buckets(columns: dict[str, list]) -> list[tuple]:
     error = math.sqrt(THRESHOLD * (1 - THRESHOLD) / MINHASHES)
     least = MINHASHES * (THRESHOLD - ERRORS * error)
     near = np.stack([(sketch == s).sum(axis=1) >= least for s in sketch])
-    if not columns["_same"][0]:  # pairs of one block have a task of their own
-        near &= part[:, None] != part[None, :]
-    return [(int(rep[i]), int(rep[j])) for i, j in forest(near) if rep[i] != rep[j]]
+    return [(int(rep[i]), int(rep[j])) for i, j in links_of(near, part, columns["_same"][0])]
 
 
 def exact(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -241,10 +270,9 @@ def linked_in_clusters(threshold: float) -> Callable[[dict[str, list]], list[tup
         """(a, b, 0) for links of a spanning forest and (rep, n, 1) for a representative's number of links here."""
         rep, part = np.array(columns["rep"]), np.array(columns["_part"])
         near = exact([np.frombuffer(s, np.uint64) for s in columns["set"]], threshold)
-        if not columns["_same"][0]:
-            near &= part[:, None] != part[None, :]
-        links = near.sum(axis=1)
-        return [(int(rep[i]), int(rep[j]), 0) for i, j in forest(near)] + [(int(r), int(n), 1) for r, n in zip(rep, links, strict=True) if n]
+        same = columns["_same"][0]
+        links = (near if same else near & (part[:, None] != part[None, :])).sum(axis=1)
+        return [(int(rep[i]), int(rep[j]), 0) for i, j in links_of(near, part, same)] + [(int(r), int(n), 1) for r, n in zip(rep, links, strict=True) if n]
 
     return work
 
@@ -277,13 +305,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     member = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     sets = written(member, "sets")
     buckets = leaves(sets, runs, DEPTH, SMALL).join(sets.select("rep", "sketch"), "rep")
-    met = by_task(dealt(buckets, "path", "n", "rep"), ["rep", "sketch", "_part", "_same"], ["a", "b"], met_in_buckets)
+    met = by_task(dealt(buckets, "path", "n", "rep", BLOCK), ["rep", "sketch", "_part", "_same"], ["a", "b"], met_in_buckets)
     clusters = components(written(met.distinct(), "met"))
     number = clusters.groupBy("root").agg(F.count("*").alias("n"))
     cluster = written(clusters.join(number, "root").select(F.col("node").alias("rep"), "root", "n"), "clusters")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small(cluster), "rep").dropDuplicates(["rep"])
     full = shingle_sets(texts, ["rep", "root", "n"])
-    links = written(by_task(dealt(full, "root", "n", "rep"), ["rep", "set", "_part", "_same"], ["a", "b", "kind"], linked_in_clusters(threshold)), "linked")
+    links = written(by_task(dealt(full, "root", "n", "rep", SET_BLOCK), ["rep", "set", "_part", "_same"], ["a", "b", "kind"], linked_in_clusters(threshold)), "linked")
     joined = components(links.where("kind = 0").select("a", "b"))
     degree = links.where("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n_links"))
     best = sets.select("class", "rep", "n_copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")

@@ -34,7 +34,7 @@ def test_like_all_pairs(spark, monkeypatch):
 
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
-    monkeypatch.setattr(jaccard.dealt, "__defaults__", (8,))
+    monkeypatch.setattr(jaccard, "SET_BLOCK", 6)
     texts = copies(12)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert found(jaccard.near_duplicates(docs)) == jaccard.brute_force(texts)
@@ -57,3 +57,13 @@ def test_hashes_agree_with_words():
     assert len(a) == 2 and len(b) == 1 and b[0] in a and len(c) == 1
     near = jaccard.exact([np.arange(10, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64), np.arange(5, 30, dtype=np.uint64)], 0.8)
     assert near.tolist() == [[False, True, False], [True, False, False], [False, False, False]]
+
+
+def test_pairs_of_blocks_add_only_what_joins():
+    near = np.ones((6, 6), bool)
+    part = np.array([0, 0, 0, 1, 1, 1])
+    assert len(jaccard.links_of(near, part, True)) == 5 and len(jaccard.links_of(near, part, False)) == 1
+    near = np.eye(6, dtype=bool)
+    near[0, 3] = near[3, 0] = near[1, 3] = near[3, 1] = near[4, 2] = near[2, 4] = True
+    assert sorted(jaccard.links_of(near, part, False)) == [(0, 3), (1, 3), (2, 4)]
+    assert jaccard.links_of(np.eye(6, dtype=bool), part, False) == []
