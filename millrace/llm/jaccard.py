@@ -124,19 +124,20 @@ def embeddings(docs: DataFrame, runs: int, depth: int = DEPTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, class binary, size bigint, sketch binary, paths array<bigint>")
 
 
-def leaves(sets: DataFrame, runs: int, depth: int, small: int) -> DataFrame:
+def leaves(sets: DataFrame, runs: int, depth: int, most: int) -> DataFrame:
     """path, rep, n: the bucket that each set ends in, run by run, of those that hold n >= 2 sets."""
     run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
     open_ = sets.select("rep", "paths", run.alias("run")).select("rep", F.slice("paths", F.col("run") * depth + 1, depth).alias("paths"))
     out = None
     for d in range(depth):
         path = F.col("paths")[d]
-        n = open_.groupBy(path.alias("path")).agg(F.count("*").alias("n")).where("n > 1")
-        each = open_.withColumn("path", path).join(n, "path")
+        # few paths are shared: their counts go to the sets, or both are shuffled where there are too many
+        n = written(open_.groupBy(path.alias("path")).agg(F.count("*").alias("n")).where("n > 1"), f"counts{d}")
+        each = open_.withColumn("path", path).join(small(n), "path")
         if d + 1 < depth:
             each = written(each, f"paths{d}")
-            open_ = each.where(F.col("n") > small).select("rep", "paths")
-            each = each.where(F.col("n") <= small)
+            open_ = each.where(F.col("n") > most).select("rep", "paths")
+            each = each.where(F.col("n") <= most)
         each = each.select("path", "rep", "n")
         out = each if out is None else out.unionByName(each)
     return out
