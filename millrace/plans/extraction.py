@@ -41,15 +41,6 @@ def e01_candidates(spark, sf_dir):
     return extraction.candidates(_product_pages(spark, sf_dir)).groupBy("page_id").agg(F.count("*").cast("int").alias("candidates"))
 
 
-@query("""select p_partkey, p_size * 2 as n, case when p_size % 2 = 0 then p_size + 0.0 end::double as price, 'c' || p_size % 4 as color from part""")
-def e16_colors_by_sizes(spark, sf_dir):
-    """Colour times size, one variant a pair, available ones first."""
-    size = F.sequence(F.lit(1), F.col("p_size"))
-    each = Tables(spark, sf_dir).part.select("p_partkey", "p_size", F.explode(size).alias("size")).withColumn("take", F.explode(F.array(F.lit(True), F.lit(False), F.lit(True))))
-    pairs = each.select("p_partkey", "p_size", "size", F.when(F.col("take"), "a").otherwise("b").alias("kind")).distinct()
-    return pairs.groupBy("p_partkey", "p_size").agg(F.count("*").cast("int").alias("n")).select("p_partkey", "n", F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("double")).alias("price"), F.concat(F.lit("c"), (F.col("p_size") % 4).cast("string")).alias("color"))
-
-
 @query("""with l as (select p_partkey, ['Shop', p_name, 'AED ' || p_size, 'Choose a size', 'S', 'M', 'Details', p_type] as l from part) select p_partkey, l[2] as title, p_size::double as price, 'S,M' as sizes from l join part using (p_partkey)""")
 def e27_line_windows(spark, sf_dir):
     """Line-oriented pages: a title before the price line, sizes between a marker and a stop."""
