@@ -65,14 +65,14 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches whose text column holds about BATCH_BYTES, at least a row each."""
+def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose text column holds about `limit` bytes, at least a row each."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(text)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             held += n or 0
-            if held >= BATCH_BYTES:
+            if held >= limit:
                 yield batch.slice(start, i + 1 - start)
                 start, held = i + 1, 0
         if start < batch.num_rows:

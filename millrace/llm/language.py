@@ -24,6 +24,8 @@ UNKNOWN = "und"
 #: symbols kept for the automaton. Short pieces of many texts: a text that is copied elsewhere, or is partly in another
 #: language, cannot lend a language more than a few words.
 SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 500, 150, 60_000
+#: Text bytes that a worker walks in step: the more, the less a step costs a text.
+STEP_BYTES = 8 << 20
 #: Letters that have a symbol of their own, the most frequent of the samples; all others share one.
 ALPHABET = 60
 
@@ -212,7 +214,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     names = [*docs.columns, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, text):
+        for part in pieces(batches, text, STEP_BYTES):
             got = held.value.predict(part.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names)
 
