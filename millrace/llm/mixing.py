@@ -1,13 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell of source, language and topic. The cells' weights are raked to the target shares of each
-margin in turn until all hold, and a document is drawn with its cell's calibrated probability by a digest of its
-id, so a rerun draws the same. Values without a target of their own share one cell each ("other"), so the number of
+margin in turn until all hold, with no document drawn more often than allowed: cells at that bound are fixed and the
+others raked on. A document is drawn with its cell's calibrated probability by a digest of its id, so a rerun draws
+the same. Values without a target of their own share one cell each ("other"), so the number of
 cells is bounded by the targets given, not by the data, and the fit runs on the driver.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,6 +21,11 @@ from .common import table
 
 OTHER = "other"
 MARGINS = ("source", "lang", "topic")
+#: Sweeps of a fit at most, and the change of a weight below which it has settled; targets that exclude one another never
+#: do, and are reported. LEAST and its inverse bound the factors of those.
+MOST_SWEEPS, SETTLED, LEAST = 5000, 1e-13, 1e-100
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -29,8 +37,9 @@ class Targets:
     topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.8, "tabular": 0.1, "short": 0.1})
     #: Share of all tokens to draw.
     budget: float = 0.5
-    #: Times that a document may be drawn at most.
+    #: Times that a document may be drawn at most; a bound of the fit.
     repeats: int = 4
+    #: Sweeps that the SQL writes out; the fit here runs until it has settled.
     sweeps: int = 40
 
     def shares(self, margin: str) -> dict[str, float]:
@@ -58,28 +67,82 @@ def in_cells(docs: DataFrame, targets: Targets) -> DataFrame:
     return docs.withColumns(named | {"_tokens": n_words(F.col("text"))})
 
 
-def rake(cells: dict[tuple[str, str, str], float], targets: Targets) -> dict[tuple[str, str, str], float]:
+def _factor(pairs: list[tuple[float, float]], want: float) -> float:
+    """The factor f with sum(min(most, f * x)) = want over pairs (x, most); the least that fills all if want is beyond their sum."""
+    full, rest = 0.0, sum(x for x, _ in pairs)
+    for x, most in sorted(pairs, key=lambda p: p[1] / p[0]):  # in the order in which they reach their bound
+        f = (want - full) / rest
+        if f * x <= most:
+            return max(0.0, f)
+        full, rest, last = full + most, rest - x, most / x
+    return last
+
+
+def goals(targets: Targets, margin: str, room: dict[str, float]) -> dict[str, float]:
+    """Shares of a margin's values that sum to 1, none above its room; what has no room is spread over the others' shares."""
+    want, full = {v: targets.shares(margin).get(v, 0.0) for v, x in room.items() if x > 0}, {}
+    while (scale := sum(want.values())) > 0:
+        left = max(0.0, 1 - sum(full.values()))
+        if not (over := [v for v, x in want.items() if x * left / scale > room[v]]):
+            return full | {v: x * left / scale for v, x in want.items()}
+        full |= {v: room[v] for v in over}
+        want = {v: x for v, x in want.items() if v not in full}
+    return full | want
+
+
+def rake(cells: dict[tuple[str, str, str], float], targets: Targets, most: dict[tuple[str, str, str], float] | None = None) -> dict[tuple[str, str, str], float]:
     """Weights of the cells, summing to 1, whose margins are the targets' as far as the cells allow.
 
-    Shares of values that no cell has are spread over the others of their margin. A sweep scales each margin once.
+    No weight exceeds its cell's `most`: the cells at their bound stay there and the others are scaled until the
+    margins hold. Shares that values have no cells or no room for are spread over the others of their margin. A sweep
+    fits each margin once; sweeps end when no weight moves.
     """
     total = sum(cells.values())
-    w = {c: n / total for c, n in sorted(cells.items())} if total else {}
-    for _ in range(targets.sweeps):
+    u = {c: n / total for c, n in sorted(cells.items()) if n > 0} if total else {}
+    most = most or {}
+    held = lambda: {c: min(x, most.get(c, math.inf)) for c, x in u.items()}
+    w = held()
+    for _ in range(MOST_SWEEPS):
         for i, m in enumerate(MARGINS):
-            have: dict[str, float] = {}
-            for c, x in w.items():
-                have[c[i]] = have.get(c[i], 0.0) + x
-            want = {v: targets.shares(m).get(v, 0.0) for v, x in have.items() if x > 0}
-            scale = sum(want.values())
-            w = {c: (x * want[c[i]] / scale / have[c[i]] if scale > 0 and have[c[i]] > 0 else x) for c, x in w.items()}
-    return w
+            by: dict[str, list[tuple[str, str, str]]] = {}
+            for c, x in u.items():
+                if x > 0:
+                    by.setdefault(c[i], []).append(c)
+            want = goals(targets, m, {v: sum(most.get(c, math.inf) for c in cs) for v, cs in by.items()})
+            if sum(want.values()) > 0:
+                f = {v: _factor([(u[c], most.get(c, math.inf)) for c in cs], want.get(v, 0.0)) for v, cs in by.items()}
+                u = {c: min(max(x * f[c[i]], LEAST), 1 / LEAST) if x > 0 and f[c[i]] > 0 else 0.0 for c, x in u.items()}
+        was, w = w, held()
+        if all(abs(x - was[c]) <= SETTLED for c, x in w.items()):
+            break
+    return {c: w.get(c, 0.0) for c in sorted(cells)} if total else {}
 
 
 def rates(cells: dict[tuple[str, str, str], float], targets: Targets) -> dict[tuple[str, str, str], float]:
-    """Expected number of times that each cell's documents are drawn."""
-    total, w = sum(cells.values()), rake(cells, targets)
-    return {c: min(float(targets.repeats), targets.budget * total * w[c] / n) if n else 0.0 for c, n in cells.items()}
+    """Expected number of times that each cell's documents are drawn, `repeats` at most.
+
+    The bound is part of the fit. Warns of the values whose targets, or of a budget, that the bound or the cells leave
+    out of reach.
+    """
+    total = sum(cells.values())
+    drawn = targets.budget * total
+    w = rake(cells, targets, {c: targets.repeats * n / drawn for c, n in cells.items()} if drawn else None)
+    rate = {c: min(float(targets.repeats), drawn * w[c] / n) if n else 0.0 for c, n in cells.items()}
+    if missed := [f"{m} {v}: {got:.4f} for {want:.4f}" for m, v, want, got in reached(cells, rate, targets) if abs(got - want) > 1e-6]:
+        log.warning("the mix misses targets: %s", "; ".join(missed))
+    return rate
+
+
+def reached(cells: dict[tuple[str, str, str], float], rate: dict[tuple[str, str, str], float], targets: Targets) -> list[tuple[str, str, float, float]]:
+    """(margin, value, target, expected share of the drawn tokens), and the budget with the expected share of all tokens."""
+    total, drawn = sum(cells.values()), {c: rate[c] * n for c, n in cells.items()}
+    if not (all_drawn := sum(drawn.values())):
+        return []
+    out = [("budget", "", targets.budget, all_drawn / total)]
+    for i, m in enumerate(MARGINS):
+        values = targets.shares(m) | {c[i]: targets.shares(m).get(c[i], 0.0) for c in cells}
+        out += [(m, v, x, sum(d for c, d in drawn.items() if c[i] == v) / all_drawn) for v, x in values.items()]
+    return out
 
 
 def chance(key: Column) -> Column:

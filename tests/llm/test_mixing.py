@@ -16,6 +16,28 @@ def test_margins_are_met():
     assert sum(mixing.rates(cells, targets)[c] * n for c, n in cells.items()) == pytest.approx(0.5 * sum(cells.values()))
 
 
+def test_bound_is_part_of_the_fit():
+    # (a, en, short) alone would be drawn 10 times for the margins; the other cells can take up what it leaves
+    cells = {("a", "en", "short"): 10.0, ("a", "fr", "short"): 40.0, ("other", "en", "short"): 40.0, ("a", "fr", "prose"): 200.0, ("other", "fr", "prose"): 900.0, ("a", "en", "prose"): 10.0, ("other", "en", "prose"): 60.0}
+    targets = mixing.Targets(source={"a": 0.5}, lang={"en": 0.5, "fr": 0.5}, topic={"prose": 0.6, "short": 0.4}, budget=0.3)
+    assert max(mixing.rake(cells, targets)[c] * 0.3 * 1260 / n for c, n in cells.items()) > 4
+    rate = mixing.rates(cells, targets)
+    assert max(rate.values()) == pytest.approx(4) and min(rate.values()) >= 0
+    for margin, value, want, got in mixing.reached(cells, rate, targets):
+        assert got == pytest.approx(want, abs=1e-9), (margin, value)
+
+
+def test_targets_out_of_reach_fill_the_bound_and_are_told(caplog):
+    cells = {("a", "en", "short"): 1.0, ("other", "en", "prose"): 500.0, ("a", "en", "prose"): 499.0}
+    targets = mixing.Targets(source={"a": 0.5}, lang={"en": 1.0}, topic={"prose": 0.9, "short": 0.1})
+    rate = mixing.rates(cells, targets)
+    got = {(m, v): x for m, v, _, x in mixing.reached(cells, rate, targets)}
+    assert rate["a", "en", "short"] == pytest.approx(4)
+    assert got["topic", "short"] == pytest.approx(4 / 500) and got["topic", "prose"] == pytest.approx(496 / 500)
+    assert got["source", "a"] == pytest.approx(0.5) and got["budget", ""] == pytest.approx(0.5)
+    assert "topic short: 0.0080 for 0.1000" in caplog.text
+
+
 def test_expected_tokens_and_odd_rows(spark):
     rows = [(i, "w " * 60 + "x" * 200, "en" if i % 2 else "fr", "src0" if i % 3 else "q", 1, "z") for i in range(600)]
     rows += [(1000, None, "en", "q", 0, "z"), (1001, "", "en", None, 0, "z"), (None, "some words here", None, None, 1, "z"), (5, rows[5][1], "en", "src0", 1, "z")]
