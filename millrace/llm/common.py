@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unwritten(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Has the session pass texts to Python workers in Arrow batches of ARROW_ROWS at most: batches of long rows fill workers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

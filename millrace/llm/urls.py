@@ -14,11 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unwritten, written
 
 #: (verdict, host, path); a rule fits its host and all subdomains whose path starts with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, TOLERANCE, RATIO = 0.85, 10, 1e-6, 2.0
+DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 2.0
+#: Rounds that the SQL writes out, which is whole only where hosts are not linked.
+ROUNDS = 10
+#: Rounds in which ranks must have settled: about 90, and one for each link of the longest way from a seed.
+MOST_ROUNDS = 1000
 #: Absolute and protocol-relative targets of anchors; group 1 is the host, up to a path, query, fragment or quote.
 ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,11 +57,12 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return parts.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust: starting shares) over edges (src, dst, links).
 
-    Trust runs from src to dst, distrust from dst to src. Ends after `rounds`, or when no value moves by more than
-    `tolerance`. Each round is written, as the next one reads it twice.
+    Trust runs from src to dst, distrust from dst to src. Ends when no value moves by more than `tolerance` of itself,
+    however small it is, so every host that a seed reaches has its rank, and raises if MOST_ROUNDS do not get there.
+    With `rounds` it ends after as many instead. Each round is written, as the next one reads it twice.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "links").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "links")
@@ -68,16 +73,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         seeds.select("host", F.explode(F.create_map(F.lit("trust"), F.col("trust"), F.lit("distrust"), F.col("distrust"))).alias("kind", "start")).where("start > 0"),
         "seeds",
     )
-    rank = start.select("kind", "host", F.col("start").alias("value"))
-    for _ in range(rounds):
+    rank, last = start.select("kind", "host", F.col("start").alias("value")), None
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         moved = both.join(rank, (both["kind"] == rank["kind"]) & (both["from"] == rank["host"])).select(both["kind"], F.col("to").alias("host"), (F.col("share") * F.col("value") * damping).alias("value"))
         began = start.select("kind", "host", (F.col("start") * (1 - damping)).alias("value"))
         new = written(moved.unionByName(began).groupBy("kind", "host").agg(F.sum("value").alias("value")), "rank")
-        change = new.unionByName(rank.select("kind", "host", (-F.col("value")).alias("value"))).groupBy("kind", "host").agg(F.abs(F.sum("value")).alias("by"))
-        most = change.agg(F.max("by").alias("by")).first()["by"] or 0.0
-        rank = new
-        if most <= tolerance:
+        change = new.withColumn("by", F.col("value")).unionByName(rank.select("kind", "host", F.lit(0.0).alias("value"), (-F.col("value")).alias("by")))
+        moves = change.groupBy("kind", "host").agg(F.sum("value").alias("value"), F.abs(F.sum("by")).alias("by"))
+        unsettled = moves.where(F.col("by") > tolerance * F.col("value")).limit(1).count()
+        if last is not None:
+            unwritten(last)
+        rank = last = new
+        if not unsettled:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
     either = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0)).alias(kind)
     return rank.groupBy("host").agg(either("trust"), either("distrust"))
 

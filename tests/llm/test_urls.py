@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from millrace.llm import urls
@@ -49,6 +50,32 @@ def test_against_power_iteration(spark):
             assert (got[h][kind] or 0.0) == pytest.approx(rank[h], abs=1e-12)
 
 
+def test_ranks_settle_on_a_long_chain_and_a_cycle(spark, monkeypatch):
+    ring, chain = [f"r{i:02}.net" for i in range(12)], [f"n{i:02}.net" for i in range(14)]
+    links = {(a, b): 1 for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)} | {(a, b): 1 for a, b in zip(chain, [*chain[1:], "d.com"], strict=True)}
+    links |= {("a.org", "r00.net"): 1, ("r05.net", "d.com"): 2, ("r11.net", "n00.net"): 1}
+    hosts = sorted({h for e in links for h in e})
+    rows = [(i, f"http://{h}{'/de/x' if h == 'd.com' else '/x'}", "".join(f'<a href="//{t}">' * n for (s, t), n in links.items() if s == h)) for i, h in enumerate(hosts)]
+    pages = judged(spark, rows)
+    got = {r["host"]: r for r in pages.values()}
+    exact = {}
+    for kind, seed, edges in (("trust", "a.org", links), ("distrust", "d.com", {(t, s): n for (s, t), n in links.items()})):
+        at = {h: i for i, h in enumerate(hosts)}
+        m = np.eye(len(hosts))
+        for (s, t), n in edges.items():
+            m[at[t], at[s]] -= 0.85 * n / sum(k for (f, _), k in edges.items() if f == s)
+        exact[kind] = dict(zip(hosts, np.linalg.solve(m, [0.15 * (h == seed) for h in hosts]), strict=True))
+        for h in hosts:
+            assert (got[h][kind] or 0.0) == pytest.approx(exact[kind][h], rel=1e-4), (kind, h)
+    for h in set(hosts) - {"a.org", "d.com"}:
+        assert got[h]["verdict"] == ("block" if exact["distrust"][h] >= 2 * exact["trust"][h] else "allow"), h
+    far = [(i, f"http://{h}{'/de/x' if h == 'd.com' else '/x'}", f'<a href="//{t}">' if t else "") for i, (h, t) in enumerate(zip([*chain, "d.com"], [*chain[1:], "d.com", ""], strict=True))]
+    assert {r["verdict"] for r in judged(spark, far).values()} == {"block"}
+    monkeypatch.setattr(urls, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        judged(spark, far)
+
+
 def test_empty_table(spark):
     assert judged(spark, []) == {}
 
