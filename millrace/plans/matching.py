@@ -41,12 +41,13 @@ def j13_unique_evidence(spark, sf_dir):
 @query("""with s as (select p_partkey as id, p_brand as vendor, upper(replace(p_name, ' ', '')) || p_partkey as sku from part), c as (select distinct p_brand as vendor, (p_partkey % 1000 + 10000)::varchar as code from part where p_partkey % 5 = 0)
     select id, code from s join c using (vendor) where contains(sku || '10500', code)""")
 def j14_code_in_sku(spark, sf_dir):
-    """Codes of a vendor that its SKUs contain."""
+    """Codes of a vendor that its SKUs contain, as an equi-join: codes have five characters."""
     part = Tables(spark, sf_dir).part
+    fives = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 4), lambda i: F.substr(x, i, F.lit(5))))
     sku = F.concat(text.compact(F.col("p_name")), F.col("p_partkey").cast("string"), F.lit("10500"))
-    s = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("vendor"), sku.alias("sku"))
-    c = part.where("p_partkey % 5 = 0").select(F.col("p_brand").alias("vendor"), (F.col("p_partkey") % 1000 + 10000).cast("string").alias("code")).distinct()
-    return s.join(c, "vendor").where(F.contains("sku", "code")).select("id", "code")
+    s = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("vendor"), F.explode(fives(sku)).alias("code"))
+    c = part.select(F.col("p_brand").alias("vendor"), (F.col("p_partkey") % 1000 + 10000).cast("string").alias("code")).distinct()
+    return s.join(c, ["vendor", "code"]).select("id", "code")
 
 
 @query("""with a as (select p_brand, p_name, min(p_partkey) as url from part where p_size % 2 = 0 group by 1, 2 having count(distinct p_partkey) = 1) select p.p_partkey, a.url from part p join a using (p_brand, p_name) where p.p_size % 2 = 1""")
@@ -74,8 +75,8 @@ def j16_token_overlap(spark, sf_dir):
 def j17_weighted_score(spark, sf_dir):
     """The pair with the greatest score, ties rejected."""
     p = Tables(spark, sf_dir).part.select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
-    a = p.where("p_partkey % 10 = 0").withColumnsRenamed({c: f"a_{c}" for c in p.columns if c != "p_name"})
-    b = p.where("p_partkey % 10 = 1")
+    a = p.where("p_partkey % 2 = 0").withColumnsRenamed({c: f"a_{c}" for c in p.columns if c != "p_name"})
+    b = p.where("p_partkey % 2 = 1")
     points = lambda c, n: F.when(F.col(f"a_{c}") == F.col(c), n).otherwise(0)
     pairs = a.join(b, "p_name").select(F.col("a_p_partkey").alias("left_id"), F.col("p_partkey").alias("right_id"), (points("p_type", 1000) + points("p_size", 250) + points("p_brand", 50)).alias("score"))
     return matching.scored_match(pairs, "left_id", "score")
