@@ -30,7 +30,12 @@ log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Targets:
-    """Wanted share of tokens by value of each margin; a share for "other" is what no value names."""
+    """Wanted share of tokens by value of each margin.
+
+    Values that no target names are "other" together. Its share, unless given, is what the named ones leave; where they
+    leave nothing it keeps its natural share of the tokens and the named ones divide the rest, so no unlabelled source
+    is lost unless "other" is given 0. Within a cell all values are drawn at one rate.
+    """
 
     source: dict[str, float] = field(default_factory=lambda: {"src0": 0.2})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1})
@@ -78,9 +83,18 @@ def _factor(pairs: list[tuple[float, float]], want: float) -> float:
     return last
 
 
-def goals(targets: Targets, margin: str, room: dict[str, float]) -> dict[str, float]:
-    """Shares of a margin's values that sum to 1, none above its room; what has no room is spread over the others' shares."""
-    want, full = {v: targets.shares(margin).get(v, 0.0) for v, x in room.items() if x > 0}, {}
+def wanted(cells: dict[tuple[str, str, str], float], targets: Targets, margin: str) -> dict[str, float]:
+    """Target shares of a margin, with the natural one for "other" where the named values leave it none."""
+    shares = targets.shares(margin)
+    if OTHER in getattr(targets, margin) or shares[OTHER] > 1e-9:
+        return shares
+    natural = sum(n for c, n in cells.items() if c[MARGINS.index(margin)] == OTHER) / (sum(cells.values()) or 1.0)
+    return {v: x * (1 - natural) for v, x in shares.items()} | {OTHER: natural}
+
+
+def goals(shares: dict[str, float], room: dict[str, float]) -> dict[str, float]:
+    """A margin's shares of its values that sum to 1, none above its room; what has no room is spread over the others' shares."""
+    want, full = {v: shares.get(v, 0.0) for v, x in room.items() if x > 0}, {}
     while (scale := sum(want.values())) > 0:
         left = max(0.0, 1 - sum(full.values()))
         if not (over := [v for v, x in want.items() if x * left / scale > room[v]]):
@@ -99,7 +113,7 @@ def rake(cells: dict[tuple[str, str, str], float], targets: Targets, most: dict[
     """
     total = sum(cells.values())
     u = {c: n / total for c, n in sorted(cells.items()) if n > 0} if total else {}
-    most = most or {}
+    most, shares = most or {}, {m: wanted(cells, targets, m) for m in MARGINS}
     held = lambda: {c: min(x, most.get(c, math.inf)) for c, x in u.items()}
     w = held()
     for _ in range(MOST_SWEEPS):
@@ -108,7 +122,7 @@ def rake(cells: dict[tuple[str, str, str], float], targets: Targets, most: dict[
             for c, x in u.items():
                 if x > 0:
                     by.setdefault(c[i], []).append(c)
-            want = goals(targets, m, {v: sum(most.get(c, math.inf) for c in cs) for v, cs in by.items()})
+            want = goals(shares[m], {v: sum(most.get(c, math.inf) for c in cs) for v, cs in by.items()})
             if sum(want.values()) > 0:
                 f = {v: _factor([(u[c], most.get(c, math.inf)) for c in cs], want.get(v, 0.0)) for v, cs in by.items()}
                 u = {c: min(max(x * f[c[i]], LEAST), 1 / LEAST) if x > 0 and f[c[i]] > 0 else 0.0 for c, x in u.items()}
@@ -140,7 +154,8 @@ def reached(cells: dict[tuple[str, str, str], float], rate: dict[tuple[str, str,
         return []
     out = [("budget", "", targets.budget, all_drawn / total)]
     for i, m in enumerate(MARGINS):
-        values = targets.shares(m) | {c[i]: targets.shares(m).get(c[i], 0.0) for c in cells}
+        shares = wanted(cells, targets, m)
+        values = shares | {c[i]: shares.get(c[i], 0.0) for c in cells}
         out += [(m, v, x, sum(d for c, d in drawn.items() if c[i] == v) / all_drawn) for v, x in values.items()]
     return out
 

@@ -38,6 +38,20 @@ def test_targets_out_of_reach_fill_the_bound_and_are_told(caplog):
     assert "topic short: 0.0080 for 0.1000" in caplog.text
 
 
+def test_unnamed_values_keep_their_share(spark):
+    cells = {(s, g, "prose"): n for (s, g), n in {("src0", "en"): 300.0, ("other", "en"): 300.0, ("src0", "other"): 100.0, ("other", "other"): 300.0}.items()}
+    targets = mixing.Targets(source={"src0": 0.3}, lang={"en": 1.0}, topic={"prose": 1.0})
+    got = {(m, v): x for m, v, _, x in mixing.reached(cells, mixing.rates(cells, targets), targets)}
+    assert got["lang", "other"] == pytest.approx(0.4) and got["source", "src0"] == pytest.approx(0.3)
+    none = mixing.rates(cells, mixing.Targets(source={"src0": 0.3}, lang={"en": 1.0, "other": 0.0}, topic={"prose": 1.0}))
+    assert none["src0", "other", "prose"] == none["other", "other", "prose"] == 0
+    text = "w " * 100 + "x" * 200
+    docs = spark.createDataFrame([(i, text, "en" if i % 4 else ("it", None)[i % 8 > 0], f"src{i % 5}") for i in range(2000)], "doc_id bigint, text string, lang string, source string")
+    drawn = mixing.sampled(docs, mixing.Targets(source={}, lang={"en": 1.0}, topic={"prose": 1.0})).collect()
+    for lang in ("it", None):
+        assert sum(r["copies"] for r in drawn if r["lang"] == lang) == pytest.approx(125, rel=0.25)
+
+
 def test_expected_tokens_and_odd_rows(spark):
     rows = [(i, "w " * 60 + "x" * 200, "en" if i % 2 else "fr", "src0" if i % 3 else "q", 1, "z") for i in range(600)]
     rows += [(1000, None, "en", "q", 0, "z"), (1001, "", "en", None, 0, "z"), (None, "some words here", None, None, 1, "z"), (5, rows[5][1], "en", "src0", 1, "z")]
