@@ -39,7 +39,7 @@ class Targets:
 
     source: dict[str, float] = field(default_factory=lambda: {"src0": 0.2})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1})
-    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.8, "tabular": 0.1, "short": 0.1})
+    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.91, "tabular": 0.06, "legal": 0.02, "noise": 0.01})
     #: Share of all tokens to draw.
     budget: float = 0.5
     #: Times that a document may be drawn at most; a bound of the fit.
@@ -53,23 +53,36 @@ class Targets:
 
 
 def n_words(text: Column) -> Column:
-    """Tokens as the mix weighs them: longest runs without a space, tab or line end."""
+    """Tokens as the mix weighs them where documents bring no count: longest runs without a space, tab or line end."""
     t = F.coalesce(text, F.lit(""))
     return F.regexp_count(t, F.lit(r"[^ \t\r\n]+")).cast("long")
 
 
+#: A topic's marks, and the words of text to each mark with which a text is of the topic.
+TOPICS = {"tabular": ((" | ",), 10), "noise": (("!!",), 10), "legal": (("icens", "icenc", "opyright", "ICENS", "ICENC", "OPYRIGHT"), 400)}
+
+
 def topic_of(text: Column) -> Column:
-    """The shape of a text, where documents bring no topic: rows of cells, short, or prose."""
+    """What a text is mostly about, where documents bring no topic: rows of cells, shouting, licences, or prose."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.contains(" | "), "tabular").when(F.length(t) < 200, "short").otherwise("prose")
+    count = lambda mark: (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)
+    out = F.lit("prose")
+    for topic, (marks, words) in reversed(TOPICS.items()):
+        n = reduce(Column.__add__, map(count, marks))
+        out = F.when((n > 0) & (n * words >= n_words(text)), topic).otherwise(out)
+    return out
 
 
 def in_cells(docs: DataFrame, targets: Targets) -> DataFrame:
-    """docs with _source, _lang, _topic (their values, or "other") and _tokens."""
+    """docs with _source, _lang, _topic (their values, or "other") and _tokens.
+
+    Columns topic and n_tokens (say, of the token counts' operator) are used where there are such.
+    """
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"))
+    tokens = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)) if "n_tokens" in docs.columns else n_words(F.col("text"))
     own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
     named = {f"_{m}": F.when(c.isin(*(k for k in getattr(targets, m) if k != OTHER)), c).otherwise(OTHER) for m, c in own.items()}
-    return docs.withColumns(named | {"_tokens": n_words(F.col("text"))})
+    return docs.withColumns(named | {"_tokens": tokens})
 
 
 def _factor(pairs: list[tuple[float, float]], want: float) -> float:
@@ -165,21 +178,36 @@ def chance(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def sampled(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa: B008  frozen
+def cell_sums(each: DataFrame) -> dict[tuple[str, str, str], float]:
+    """Tokens by cell: at most one row for each combination of targets."""
+    return {(r["_source"], r["_lang"], r["_topic"]): float(r["n"]) for r in each.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n")).collect()}
+
+
+def margins(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa: B008  frozen
+    """margin, value, target, reached: what the mix of docs expects to draw beside what it was asked for."""
+    cells = cell_sums(in_cells(docs, targets))
+    return docs.sparkSession.createDataFrame(reached(cells, rates(cells, targets), targets), "margin string, value string, target double, reached double")
+
+
+def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None = None) -> DataFrame:  # noqa: B008  frozen
     """docs drawn for the mix, with n_tokens, rate and copies; documents drawn no time are left out.
 
     copies is the rate rounded down, and one more with the chance of the rest. Null sources and languages are
-    "other"; null and empty texts have no tokens and are never drawn; repeated rows are drawn alike. A topic column
-    is used if there is one.
+    "other"; null and empty texts have no tokens and are never drawn; repeated rows are drawn alike; texts of any length
+    are counted whole. Columns topic and n_tokens are used if there are such; columns rate and copies are replaced.
+    miss: raises if a share is further than this from its target, rather than warn.
     """
+    columns = [c for c in docs.columns if c not in ("n_tokens", "rate", "copies")]
     each = in_cells(docs, targets)
     keys = ["_source", "_lang", "_topic"]
-    sums = each.groupBy(*keys).agg(F.sum("_tokens").alias("n")).collect()  # at most one row for each combination of targets
-    rate = rates({(r["_source"], r["_lang"], r["_topic"]): float(r["n"]) for r in sums}, targets)
-    known = docs.sparkSession.createDataFrame([(*c, x) for c, x in sorted(rate.items())], "_source string, _lang string, _topic string, rate double")
+    cells = cell_sums(each)
+    rate = rates(cells, targets)
+    if miss is not None and (bad := [f"{m} {v}: {got:.4f} for {want:.4f}" for m, v, want, got in reached(cells, rate, targets) if abs(got - want) > miss]):
+        raise ValueError(f"targets out of reach: {'; '.join(bad)}")
+    known = docs.sparkSession.createDataFrame([(*c, x) for c, x in sorted(rate.items())], "_source string, _lang string, _topic string, _rate double")
     drawn = each.join(F.broadcast(known), keys).where("_tokens > 0")
-    copies = F.floor("rate") + (chance(F.col("doc_id")) < F.col("rate") - F.floor("rate")).cast("long")
-    return drawn.withColumn("copies", copies).where("copies > 0").select(*docs.columns, F.col("_tokens").alias("n_tokens"), F.col("rate"), "copies")
+    copies = F.floor("_rate") + (chance(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")
+    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,25 +216,39 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql(targets: Targets = Targets()) -> str:  # noqa: B008
-    """The same in SQL over a table of documents, with the sweeps written out."""
+    """The same in SQL over a table of documents, with the sweeps written out; whole where the bound leaves the targets in reach."""
     name = lambda m: f"case when {m} in ({', '.join(repr(k) for k in getattr(targets, m) if k != OTHER)}) then {m} else '{OTHER}' end"
-    share = lambda m: "case " + " ".join(f"when {m[0]} = '{v}' then {x!r}::double" for v, x in targets.shares(m).items()) + " else 0.0::double end"
+
+    def share(m: str) -> str:
+        own, k = targets.shares(m), m[0]
+        natural = "0.0::double" if OTHER in getattr(targets, m) or own[OTHER] > 1e-9 else f"(select coalesce(sum(case when {k} = '{OTHER}' then n end), 0) / sum(n) from c)"
+        each = [f"when '{v}' then {x!r}::double * (1 - {natural})" for v, x in own.items() if v != OTHER]
+        return f"case {k} {' '.join(each)} when '{OTHER}' then {own[OTHER]!r}::double + {natural} else 0.0::double end"
 
     def step(ctes: list[str], i: int) -> list[str]:
         m = MARGINS[i % 3]
         k = m[0]
-        one = f"""w{i + 1} as materialized (select s, l, t, n, case when goal > 0 and have > 0 then w * want / goal / have else w end as w from (
-            select *, sum(want * first) over () as goal from (select *, sum(w) over (partition by {k}) as have, {share(m)} as want,
-            case when row_number() over (partition by {k} order by s, l, t) = 1 and sum(w) over (partition by {k}) > 0 then 1 else 0 end as first from w{i})))"""
+        rows = f"over (partition by {k} order by most / u, s, l, t rows between"
+        # the factor of a value's cells whose bounded weights sum to its share: cells reach their bound in order of most / u
+        one = f"""w{i + 1} as materialized (select s, l, t, n, most, greatest(u * greatest(f, 0), 1e-100) as u from (
+            select *, max(case when fit * u <= most then fit end) over (partition by {k}) as f from (
+            select *, (want / sum(want * first) over () - full_) / rest as fit from (
+            select *, {share(m)} as want, case when row_number() over (partition by {k} order by s, l, t) = 1 then 1 else 0 end as first,
+            coalesce(sum(most) {rows} unbounded preceding and 1 preceding), 0) as full_, sum(u) {rows} current row and unbounded following) as rest from w{i}))))"""
         return [*ctes, one]
 
+    def topic(topic: str) -> str:
+        marks, words = TOPICS[topic]
+        count = " + ".join(f"(length(x) - length(replace(x, '{m}', ''))) / {len(m)}" for m in marks)
+        return f"when {count} > 0 and ({count}) * {words} >= n_tokens then '{topic}'"
+
     steps = ", ".join(reduce(step, range(3 * targets.sweeps), []))
-    return f"""with d as (select doc_id, source, lang, case when contains(coalesce(text, ''), ' | ') then 'tabular' when length(coalesce(text, '')) < 200 then 'short' else 'prose' end as topic,
-        len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'))::bigint as n_tokens from documents),
+    return f"""with b as (select doc_id, source, lang, coalesce(text, '') as x, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'))::bigint as n_tokens from documents),
+    d as (select doc_id, source, lang, n_tokens, case {' '.join(map(topic, TOPICS))} else 'prose' end as topic from b),
     e as (select *, {name('source')} as s, {name('lang')} as l, {name('topic')} as t from d),
     c as (select s, l, t, sum(n_tokens)::double as n from e group by 1, 2, 3),
-    w0 as (select s, l, t, n, n / sum(n) over () as w from c), {steps},
-    r as (select s, l, t, case when n > 0 then least({float(targets.repeats)}, {targets.budget} * (sum(n) over ()) * w / n) else 0.0 end as rate from w{3 * targets.sweeps}),
-    x as (select doc_id, source, lang, n_tokens, rate, (floor(rate) + case when ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < rate - floor(rate) then 1 else 0 end)::bigint as copies
+    w0 as (select s, l, t, n, {float(targets.repeats)} * n / ({targets.budget} * sum(n) over ()) as most, n / sum(n) over () as u from c where n > 0), {steps},
+    r as (select s, l, t, {targets.budget} * (sum(n) over ()) * least(u, most) / n as rate from w{3 * targets.sweeps}),
+    z as (select doc_id, source, lang, n_tokens, rate, (floor(rate) + case when ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < rate - floor(rate) then 1 else 0 end)::bigint as copies
         from e join r using (s, l, t) where n_tokens > 0)
-    select doc_id, source, lang, n_tokens, round(rate, 6) as rate, copies from x where copies > 0"""
+    select doc_id, source, lang, n_tokens, round(rate, 6) as rate, copies from z where copies > 0"""

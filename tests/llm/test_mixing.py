@@ -57,7 +57,8 @@ def test_expected_tokens_and_odd_rows(spark):
     rows += [(1000, None, "en", "q", 0, "z"), (1001, "", "en", None, 0, "z"), (None, "some words here", None, None, 1, "z"), (5, rows[5][1], "en", "src0", 1, "z")]
     docs = spark.createDataFrame(rows, DOCS)
     targets = mixing.Targets(source={"src0": 0.5}, lang={"en": 0.5, "fr": 0.5}, topic={"prose": 1.0})
-    got = mixing.sampled(docs.drop("copies"), targets).collect()
+    got = mixing.sampled(docs, targets).collect()
+    assert mixing.sampled(docs, targets).columns == ["doc_id", "text", "lang", "source", "n_chars", "n_tokens", "rate", "copies"]
     drawn = sum(r["n_tokens"] * r["copies"] for r in got)
     assert drawn == pytest.approx(0.5 * 601 * 61, rel=0.15)
     assert sum(r["n_tokens"] * r["copies"] for r in got if r["source"] == "src0") == pytest.approx(drawn / 2, rel=0.2)
@@ -72,5 +73,37 @@ def test_topic_column_is_used_and_empty_table(spark):
     assert mixing.sampled(docs.limit(0), targets).collect() == []
 
 
-def test_against_sql(spark, data):
-    same(spark, mixing.op2_source_mix, mixing.sql(), data)
+def test_token_counts_of_the_documents_are_used(spark):
+    docs = spark.createDataFrame([(i, "some words", "en", "s", i % 3, "x") for i in range(30)], "doc_id bigint, text string, lang string, source string, n_tokens bigint, rate string")
+    got = mixing.sampled(docs, mixing.Targets(source={}, lang={}, topic={}, budget=2.0)).collect()
+    assert {(r["doc_id"], r["n_tokens"], r["copies"]) for r in got} == {(i, i % 3, 2) for i in range(30) if i % 3}
+
+
+def test_topics_by_their_share_of_the_text(spark):
+    texts = ["a | b | c\nd | e | f", "word " * 50 + "a | b", "NO!! WAY!! STOP!!", "All rights: licensed under a licence. Copyright.", "", None, "word " * 500 + "license"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r[0] for r in docs.select(mixing.topic_of(docs["text"])).collect()] == ["tabular", "prose", "noise", "legal", "prose", "prose", "prose"]
+
+
+def test_infeasible_targets_can_be_refused(spark):
+    docs = spark.createDataFrame([(i, "word " * 60, "en", "src0") for i in range(20)], "doc_id bigint, text string, lang string, source string")
+    with pytest.raises(ValueError, match="topic tabular: 0.0000 for 0.0600"):
+        mixing.sampled(docs, miss=0.01)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_margins_of_the_default_mix_hold(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    for r in mixing.margins(docs).collect():
+        assert r["reached"] == pytest.approx(r["target"], abs=1e-6), r
+    drawn = mixing.sampled(docs).collect()
+    tokens = sum(r["n_tokens"] * r["copies"] for r in drawn)
+    if sf == "sf0.1":
+        for lang, share in mixing.Targets().lang.items():
+            assert sum(r["n_tokens"] * r["copies"] for r in drawn if r["lang"] == lang) / tokens == pytest.approx(share, abs=0.02)  # long documents are drawn whole
+    assert max(r["rate"] for r in drawn) <= 4
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_against_sql(spark, sf):
+    same(spark, mixing.op2_source_mix, mixing.sql(), f"/root/testdata/{sf}")
