@@ -26,10 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a temporary one if all runs in this process (tests); on a cluster that is an error.
+    """
     sc = spark.sparkContext
     if not (path := spark.conf.get("spark.checkpoint.dir", None)):
         if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         path = sc._jsc.sc().getCheckpointDir().get()
     return path.rstrip("/")
