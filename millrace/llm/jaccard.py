@@ -5,10 +5,14 @@ as in the chosen-path join for similarities: MINHASHES min-hashed tokens stand f
 with probability equal to their similarity. A run splits the sets on a sampled token, splits buckets that are still
 large on a further one, up to DEPTH, and compares small buckets by brute force on one byte of every token; runs
 with other tokens repeat until a pair at the threshold is met with the target recall. What is met that way, with
-room for the sketch's error, forms clusters; every pair inside a cluster is then checked exactly on the shingles.
+room for the sketch's error, forms clusters; every pair inside a cluster is then checked exactly on the shingles. A
+cluster of many sets is not compared all with all: its sets are split on paths again, the pairs of each small bucket
+are checked exactly, and a pair counts in the first run that brings it together.
 
 Larger buckets and clusters are dealt out as pairs of blocks, so a group of copies of any size is spread
 over tasks that hold two blocks. Tasks return counts and the links of a spanning forest, never all pairs.
+
+A class is known by the digest of its set and numbered for the joins; doc_id is data, so rows may share or lack one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, small, small_batches, table, written
@@ -29,6 +33,10 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 MINHASHES, DEPTH = 128, 3
 #: A bucket of at most so many is small; a block of sketches and one of whole sets have about so many.
 SMALL, BLOCK, SET_BLOCK = 64, 1024, 512
+#: A cluster of more sets is split on paths: it would be dealt out as more pairs of blocks than there are runs.
+LARGE = 8 * SET_BLOCK
+#: Bytes of text whose words are hashed at once.
+CHUNK = 1 << 20
 #: A sketch says a pair may be similar down to so many standard errors below the threshold.
 ERRORS = 4.0
 
@@ -53,6 +61,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hashed(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word b[start:end], wherever it stands."""
+    power = np.cumprod(np.full(len(b), _BASE))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(b.astype(np.uint64) * power)])
+    back = np.cumprod(np.full(len(b) + 1, _UNBASE))
+    return mixed((total[end] - total[start]) * back[start])
+
+
 def shingles(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text.
 
@@ -66,10 +82,8 @@ def shingles(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return [np.zeros(0, np.uint64)] * len(texts)
-    power = np.cumprod(np.full(len(b), _BASE))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(b.astype(np.uint64) * power)])
-    back = np.cumprod(np.full(len(b) + 1, _UNBASE))
-    word = mixed((total[end] - total[start]) * back[start])
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(b), CHUNK)), len(start)))
+    word = np.concatenate([hashed(b[start[lo] : end[hi - 1]], start[lo:hi] - start[lo], end[lo:hi] - start[lo]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
     first = np.searchsorted(start, at)
     out = []
     n = len(word) - width + 1
@@ -103,12 +117,18 @@ def paths_of(tokens: np.ndarray, runs: int, depth: int) -> np.ndarray:
     return out.reshape(len(tokens), runs * depth).view(np.int64)
 
 
+def text_key(text: str = "text") -> Column:
+    """A 128-bit digest of a text; null for null."""
+    return F.unhex(F.md5(F.col(text).cast("binary")))
+
+
 def embeddings(docs: DataFrame, runs: int, depth: int = DEPTH) -> DataFrame:
-    """doc_id, class (digest of the shingle set), size, sketch, paths of every row; class null where no word is."""
+    """doc_id, text_key, class (digest of the shingle set), sketch, paths of every row; class null where no word is."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            sets = shingles(part.column(1).to_pylist())
+        for part in pieces(batches, 2):
+            sets = shingles(part.column(2).to_pylist())
             full = [i for i, s in enumerate(sets) if len(s)]
             key, sketch, paths = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
@@ -117,17 +137,17 @@ def embeddings(docs: DataFrame, runs: int, depth: int = DEPTH) -> DataFrame:
                 for i, s, p in zip(full, small, paths_of(tokens, runs, depth), strict=True):
                     key[i], sketch[i], paths[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), s.tobytes(), p
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(key, pa.binary()), pa.array(list(map(len, sets)), pa.int64()), pa.array(sketch, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
-                ["doc_id", "class", "size", "sketch", "paths"],
+                [part.column(0), part.column(1), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(paths, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "class", "sketch", "paths"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, class binary, size bigint, sketch binary, paths array<bigint>")
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {id_type}, text_key binary, class binary, sketch binary, paths array<bigint>")
 
 
 def leaves(sets: DataFrame, runs: int, depth: int, most: int) -> DataFrame:
-    """path, rep, n: the bucket that each set ends in, run by run, of those that hold n >= 2 sets."""
+    """path, rep, n, run: the bucket that each set ends in, run by run, of those that hold n >= 2 sets."""
     run = F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))
-    open_ = sets.select("rep", "paths", run.alias("run")).select("rep", F.slice("paths", F.col("run") * depth + 1, depth).alias("paths"))
+    open_ = sets.select("rep", "paths", run.alias("run")).select("rep", "run", F.slice("paths", F.col("run") * depth + 1, depth).alias("paths"))
     out = None
     for d in range(depth):
         path = F.col("paths")[d]
@@ -136,9 +156,9 @@ def leaves(sets: DataFrame, runs: int, depth: int, most: int) -> DataFrame:
         each = open_.withColumn("path", path).join(small(n), "path")
         if d + 1 < depth:
             each = written(each, f"paths{d}")
-            open_ = each.where(F.col("n") > most).select("rep", "paths")
+            open_ = each.where(F.col("n") > most).select("rep", "run", "paths")
             each = each.where(F.col("n") <= most)
-        each = each.select("path", "rep", "n")
+        each = each.select("path", "rep", "n", "run")
         out = each if out is None else out.unionByName(each)
     return out
 
@@ -266,14 +286,29 @@ def exact(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return near
 
 
+def _counted(rep: np.ndarray, near: np.ndarray, part: np.ndarray, same: bool) -> list[tuple]:
+    """(a, b, 0) for links of a spanning forest and (rep, n, 1) for a representative's number of links here."""
+    links = (near if same else near & (part[:, None] != part[None, :])).sum(axis=1)
+    return [(int(rep[i]), int(rep[j]), 0) for i, j in links_of(near, part, same)] + [(int(r), int(n), 1) for r, n in zip(rep, links, strict=True) if n]
+
+
 def linked_in_clusters(threshold: float) -> Callable[[dict[str, list]], list[tuple]]:
     def work(columns: dict[str, list]) -> list[tuple]:
-        """(a, b, 0) for links of a spanning forest and (rep, n, 1) for a representative's number of links here."""
-        rep, part = np.array(columns["rep"]), np.array(columns["_part"])
         near = exact([np.frombuffer(s, np.uint64) for s in columns["set"]], threshold)
-        same = columns["_same"][0]
-        links = (near if same else near & (part[:, None] != part[None, :])).sum(axis=1)
-        return [(int(rep[i]), int(rep[j]), 0) for i, j in links_of(near, part, same)] + [(int(r), int(n), 1) for r, n in zip(rep, links, strict=True) if n]
+        return _counted(np.array(columns["rep"]), near, np.array(columns["_part"]), columns["_same"][0])
+
+    return work
+
+
+def linked_in_buckets(threshold: float) -> Callable[[dict[str, list]], list[tuple]]:
+    """As linked_in_clusters, for a bucket of a run: a pair that an earlier run brings together is left to that one."""
+
+    def work(columns: dict[str, list]) -> list[tuple]:
+        near = exact([np.frombuffer(s, np.uint64) for s in columns["set"]], threshold)
+        ends, run = np.array(columns["ends"]), columns["run"][0]
+        for r in range(run):
+            near &= ends[:, None, r] != ends[None, :, r]
+        return _counted(np.array(columns["rep"]), near, np.array(columns["_part"]), columns["_same"][0])
 
     return work
 
@@ -290,43 +325,87 @@ def shingle_sets(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for every row.
-
-    class_id is the least doc_id that links of at least the threshold lead to; n_links counts the other distinct
-    shingle sets that are linked to the document's own; n_copies counts the documents with its very set. A document
-    without words is alone. doc_id is to be a unique integer; rows repeated under one doc_id count as copies, and
-    rows without a doc_id come back with nulls and zeros.
+    """doc_id, class_id, class_key, n_links, n_copies, text_key, stays for every row.
+
+    class_key is the least digest of a set among those that links of at least the threshold lead to, and names the
+    class; class_id is the least doc_id of its documents, of whatever type. n_links counts the other distinct shingle sets
+    that are linked to the row's own; n_copies counts the rows with its very set. stays tells the one document (doc_id and
+    digest of its text) that is kept of a class. A row without words is alone and stays, with null class_key. Rows that
+    share a doc_id are told apart by their texts, rows without one join classes like all others; texts of any length
+    are read whole.
     """
     if threshold < THRESHOLD:
         raise ValueError(f"sketches are sized for thresholds of {THRESHOLD} or more")
     small_batches(docs.sparkSession)
     runs = runs_for(recall)
     rows = written(embeddings(docs, runs), "embedded")
-    known = rows.where("class is not null and doc_id is not null")
-    member = known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
-    sets = written(member, "sets")
-    buckets = leaves(sets, runs, DEPTH, SMALL).join(sets.select("rep", "sketch"), "rep")
-    met = by_task(dealt(buckets, "path", "n", "rep", BLOCK), ["rep", "sketch", "_part", "_same"], ["a", "b"], met_in_buckets)
+    # a null doc_id comes last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    member = rows.where("class is not null").groupBy("class").agg(first, F.count("*").alias("n_copies"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    sets = written(member.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    buckets = written(leaves(sets, runs, DEPTH, SMALL), "buckets")
+    met = by_task(dealt(buckets.join(sets.select("rep", "sketch"), "rep"), "path", "n", "rep", BLOCK), ["rep", "sketch", "_part", "_same"], ["a", "b"], met_in_buckets)
     clusters = components(written(met.distinct(), "met"))
     number = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    cluster = written(clusters.join(number, "root").select(F.col("node").alias("rep"), "root", "n"), "clusters")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small(cluster), "rep").dropDuplicates(["rep"])
+    cluster = written(clusters.join(number, "root").select(F.col("node").alias("rep"), "root", "n").join(sets.select("rep", "first.doc_id", "first.text_key"), "rep"), "clusters")
+    same_text = docs.select("doc_id", text_key().alias("text_key"), "text").alias("d")
+    few = small(cluster).alias("c")
+    texts = same_text.join(few, F.col("c.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("c.text_key") == F.col("d.text_key"))).select("rep", "root", "n", "text").dropDuplicates(["rep"])
     full = shingle_sets(texts, ["rep", "root", "n"])
-    links = written(by_task(dealt(full, "root", "n", "rep", SET_BLOCK), ["rep", "set", "_part", "_same"], ["a", "b", "kind"], linked_in_clusters(threshold)), "linked")
-    joined = components(links.where("kind = 0").select("a", "b"))
+    one_by_one = linked_in_clusters(threshold)
+    if cluster.where(F.col("n") > LARGE).isEmpty():
+        links = by_task(dealt(full, "root", "n", "rep", SET_BLOCK), ["rep", "set", "_part", "_same"], ["a", "b", "kind"], one_by_one)
+    else:
+        full = written(full, "full")
+        split = written(split_on_paths(cluster.where(F.col("n") > LARGE), buckets), "split")
+        whole = full.join(split.select("root").distinct(), "root", "left_anti")
+        links = by_task(dealt(whole, "root", "n", "rep", SET_BLOCK), ["rep", "set", "_part", "_same"], ["a", "b", "kind"], one_by_one)
+        links = links.unionByName(links_by_paths(full.select("rep", "set"), split, runs, threshold))
+    links = written(links, "linked")
+    joined = written(components(links.where("kind = 0").select("a", "b")), "joined")
     degree = links.where("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n_links"))
-    best = sets.select("class", "rep", "n_copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    return rows.select("doc_id", "class").join(best, "class", "left").select(
+    named = joined.join(sets.select(F.col("rep").alias("node"), "class", "first"), "node")
+    one = written(named.groupBy("root").agg(F.min("class").alias("root_class"), F.min("first").alias("root_first")), "classes")
+    tied = joined.join(one, "root").select(F.col("node").alias("rep"), "root_class", "root_first")
+    best = sets.select("class", "rep", "n_copies", "first").join(tied, "rep", "left").join(degree, "rep", "left")
+    best = best.select("class", "n_copies", "n_links", F.coalesce("root_class", "class").alias("class_key"), F.coalesce("root_first", "first").alias("root_first"))
+    known = F.col("class").isNotNull()
+    return rows.select("doc_id", "text_key", "class").join(best, "class", "left").select(
         "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("class_id"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_copies", F.lit(1))).otherwise(0).cast("long").alias("n_copies"),
+        F.when(known, F.col("root_first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.lower(F.hex("class_key")).alias("class_key"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "text_key",
+        (~known | F.col("root_first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("root_first.text_key") == F.col("text_key"))).alias("stays"),
     )
 
 
+def split_on_paths(cluster: DataFrame, buckets: DataFrame) -> DataFrame:
+    """path, root, rep, run, n: the buckets that members of large clusters (rep, root, n) end in, n members to each.
+
+    Only of clusters whose buckets have fewer pairs, over all runs, than the cluster itself: chains of sets, of which few
+    are similar. A cluster of sets that are all alike has buckets like itself.
+    """
+    each = buckets.select("path", "rep", "run").join(cluster.select("rep", "root", F.col("n").alias("size")), "rep")
+    number = each.groupBy("path", "root").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    pairs = number.groupBy("root").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"), F.first("size").alias("size"))
+    chains = pairs.where(F.col("pairs") < F.col("size").cast("double") * F.col("size")).select("root")
+    return each.drop("size").join(number.drop("size").join(chains, "root"), ["path", "root"])
+
+
+def links_by_paths(sets: DataFrame, split: DataFrame, runs: int, threshold: float) -> DataFrame:
+    """Links (see linked_in_clusters) of sets (rep, set): each goes once to each run's bucket, and learns where all runs end."""
+    spread = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.coalesce(F.col("_ends")[r], F.col("rep") * runs + r))
+    ends = split.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("run", "path"))).alias("_ends")).select("rep", spread.alias("ends"))
+    each = split.where(F.col("n") > 1).join(sets, "rep").join(ends, "rep").withColumn("bucket", F.xxhash64("path", "root"))
+    columns = ["rep", "set", "ends", "run", "_part", "_same"]
+    return by_task(dealt(each, "bucket", "n", "rep", SET_BLOCK), columns, ["a", "b", "kind"], linked_in_buckets(threshold))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and copies of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_key", "n_links", "n_copies")
 
 
 def brute_force(texts: dict[int, str | None], threshold: float = THRESHOLD) -> dict[int, tuple[int, int, int]]:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -45,11 +46,42 @@ def test_documents(spark, data):
     assert found(jaccard.op8_jaccard_join(spark, data)) == jaccard.brute_force(texts)
 
 
-def test_repeated_rows_and_empty_table(spark):
-    docs = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, "A b c d e f")], "doc_id bigint, text string")
+def test_chained_sets_are_split_on_paths(spark, monkeypatch):
+    for name, n in (("SMALL", 4), ("LARGE", 20), ("SET_BLOCK", 8), ("BLOCK", 16)):
+        monkeypatch.setattr(jaccard, name, n)
+    took: list[int] = []
+    split = jaccard.split_on_paths
+    monkeypatch.setattr(jaccard, "split_on_paths", lambda c, b: took.append(c.count()) or split(c, b))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(700)]
+    texts: dict[int, str | None] = {i: " ".join(words[3 * i : 3 * i + 80]) for i in range(200)}  # a chain: neighbours are similar
+    base = [rng.choice(words) for _ in range(90)]
+    for i in range(40):  # and a group of sets that are all alike
+        texts[1000 + i] = " ".join([*base[: 40 + i % 2], f"n{i}", *base[41:]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got, want = found(jaccard.near_duplicates(docs)), jaccard.brute_force(texts)
+    assert got == want and took and took[0] >= 200
+
+
+def test_rows_are_told_apart_by_their_texts(spark):
+    a, b = "a b c d e f", "some other words than those"
+    docs = spark.createDataFrame([(7, a), (7, b), (9, b), (8, a), (None, a), (7, a), (5, None), (5, "")], "doc_id bigint, text string")
     got = jaccard.near_duplicates(docs).collect()
-    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in got) == [(0, None, 0), (7, 7, 0), (7, 7, 0), (9, 7, 0)]
+    keys = {t: {r["class_key"] for r in got if r["text_key"] == hashlib.md5(t.encode()).digest()} for t in (a, b)}
+    assert all(len(k) == 1 for k in keys.values()) and keys[a] != keys[b]
+    assert sorted((str(r["doc_id"]), r["class_id"], r["n_copies"], r["stays"]) for r in got) == [
+        ("5", 5, 1, True), ("5", 5, 1, True), ("7", 7, 2, True), ("7", 7, 4, True), ("7", 7, 4, True), ("8", 7, 4, False), ("9", 7, 2, False), ("None", 7, 4, False),
+    ]
     assert jaccard.near_duplicates(docs.limit(0)).collect() == []
+    ids = docs.selectExpr("concat('id ', doc_id) as doc_id", "text")
+    assert {r["class_id"] for r in jaccard.near_duplicates(ids).collect()} == {"id 7", "id 5"}
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 97}é" for i in range(3000)) + " " + "x" * 500
+    whole = jaccard.shingles([text, "b c", text[5:]])
+    monkeypatch.setattr(jaccard, "CHUNK", 64)
+    assert all((a == b).all() for a, b in zip(whole, jaccard.shingles([text, "b c", text[5:]]), strict=True))
 
 
 def test_hashes_agree_with_words():
