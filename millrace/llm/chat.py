@@ -1,9 +1,10 @@
 """Chat formatting: an event log folded into conversations, then rendered with a mask for the loss.
 
-Events have a conversation, a sequence number, a message number and a kind: `open` starts a message with a role
-and text, `delta` appends text, `edit` replaces the text so far, `regenerate` empties it before new deltas,
-`delete` removes the message. Events are folded per message, in sequence order, and only then gathered into
-conversations, so a conversation's length bounds nothing but its own rendered value.
+Events have a conversation, a turn, a message, a sequence number and a kind: `open` starts a message with a role and
+text, `delta` appends text, `edit` replaces the text so far, `regenerate` empties it before new deltas, `delete`
+removes the message. The log is partitioned by conversation and sorted by sequence once; each task then reads its
+events in order and folds them one by one, holding the parts of one message. What comes out is one row a turn, so a
+conversation of any length is never a single value; its rows follow one another in order.
 
 The template writes `<|im_start|>role`, a line end, the text and `<|im_end|>` with a line end. Inside roles and
 texts every `<|` becomes `<\\|`, and a `<` followed by backslashes and `|` gets one backslash more, so that no
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,83 +69,158 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def events_of(rows: DataFrame) -> DataFrame:
-    """Rows of (conv_id, turn, role, text) as the log of their creation: a message opened empty, then one delta.
+#: Characters of a delta in the log that is made of finished texts; characters that a task gathers before it passes them on.
+DELTA, OUT_CHARS = 200, 1 << 24
 
-    Repeated rows and rows of one turn stay separate messages, ordered by role and text.
-    """
-    number = F.struct(F.col("turn"), F.col("role"), F.col("text"))
-    each = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    each = each.select("conv_id", "turn", number.alias("message"), "copy", "role", "text")
-    two = F.explode(F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit("open").alias("kind"), F.lit("").alias("text")),
-        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("text")),
-    ))
-    return each.withColumn("event", two).select("conv_id", "turn", F.struct("message", "copy").alias("message"), "role", "event.seq", "event.kind", "event.text")
-
-
-def messages(events: DataFrame) -> DataFrame:
-    """conv_id, turn, message, role, text: every message as its last event leaves it; deleted ones are gone.
-
-    Null texts are empty; events without an `open` still make a message, with the role that any of them has;
-    events of one sequence number apply by kind and text.
+
+def events_of(rows: DataFrame, delta: int = DELTA) -> DataFrame:
+    """Rows of (conv_id, turn, role, text) as the log of a session that led to them.
+
+    Every message is opened empty and streamed in deltas of `delta` characters. By a digest of the row, some messages
+    have a first delta that is regenerated away, some are streamed up to the middle and then edited to their text,
+    and some are followed by a further message of the turn that is deleted again. Repeated rows and rows of one turn stay
+    separate messages, ordered by role and a digest of the text.
     """
-    log = events.groupBy("conv_id", "turn", "message").agg(
-        F.max("role").alias("role"),
-        F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text")))).alias("log"),
-    )
-    last = F.aggregate(
-        "log",
-        F.struct(F.array().cast("array<string>").alias("text"), F.lit(False).alias("gone")),
-        lambda acc, e: F.struct(
-            F.when(e["kind"].isin("open", "edit"), F.array(e["text"])).when(e["kind"] == "regenerate", F.array().cast("array<string>")).otherwise(F.concat(acc["text"], F.array(e["text"]))).alias("text"),
-            (e["kind"] == "delete").alias("gone"),
-        ),
-        lambda acc: F.struct(F.array_join(acc["text"], "").alias("text"), acc["gone"].alias("gone")),
-    )
-    return log.withColumn("last", last).where(~F.col("last.gone")).select("conv_id", "turn", "message", F.coalesce("role", F.lit("")).alias("role"), "last.text")
+    text = F.coalesce("text", F.lit(""))
+    each = rows.select(
+        "conv_id", "turn", "role", text.alias("text"), F.concat_ws(" ", F.coalesce("role", F.lit("")), F.md5(text.cast("binary")), F.monotonically_increasing_id().cast("string")).alias("message"),
+        F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(8)).alias("way"),
+    )
+    event = lambda seq, kind, text, message=F.col("message"): F.struct(seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), message.alias("message"))
+    deltas = lambda first, length: F.when(length > 0, F.transform(F.sequence(F.lit(0), F.floor((length - 1) / delta)), lambda i: event(i + first, "delta", F.substring("text", i.cast("int") * delta + 1, F.least(F.lit(delta), (length - i * delta)).cast("int"))))).otherwise(F.array())
+    one, two, length = F.lit(1), F.lit(2), F.length("text").cast("int")
+    opened = F.array(event(F.lit(0), "open", F.lit("")))
+    half = F.floor(length / 2).cast("int")
+    straight = F.concat(opened, deltas(one, length))
+    again = F.concat(opened, F.array(event(one, "delta", F.reverse(F.substring("text", 1, delta))), event(two, "regenerate", F.lit(""))), deltas(F.lit(3), length))
+    edited = F.concat(opened, deltas(one, half), F.array(event(half + two, "edit", F.col("text"))))
+    other = F.concat(F.col("message"), F.lit("+"))
+    beside = F.concat(straight, F.array(event(F.lit(0), "open", F.lit("never mind"), other), event(one, "delete", F.lit(""), other)))
+    log = F.when(F.col("way") == 0, again).when(F.col("way") == 1, edited).when(F.col("way") == 2, beside).otherwise(straight)
+    return each.select("conv_id", "turn", "role", F.explode(log).alias("e")).select("conv_id", "turn", "e.message", "role", "e.seq", "e.kind", "e.text")
+
+
+class Message:
+    """A message as its events so far leave it; one step an event, whatever came before."""
+
+    def __init__(self):
+        self.role: str | None = None
+        self.parts: list[str] = []
+        self.gone = False
+
+    def add(self, role: str | None, kind: str, text: str | None) -> None:
+        if role is not None and (self.role is None or role > self.role):
+            self.role = role
+        if kind in ("open", "edit", "regenerate"):
+            self.parts.clear()
+        if kind in ("open", "edit", "delta") and text:
+            self.parts.append(text)
+        self.gone = kind == "delete"
+
+
+def ordered(events: DataFrame) -> DataFrame:
+    """The log by conversation, each in order of turn, message and sequence; ties by kind and text."""
+    own = events.select("conv_id", "turn", F.col("message").cast("string").alias("message"), "role", F.col("seq").cast("long").alias("seq"), "kind", F.coalesce("text", F.lit("")).alias("text"))
+    return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "message", "seq", "kind", "text")
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """conv_id, formatted, mask array<struct<start,end>> (code points) of every conversation, turns in order.
+    """conv_id, place, start, formatted, mask of every turn: a conversation's rows are together and in order.
 
-    A null conv_id is a conversation of its own, null turns come first.
+    The formatted conversation is its rows' `formatted`, one after the other; start is the code point at which a row
+    begins, mask an array of struct<start,end> of the code points inside the row that count for the loss. A null
+    conv_id is a conversation of its own, null turns come first; null texts and roles are empty; events without an
+    `open` still make a message; events of a message share its role; deleted messages are gone; messages and
+    conversations of any length are read through.
     """
     small_batches(events.sparkSession)
-    turns = messages(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "message", "role", "text"))).alias("turns"))
     mask = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = events.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "place", "start", "formatted", "mask"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, place, start = None, 0, 0
+        message, at = None, None
+        done: list[tuple] = []
+        held = 0
+
+        def close() -> None:
+            nonlocal place, start, held
+            if message is not None and not message.gone:
+                text, spans = rendered([(message.role or "", "".join(message.parts))])
+                done.append((at[0], place, start, text, [{"start": a, "end": z} for a, z in spans]))
+                place, start, held = place + 1, start + len(text), held + len(text)
+
+        def out(conv: pa.DataType) -> pa.RecordBatch:
+            nonlocal held
+            columns = list(zip(*done, strict=True))
+            done.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (conv, pa.int64(), pa.int64(), pa.string(), mask), strict=True)], names)
+
+        conv_type = None
         for batch in batches:
-            out = [rendered(list(zip(r, t, strict=True))) for r, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([[{"start": a, "end": z} for a, z in x[1]] for x in out], mask)], ["conv_id", "formatted", "mask"])
-
-    kind = events.schema["conv_id"].dataType.simpleString()
-    return turns.select("conv_id", "turns.role", "turns.text").mapInArrow(run, f"conv_id {kind}, formatted string, mask array<struct<start:bigint,end:bigint>>")
+            conv_type = batch.schema.field("conv_id").type
+            for conv, turn, key, role, what, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "message", "role", "kind", "text")), strict=True):
+                if (conv, turn, key) != at:
+                    close()
+                    if at is None or conv != conversation:
+                        conversation, place, start = conv, 0, 0
+                    message, at = Message(), (conv, turn, key)
+                    if held > OUT_CHARS:
+                        yield out(conv_type)
+                message.add(role, what, text)
+            if done:
+                yield out(conv_type)
+        close()
+        if done:
+            yield out(conv_type)
+
+    return ordered(events).mapInArrow(run, f"conv_id {kind}, place bigint, start bigint, formatted string, mask array<struct<start:bigint,end:bigint>>")
+
+
+def conversations(formatted: DataFrame) -> DataFrame:
+    """conv_id, formatted, mask of whole conversations, for those that fit in one value."""
+    turns = F.array_sort(F.collect_list(F.struct("place", "start", "formatted", "mask")))
+    spans = F.flatten(F.transform("turns", lambda t: F.transform(t["mask"], lambda m: F.struct((m["start"] + t["start"]).alias("start"), (m["end"] + t["start"]).alias("end")))))
+    return formatted.groupBy("conv_id").agg(turns.alias("turns")).select("conv_id", F.array_join("turns.formatted", "").alias("formatted"), spans.alias("mask"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the formatted conversations finds."""
+    """What a reader of the formatted conversations finds, turn by turn in the order of format_log's rows."""
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, mask in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns = read_back(text)
-                loss = "".join(unescaped(text[m["start"] : m["end"]]) for m in mask)
-                whole = "".join(f"{role}\n{said}\n" for role, said in turns)
-                out.append((len(turns), _sha(whole), len(loss), _sha(loss), len(text)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        open_, conv_type = None, None
 
-    kind = formatted.schema["conv_id"].dataType.simpleString()
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+        def closed() -> tuple:
+            conv, n, whole, loss_n, loss, chars = open_
+            return (conv, n, whole.hexdigest(), loss_n, loss.hexdigest(), chars)
 
+        for batch in batches:
+            conv_type, done = batch.schema.field("conv_id").type, []
+            for conv, rows in groupby(zip(*(batch.column(c).to_pylist() for c in ("conv_id", "place", "formatted", "mask")), strict=True), key=lambda r: r[0]):
+                for _, place, text, mask in rows:
+                    if place == 0:
+                        if open_ is not None:
+                            done.append(closed())
+                        open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    for role, said in read_back(text):
+                        open_[1] += 1
+                        open_[2].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+                    for m in mask:
+                        loss = unescaped(text[m["start"] : m["end"]])
+                        open_[3] += len(loss)
+                        open_[4].update(loss.encode("utf-8", "surrogatepass"))
+                    open_[5] += len(text)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), (conv_type, *kinds), strict=True)], names)
+        if open_ is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(closed(), (conv_type, *kinds), strict=True)], names)
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def with_probe(rows: DataFrame) -> DataFrame:

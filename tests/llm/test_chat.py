@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -23,8 +24,12 @@ def test_fold(spark):
         (1, 3, "c", "user", 0, "open", "gone"), (1, 3, "c", "user", 1, "delete", ""), (1, 4, "d", "user", 0, "open", "one"), (1, 4, "d", "user", 1, "edit", "two"),
     ]
     log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, message string, role string, seq bigint, kind string, text string")
-    got = sorted((r["turn"], r["role"], r["text"]) for r in chat.messages(log).collect())
-    assert got == [(0, "user", "hi"), (1, "assistant", "hello"), (2, "assistant", "new"), (4, "user", "two")]
+    got = chat.format_log(log).collect()
+    turns = [("user", "hi"), ("assistant", "hello"), ("assistant", "new"), ("user", "two")]
+    assert [chat.read_back(r["formatted"])[0] for r in got] == turns and [r["place"] for r in got] == [0, 1, 2, 3]
+    (whole,) = chat.conversations(chat.format_log(log)).collect()
+    text, mask = chat.rendered(turns)
+    assert (whole["formatted"], [(m["start"], m["end"]) for m in whole["mask"]]) == (text, mask)
     assert chat.format_log(log.limit(0)).collect() == []
 
 
@@ -47,3 +52,36 @@ def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, 0, "user", None), (1, 0, "user", None), (None, None, None, "x"), (2, 5, "assistant", "y" * 200000)], "conv_id bigint, turn bigint, role string, text string")
     got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat.digests(chat.format_log(chat.events_of(rows))).collect()}
     assert got == {1: (2, 0), None: (1, 0), 2: (1, 200000)}
+
+
+def plain_fold(events):
+    """Turns of each conversation by a fold over its sorted events."""
+    out: dict = {}
+    for e in sorted(events, key=lambda e: (e["conv_id"], e["turn"], e["message"], e["seq"])):
+        m = out.setdefault(e["conv_id"], {}).setdefault((e["turn"], e["message"]), {"text": "", "gone": False})
+        m["role"] = e["role"]
+        m["text"] = e["text"] if e["kind"] in ("open", "edit") else "" if e["kind"] == "regenerate" else m["text"] + e["text"]
+        m["gone"] = e["kind"] == "delete"
+    return {k: [(m["role"], m["text"]) for _, m in sorted(v.items()) if not m["gone"]] for k, v in out.items()}
+
+
+def test_log_of_the_query_uses_every_kind_and_folds_back(spark, data):
+    rows = table(spark, data, "conversations")
+    events = chat.events_of(rows, delta=40).collect()
+    kinds = {e["kind"] for e in events}
+    assert kinds == {"open", "delta", "edit", "regenerate", "delete"} and max(e["seq"] for e in events) > 5
+    want: dict = {}
+    for r in rows.collect():
+        want.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"] or ""))
+    assert plain_fold(events) == {k: [(role, t) for _, role, t in sorted(v)] for k, v in want.items()}
+
+
+def test_a_hundred_thousand_deltas_and_a_long_conversation(spark):
+    n = 100_000
+    deltas = spark.range(n).selectExpr("1L conv_id", "0L turn", "'m' message", "'assistant' role", "id seq", "'delta' kind", "'ab' text")
+    turns = spark.range(n).selectExpr("2L conv_id", "id turn", "'m' message", "'user' role", "0L seq", "'open' kind", "'x' text")
+    began = time.time()
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_log(deltas.unionByName(turns))).collect()}
+    assert time.time() - began < 30
+    assert (got[1]["n_turns"], got[1]["loss_chars"], got[1]["loss_sha256"]) == (1, 2 * n, hashlib.sha256(b"ab" * n).hexdigest())
+    assert (got[2]["n_turns"], got[2]["turns_sha256"]) == (n, hashlib.sha256(b"user\nx\n" * n).hexdigest())
