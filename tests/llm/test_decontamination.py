@@ -1,3 +1,4 @@
+import random
 import re
 
 from millrace.llm import decontamination
@@ -44,10 +45,34 @@ def test_like_plain_windows(spark):
     assert got(spark, [], items) == []
 
 
+def near(docs, items, size=10, slop=3):
+    """Items of each document by trying every stretch of it for every window."""
+    words = lambda t: re.findall(WORD, (t or "").translate(LOW))
+    out = []
+    for k, t in docs:
+        w, found = words(t), set()
+        for item, u in items:
+            v = words(u)
+            for i in range(max(1, len(v) - size + 1) if v else 0):
+                g = v[i : i + size]
+                if any(set(g) <= set(w[j : j + len(g) + slop]) for j in range(len(w))):
+                    found.add(str(item))
+        out.append((k, sorted(found)))
+    return sorted(out, key=str)
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha noise beta gamma delta epsilon"), (2, "epsilon delta x gamma beta alpha"), (3, "alpha a b c d e f beta gamma delta epsilon"), (4, None)], "doc_id bigint, text string")
-    i = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id bigint, text string")
-    assert sorted(r["doc_id"] for r in decontamination.proximity(d, i).collect()) == [1, 2]
+    d = [(1, "alpha noise beta gamma delta epsilon"), (2, "epsilon delta x gamma beta alpha"), (3, "alpha a b c d e f beta gamma delta epsilon"), (4, None), (5, "pair of a kind"), (6, "alpha alpha beta beta x alpha")]
+    i = [(1, "alpha beta gamma delta epsilon"), (2, "a pair"), (3, "kind"), (4, "alpha beta alpha"), (5, "alpha alpha")]
+    rng = random.Random(3)
+    d += [(100 + k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(60))) for k in range(60)]
+    i += [(100 + k, " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([4, 5, 6, 12])))) for k in range(30)]
+    docs = spark.createDataFrame(d, "doc_id bigint, text string")
+    items = spark.createDataFrame(i, "item_id bigint, text string")
+    found = decontamination.contamination(docs, items).collect()
+    want = near(d, i)
+    assert sorted(((r["doc_id"], r["near_items"]) for r in found), key=str) == want and sum(len(x) for _, x in want) > 50
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in found), key=str) == plain(d, i)
 
 
 def test_against_sql(spark, data):
