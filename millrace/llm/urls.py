@@ -3,7 +3,7 @@
 Trust starts at hosts by their share of pages that rules allow and follows links; distrust starts at hosts by their
 share of blocked pages and follows links backwards, so that linking to blocked hosts taints. Both are personalised
 PageRank over the graph of hosts, with edges weighted by their number of links, in one loop. A host is blocked if
-its distrust is at least RATIO times its trust. DataFrame operations only; no page leaves its partition but for the
+its distrust is at least RATIO times its trust and reaches a FLOOR. DataFrame operations only; no page leaves its partition but for the
 sums by host and by pair of hosts.
 """
 
@@ -19,6 +19,9 @@ from .common import table, unwritten, written
 #: (verdict, host, path); a rule fits its host and all subdomains whose path starts with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 DAMPING, TOLERANCE, RATIO = 0.85, 1e-6, 2.0
+#: A host is blocked only with so large a part of the distrust that an average host of blocked seeds starts with: far from all
+#: seeds, or one link in thousands, is no ground.
+FLOOR = 0.05
 #: Rounds that the SQL writes out, which is whole only where hosts are not linked.
 ROUNDS = 10
 #: Rounds in which ranks must have settled: about 90, and one for each link of the longest way from a seed.
@@ -100,18 +103,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.withColumn("dst", F.translate("dst", UPPER, LOWER)).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def filtered(pages: DataFrame, rules=RULES, ratio: float = RATIO, **how) -> DataFrame:
+def filtered(pages: DataFrame, rules=RULES, ratio: float = RATIO, floor: float = FLOOR, damping: float = DAMPING, **how) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page.
 
-    Hosts that no seed reaches are allowed. Repeated rows are judged each; null html has no links.
+    Hosts that no seed reaches are allowed, and those with less distrust than `floor` times what an average host of blocked
+    seeds starts with. Repeated rows are judged each; null html has no links; long pages are searched whole.
     """
     each = judged(pages, rules)
     said = each.where("by_rule is not null and host <> ''").groupBy("host").agg(*[F.count_if(F.col("by_rule.verdict") == v).cast("double").alias(k) for v, k in (("allow", "trust"), ("block", "distrust"))])
-    total = said.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
+    total = said.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"), F.count_if(F.col("distrust") > 0).alias("n_distrusted"))
     share = lambda k: F.coalesce(F.col(k) / F.nullif(F.col(f"all_{k}"), F.lit(0.0)), F.lit(0.0)).alias(k)
-    seeds = said.crossJoin(F.broadcast(total)).select("host", share("trust"), share("distrust"))  # one row
-    ranks = propagate(seeds, host_edges(each), **how)
-    blocked = ranks.withColumn("by_graph", F.when((F.col("distrust") > 0) & (F.col("distrust") >= ratio * F.col("trust")), "block").otherwise("allow"))
+    total = F.broadcast(written(total, "totals"))  # one row
+    seeds = said.crossJoin(total).select("host", share("trust"), share("distrust"))
+    ranks = propagate(seeds, host_edges(each), damping=damping, **how).crossJoin(total.select((floor * (1 - damping) / F.nullif("n_distrusted", F.lit(0))).alias("least")))
+    blocked = ranks.select("host", "trust", "distrust", F.when((F.col("distrust") > 0) & (F.col("distrust") >= ratio * F.col("trust")) & (F.col("distrust") >= F.col("least")), "block").otherwise("allow").alias("by_graph"))
     return each.drop("html").join(blocked, "host", "left").select(
         "page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", "by_graph", F.lit("allow")).alias("verdict"), "trust", "distrust"
     )
@@ -122,7 +127,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filtered(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def sql(rules=RULES, ratio: float = RATIO, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
+def sql(rules=RULES, ratio: float = RATIO, floor: float = FLOOR, damping: float = DAMPING, rounds: int = ROUNDS) -> str:
     """The same in SQL, with all rounds written out."""
     fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
     longest = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))
@@ -132,14 +137,14 @@ def sql(rules=RULES, ratio: float = RATIO, damping: float = DAMPING, rounds: int
         select e.kind, e.dst as host, e.share * r.value * {damping} as value from e join r{i - 1} r on r.kind = e.kind and r.host = e.src
         union all select kind, host, value * {1 - damping} from r0) group by 1, 2)"""], range(1, rounds + 1), [])
     return f"""with u as (select page_id, html, case when contains(coalesce(url, ''), '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
-    p as (select page_id, html, lower(regexp_extract(rest, '^([^/?#]*)', 1)) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+    p as (select page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
     j as (select *, {case(lambda v, r: r)} as rule, {case(lambda v, r: v)} as said from p),
     s as (select host, sum(case when said = 'allow' then 1.0 else 0.0 end)::double as t, sum(case when said = 'block' then 1.0 else 0.0 end)::double as d from j where said is not null and host <> '' group by 1),
-    links as (select host as src, lower(unnest(regexp_extract_all(html, '{anchor}', 1))) as dst from j where html is not null and host <> ''),
+    links as (select host as src, translate(unnest(regexp_extract_all(html, '{anchor}', 1)), '{UPPER}', '{LOWER}') as dst from j where html is not null and host <> ''),
     g as (select src, dst, count(*)::double as n from links where src <> dst group by 1, 2),
     b as (select 'trust' as kind, src, dst, n from g union all select 'distrust', dst, src, n from g),
     e as (select kind, src, dst, n / sum(n) over (partition by kind, src) as share from b),
     r0 as (select 'trust' as kind, host, t / (select sum(t) from s) as value from s where t > 0 union all select 'distrust', host, d / (select sum(d) from s) from s where d > 0),
     {", ".join(steps)},
     k as (select host, coalesce(sum(case when kind = 'trust' then value end), 0) as t, coalesce(sum(case when kind = 'distrust' then value end), 0) as d from r{rounds} group by 1)
-    select page_id, j.host, path, rule, coalesce(said, case when d > 0 and d >= {ratio} * t then 'block' else 'allow' end) as verdict from j left join k on k.host = j.host"""
+    select page_id, j.host, path, rule, coalesce(said, case when d > 0 and d >= {ratio} * t and d >= {floor * (1 - damping)} / (select count(*) from s where s.d > 0) then 'block' else 'allow' end) as verdict from j left join k on k.host = j.host"""

@@ -68,7 +68,7 @@ def test_ranks_settle_on_a_long_chain_and_a_cycle(spark, monkeypatch):
         for h in hosts:
             assert (got[h][kind] or 0.0) == pytest.approx(exact[kind][h], rel=1e-4), (kind, h)
     for h in set(hosts) - {"a.org", "d.com"}:
-        assert got[h]["verdict"] == ("block" if exact["distrust"][h] >= 2 * exact["trust"][h] else "allow"), h
+        assert got[h]["verdict"] == ("block" if exact["distrust"][h] >= max(2 * exact["trust"][h], 0.05 * 0.15) else "allow"), h
     far = [(i, f"http://{h}{'/de/x' if h == 'd.com' else '/x'}", f'<a href="//{t}">' if t else "") for i, (h, t) in enumerate(zip([*chain, "d.com"], [*chain[1:], "d.com", ""], strict=True))]
     assert {r["verdict"] for r in judged(spark, far).values()} == {"block"}
     monkeypatch.setattr(urls, "MOST_ROUNDS", 3)
@@ -76,6 +76,14 @@ def test_ranks_settle_on_a_long_chain_and_a_cycle(spark, monkeypatch):
         judged(spark, far)
 
 
+def test_a_trace_of_distrust_blocks_no_host(spark):
+    many = "".join(f'<a href="//other{i}.net">' for i in range(400))
+    got = judged(spark, [(1, "http://hub.net/", many + '<a href="//bad.com">'), (2, "http://shill.net/", '<a href="//bad.com">'), (3, "http://bad.com/de/", ""), (4, "http://far.net/", '<a href="//hub.net">'), *((10 + i, f"http://s{i}.net/", '<a href="//shill.net">') for i in range(30))])
+    assert got[1]["distrust"] > 0.05 * 0.15 and got[1]["verdict"] == got[2]["verdict"] == "block"
+    few = [r for r in got.values() if r["host"].startswith("s") and r["host"] != "shill.net"]
+    assert all(r["distrust"] > 0 and r["verdict"] == ("block" if r["distrust"] >= 0.05 * 0.15 else "allow") for r in few) and {r["verdict"] for r in few} == {"allow"}
+
+
 def test_empty_table(spark):
     assert judged(spark, []) == {}
 
