@@ -20,10 +20,14 @@ from pyspark.sql import window as W
 from .common import pieces, small_batches, table
 
 UNKNOWN = "und"
-#: Bounds of the fit: labelled rows drawn for a language, by hash, characters taken of each, from a place by hash, and
-#: symbols kept for the automaton. Short pieces of many texts: a text that is copied elsewhere, or is partly in another
-#: language, cannot lend a language more than a few words.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 500, 150, 60_000
+#: Bounds of the fit: labelled rows drawn for a language, by hash, and the letters of their lines with which a language has
+#: enough. A row lends one line, drawn by hash and whole: many lines of many texts, as a text that is copied elsewhere, or is
+#: partly in another language, is not to lend a language more than a few words. Lines of more than LONG_LINE characters
+#: are not drawn.
+SAMPLE_ROWS, SAMPLE_SYMBOLS, LONG_LINE = 500, 60_000, 20_000
+#: The score's steepness: evidence of more letters than this does not make it steeper, so that long texts keep
+#: telling sure from unsure.
+SURE_LETTERS = 40
 #: Text bytes that a worker walks in step: the more, the less a step costs a text.
 STEP_BYTES = 8 << 20
 #: Letters that have a symbol of their own, the most frequent of the samples; all others share one.
@@ -74,7 +78,7 @@ class Model:
     table[state * symbols + symbol] is twice the next row's offset, plus one where a phrase ended before the symbol.
     """
 
-    def __init__(self, texts: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS):
+    def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(k for k, v in texts.items() if v)
         letters: dict[str, int] = {}
         folded = {k: " ".join(texts[k]).lower() for k in self.languages}
@@ -93,7 +97,7 @@ class Model:
         rows, self.roots, self.cost = [], [], []
         base = 0
         for k in self.languages:
-            codes = self.codes(folded[k])[:symbols]
+            codes = self.codes(folded[k])
             own = automaton(codes, self.width)
             # where no transition is, a phrase ends and the next starts at the root with the symbol; a symbol that
             # even the root lacks is a phrase of its own, in a last state that every symbol ends
@@ -153,13 +157,13 @@ class Model:
                 continue
             best = int(np.argmin(row))  # ties: the first by name
             rate = row / length
-            weight = np.exp2(-(rate - rate[best]) * min(int(length), 40))
+            weight = np.exp2(-(rate - rate[best]) * min(int(length), SURE_LETTERS))
             out.append((self.languages[best], float(weight[best] / weight.sum())))
         return out
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS) -> dict[str, list[str]]:
-    """Pieces of up to `rows` labelled documents a language, those of least keyed hash.
+    """A line each of up to `rows` labelled documents a language, those of least keyed hash, until they hold `symbols`.
 
     Languages with many rows are first thinned by hash to about twice the bound, so no task ranks a whole language.
     Only text and lang are used, besides the key that orders the draw.
@@ -170,10 +174,11 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAM
         return {}
     draw = F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * rows / n + 40 / n) * (1 << 30))))])
-    place = (F.pmod(F.xxhash64(F.lit("place"), F.col("doc_id")), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS)) + 1).cast("int")
-    few = known.select("lang", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"), draw.alias("draw")).where(F.col("draw") < share[F.col("lang")])
+    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(r"\p{L}") & (F.length(x) <= LONG_LINE))
+    few = known.select("lang", "doc_id", lines.alias("lines"), draw.alias("draw")).where(F.col("draw") < share[F.col("lang")])
+    line = F.get("lines", F.pmod(F.xxhash64(F.lit("line"), F.col("doc_id")), F.greatest(F.lit(1), F.size("lines"))).cast("int"))
     order = W.Window.partitionBy("lang").orderBy("draw", "text")
-    kept = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    kept = few.select("lang", line.alias("text"), "draw").where(F.col("text").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     out: dict[str, list[str]] = {k: [] for k in sizes}
     held = dict.fromkeys(sizes, 0)
     for r in kept.select("lang", "rank", "text").orderBy("rank", "lang").toLocalIterator():
@@ -183,13 +188,13 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAM
     return out
 
 
-def consistent(texts: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS) -> dict[str, list[str]]:
+def consistent(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     """texts without those that the other half of the sample takes for another language: a mislabelled text would
     match its copies better than any language matches itself. A language keeps all where nothing would be left."""
     folds = [{k: v[i::2] for k, v in texts.items()} for i in (0, 1)]
     kept: dict[str, list[str]] = {k: [] for k in texts}
     for i in (0, 1):
-        model = Model(folds[1 - i], symbols)
+        model = Model(folds[1 - i])
         if len(model.languages) < 2:
             return texts
         for k, own in folds[i].items():
@@ -199,15 +204,17 @@ def consistent(texts: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS) -> di
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS) -> Model:
     """A model of the labelled sample, but for texts that contradict their label."""
-    return Model(consistent(labelled_sample(docs, rows, symbols), symbols), symbols)
+    return Model(consistent(labelled_sample(docs, rows, symbols)))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score.
 
     `und` with score 0 where the text is null or has no letter, or where no language was learned; ties between
-    languages go to the first by name; whatever other columns there are stay.
+    languages go to the first by name; whatever other columns there are stay, but columns of those two names are
+    replaced. A text of any length is walked whole, those of a batch in step.
     """
+    docs = docs.drop("lang_pred", "score")
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")

@@ -24,11 +24,28 @@ def test_held_out_accuracy(spark, data):
     assert {r["held_out"] for r in got.collect()} == {True, False}
 
 
+def test_query_like_substring_search(spark, data):
+    docs = table(spark, data, "documents")
+    learned = docs.where(language.crc_mod3() != 1).select("doc_id", "text", "lang")
+    texts = language.consistent(language.labelled_sample(learned))
+    model = language.Model(texts)
+    samples = {k: " ".join(v).lower() for k, v in texts.items()}
+    assert all(line in r["text"].splitlines() or "\n" not in r["text"] for k, v in list(texts.items())[:1] for line in v[:3] for r in [next(r for r in learned.collect() if line in (r["text"] or ""))])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.op3_language_id(spark, data).collect()}
+    for r in docs.where("doc_id % 7 = 0").collect():
+        n = language.brute_force(model, samples, (r["text"] or "").lower())
+        bits = {k: n[k] * cost for k, cost in zip(model.languages, model.cost, strict=True)}
+        want = min(sorted(bits), key=bits.get) if any(c.isalpha() for c in r["text"] or "") else language.UNKNOWN
+        assert got[r["doc_id"]] == want, r["doc_id"]
+
+
 def test_odd_rows_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "hello there my friend", "en", "p"), (1, "hello there my friend", "en", "p"), (2, None, "en", "p"), (None, "12 34", None, "p"), (3, "word " * 50000, None, "p")], "doc_id bigint, text string, lang string, rank string")
     model = language.fit(docs)
     got = {(r["doc_id"], r["lang_pred"]) for r in language.predicted(docs, model).collect()}
     assert got == {(1, "en"), (2, "und"), (None, "und"), (3, "en")}
+    named = language.predicted(docs.withColumnsRenamed({"rank": "lang_pred"}).withColumn("score", F.lit("s")), model)
+    assert named.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and {r["lang_pred"] for r in named.collect()} == {"en", "und"}
     empty = docs.limit(0)
     assert language.predicted(empty, language.fit(empty)).collect() == []
     assert language.predicted(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
