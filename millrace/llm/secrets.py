@@ -3,12 +3,15 @@
 Keywords are found in one pass of the automaton; a pattern is tried only at a hit, leftmost first, and a hit
 inside an earlier match of its kind is passed over, so the matches are those of a plain left-to-right search.
 Hexadecimal runs have no keyword: a run of 16 covers four samples taken every fourth character, so only places
-with four hexadecimal samples in a row are read. Provider tokens count only if the checksum at their end holds.
+with four hexadecimal samples in a row are read. Provider tokens count only if the checksum at their end holds, and web
+tokens only if their first part decodes to a JSON header.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,10 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import pieces, small_batches, table
 
 #: Kinds in the order in which spans with one start are listed.
-KINDS = ("assign", "access", "hex", "checked")
+KINDS = ("assign", "access", "hex", "checked", "key", "jwt")
+#: The kinds that have no check of their own: the contract's.
+BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 CHECKED = re.compile(r"(gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
+KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY(?: BLOCK)?-----")
+PART = re.compile(r"[A-Za-z0-9_-]*+")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CHECKED_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 12, 18, 16
@@ -39,11 +47,19 @@ def base62_crc(body: str) -> str:
     return out.rjust(6, "0")
 
 
+def json_header(part: str) -> bool:
+    """Whether a token's first part, decoded, is a JSON object that names an algorithm."""
+    try:
+        return "alg" in json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
+    except ValueError:
+        return False
+
+
 def automaton():
     import ahocorasick
 
     words = ahocorasick.Automaton()
-    for kind, keys in ((0, ASSIGN_WORDS), (1, ("akia",)), (3, CHECKED_WORDS)):
+    for kind, keys in ((0, ASSIGN_WORDS), (1, ("akia",)), (3, CHECKED_WORDS), (4, ("-----begin ",)), (5, ("eyj",))):
         for key in keys:
             words.add_word(key, (kind, len(key)))
     words.make_automaton()
@@ -81,7 +97,7 @@ def spans(text: str | None, words) -> list[tuple[int, int, int]]:
     # U+0130 is the only character whose lower case has another length; it is in no keyword.
     low = text.lower() if "İ" not in text else text.replace("İ", "I").lower()
     found: list[tuple[int, int, int]] = []
-    past = [0, 0, 0, 0]
+    past = [0] * len(KINDS)
     hits = sorted((end - n + 1, kind) for end, (kind, n) in words.iter(low))
     for at, kind in hits:
         if at < past[kind]:
@@ -98,6 +114,14 @@ def spans(text: str | None, words) -> list[tuple[int, int, int]]:
             past[3] = m.end()
             if base62_crc(m[2]) == m[3]:
                 found.append((at, 3, m.end()))
+        elif kind == 4 and (m := KEY.match(text, at)):
+            found.append((at, 4, m.end()))
+        elif kind == 5:
+            # whatever starts later in this part ends where it ends
+            m = JWT.match(text, at)
+            past[5] = m.end() if m else PART.match(text, at).end()
+            if m and json_header(m[1]):
+                found.append((at, 5, m.end()))
     found += [(start, 2, end) for start, end in hex_runs(text)]
     return sorted(found)
 
@@ -109,7 +133,8 @@ def joined(found: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and spans array<struct<kind,start,end>> of every row's whole text.
 
-    A null text is an empty one; repeated rows are scanned each; other columns are left out.
+    A null text is an empty one; repeated rows are scanned each; other columns are left out; a text of any length is
+    scanned whole, in one pass of the automaton.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +163,7 @@ def spark_digest(found: DataFrame) -> DataFrame:
     def count(kind):
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    base = F.filter("spans", lambda x: x["kind"] != "checked")
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 

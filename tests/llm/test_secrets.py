@@ -1,3 +1,4 @@
+import base64
 import random
 
 from millrace.llm import secrets
@@ -20,6 +21,16 @@ def test_checked_tokens_and_consumed_hits():
     assert secrets.spans("token: secret: abcdefghijklmno", words) == []  # the short match takes the second keyword
 
 
+def test_key_headers_and_web_tokens():
+    words = secrets.automaton()
+    head = "-----BEGIN RSA PRIVATE KEY-----"
+    assert secrets.spans(f"x {head} y -----BEGIN CERTIFICATE-----", words) == [(2, 4, 2 + len(head))]
+    part = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    good, bad = (f"{part(h)}.{part('{"sub": 1}')}.c2ln" for h in ('{"alg": "HS256"}', '{"no": 1}'))
+    assert secrets.spans(f"a {good} {bad} eyJx.eyJ", words) == [(2, 5, 2 + len(good))]
+    assert secrets.spans("-----BEGIN " * 50000 + "eyJ" * 50000, words) == []
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, 'a token = "0123456789abcdef0123"', "k"), (2, None, "k"), (2, "", "k"), (None, "x" * 300000 + " AKIA" + "A" * 16, "k")], "doc_id bigint, text string, spans string")
     got = {(r["doc_id"], r["spans"]) for r in secrets.spark_digest(secrets.scan(docs)).collect()}
