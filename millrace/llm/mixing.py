@@ -62,14 +62,14 @@ def n_words(text: Column) -> Column:
 TOPICS = {"tabular": ((" | ",), 10), "noise": (("!!",), 10), "legal": (("icens", "icenc", "opyright", "ICENS", "ICENC", "OPYRIGHT"), 400)}
 
 
-def topic_of(text: Column) -> Column:
-    """What a text is mostly about, where documents bring no topic: rows of cells, shouting, licences, or prose."""
+def topic_of(text: Column, words: Column) -> Column:
+    """What a text of so many words is mostly about, where documents bring no topic: rows of cells, shouting, licences, prose."""
     t = F.coalesce(text, F.lit(""))
-    count = lambda mark: (F.length(t) - F.length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)
+    count = lambda mark: (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(mark), F.lit("")))) / len(mark)
     out = F.lit("prose")
-    for topic, (marks, words) in reversed(TOPICS.items()):
+    for topic, (marks, most) in reversed(TOPICS.items()):
         n = reduce(Column.__add__, map(count, marks))
-        out = F.when((n > 0) & (n * words >= n_words(text)), topic).otherwise(out)
+        out = F.when((n > 0) & (n * most >= words), topic).otherwise(out)
     return out
 
 
@@ -78,8 +78,11 @@ def in_cells(docs: DataFrame, targets: Targets) -> DataFrame:
 
     Columns topic and n_tokens (say, of the token counts' operator) are used where there are such.
     """
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"))
-    tokens = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)) if "n_tokens" in docs.columns else n_words(F.col("text"))
+    # words are counted below, once, and only where a column does not say what they are counted for
+    if not {"topic", "n_tokens"} <= set(docs.columns):
+        docs = docs.withColumn("_words", n_words(F.col("text")))
+    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"), F.col("_words"))
+    tokens = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)) if "n_tokens" in docs.columns else F.col("_words")
     own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
     named = {f"_{m}": F.when(c.isin(*(k for k in getattr(targets, m) if k != OTHER)), c).otherwise(OTHER) for m, c in own.items()}
     return docs.withColumns(named | {"_tokens": tokens})

@@ -82,7 +82,7 @@ def test_token_counts_of_the_documents_are_used(spark):
 def test_topics_by_their_share_of_the_text(spark):
     texts = ["a | b | c\nd | e | f", "word " * 50 + "a | b", "NO!! WAY!! STOP!!", "All rights: licensed under a licence. Copyright.", "", None, "word " * 500 + "license"]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    assert [r[0] for r in docs.select(mixing.topic_of(docs["text"])).collect()] == ["tabular", "prose", "noise", "legal", "prose", "prose", "prose"]
+    assert [r[0] for r in docs.select(mixing.topic_of(docs["text"], mixing.n_words(docs["text"]))).collect()] == ["tabular", "prose", "noise", "legal", "prose", "prose", "prose"]
 
 
 def test_infeasible_targets_can_be_refused(spark):
