@@ -1,7 +1,9 @@
 """A corpus from raw documents: language, near duplicates, benchmark passages, secrets, then the mix.
 
 Each stage works on what the one before it kept and takes (spark, docs, sf_dir). All but the last return the
-columns of documents.
+columns of documents. Rows are told apart by doc_id and text together, so rows that share a doc_id, or have none, are
+each judged by their own text. A row with a null or empty text has no language and leaves in the first stage; texts of
+any length are read whole; empty tables stay empty; an empty benchmark drops nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from millrace.llm.common import table, written
 #: A document is rejected when its language cannot be told, or when it has so many characters and its language differs
 #: from its label with at least this score: short texts may be licence lines or addresses in no language of their own.
 SURE, LEAST_CHARS = 0.95, 200
+KEY = ["doc_id", "text_key"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +28,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.where((F.col("lang_pred") != language.UNKNOWN) & ~other).select(*docs.columns)
 
 
+def picked(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with keys (doc_id, text_key), null ids like others."""
+    left, right = docs.withColumn("_text_key", jaccard.text_key()).alias("l"), keys.alias("r")
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l._text_key").eqNullSafe(F.col("r.text_key"))
+    return left.join(right, same, how).select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of near copies."""
-    found = jaccard.near_duplicates(docs)
-    copies = written(found.where("class_id <> doc_id").select("doc_id"), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document of each class of near copies, that with the least doc_id; of rows that repeat it, one."""
+    found = written(jaccard.near_duplicates(docs).select(*KEY, "class_key", "stays"), "near")
+    copies = written(found.where(~F.col("stays")).select(*KEY).distinct(), "copies")
+    kept = picked(docs, copies, "left_anti")
+    repeated = written(found.where(F.col("stays") & F.col("class_key").isNotNull()).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = picked(kept, repeated, "left_semi").withColumn("_text_key", jaccard.text_key()).dropDuplicates(["doc_id", "_text_key"])
+    return picked(kept, repeated, "left_anti").unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = written(found.where("contaminated").select("doc_id").distinct(), "hit")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return picked(docs, written(found.where("contaminated").select(*KEY).distinct(), "hit"), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
