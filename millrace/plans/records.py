@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions import jsons, money, options, text, urls
@@ -15,7 +13,6 @@ from .fields import _case, _pick, _table
 
 CELLS, PARSED = _table([('"a ""q"", b"', 'a "q", b'), ("plain", "plain"), ('"two\nlines"', "two\nlines"), ("", "")])
 REASONS, ROWS = _table([("Row 12: no price", 12), ("row #7", 7), ("nothing", None), ("rows of 5", None)])
-NESTED, NODES = _table([('[{"@type":"Product","n":1},{"@graph":[{"n":2},{"n":3}]}]', 4), ('{"n":1}', 1), ("{", 0), ('{"@graph":[]}', 1)])
 LISTS, LISTED = _table([('["u1","u2"]', "u1|u2"), ("u1, u2", "u1|u2"), ("u3|u3", "u3|u3")])
 SKUS, MULTIPLIERS = _table([("DAB-NXT-A-ONE-22", 22), ("DAB-NXT-A-ONE-25", None), ("x-24", 24), ("", None)])
 
@@ -188,18 +185,6 @@ def n03_lists(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(jsons.as_list(_pick(LISTS)), "|").alias("listed"))
 
 
-@query(f"""select p_partkey, {_case(NODES)} as nodes from part""")
-def n04_json_ld_nodes(spark, sf_dir):
-    """How many nodes a JSON-LD text has, through arrays and graphs."""
-    from ..operators import extraction
-
-    @F.pandas_udf(T.IntegerType())
-    def nodes(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: len(list(extraction.flattened(extraction.parsed(v)))))
-
-    return Tables(spark, sf_dir).part.select("p_partkey", nodes(_pick(NESTED)).alias("nodes"))
-
-
 @query("""select p_partkey, 2 as products from part""")
 def n05_embedded_nodes(spark, sf_dir):
     """Product-like nodes somewhere inside a state object."""
