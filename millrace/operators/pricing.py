@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+#: Rules without a supplier, and foreign ones, that differ in currency or default: counted, and broadcast up to so many.
+BROADCAST_ROWS = 10_000
+
+
+def _norm(c: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(c, F.lit(""))))
+
 
 def scored(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every item's contexts with every rule's fit: eligible and score.
+    """Every item's contexts with the rules that can be its best, and their fit: eligible and score.
 
-    items: supplier_id, currency; rules: rule_pos, supplier_id, currency, is_default and what else they carry. Rules
-    are a small configured table and are broadcast; contexts are made distinct first, so few rows meet them.
+    items: supplier_id, currency; rules: rule_pos, supplier_id, currency, is_default and what else they carry. Contexts
+    are made distinct. A supplier's own rules meet its contexts by equality. Of the others the score hangs on currency
+    and default alone, so the first rule of each such kind stands for all of it (two of different suppliers where they
+    have one, as a context's own does not count as foreign): only those few meet every context.
     """
-    norm = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    kind = ["_currency", "_default"]
+    r = rules.withColumns({"_currency": _norm(F.col("currency")), "_default": F.coalesce("is_default", F.lit(False))}).withColumnsRenamed({"supplier_id": "rule_supplier", "currency": "rule_currency"})
+    first = lambda df, *by: df.withColumn("_n", F.row_number().over(W.Window.partitionBy(*by).orderBy("rule_pos")))
+    owned = first(r.where("rule_supplier is not null"), "rule_supplier", *kind).where("_n = 1").drop("_n")
+    general = first(r.where("rule_supplier is null"), *kind).where("_n = 1").drop("_n")
+    foreign = first(owned, *kind).where("_n <= 2").drop("_n")
+    few = general.unionByName(foreign)
+    few = F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
     item = items.select("supplier_id", "currency").distinct()
-    r = F.broadcast(rules.withColumnsRenamed({"supplier_id": "rule_supplier", "currency": "rule_currency"}))
-    own, has, wants = norm(F.col("currency")), norm(F.col("rule_currency")), F.col("rule_supplier")
+    own = item.join(owned, F.col("supplier_id") == F.col("rule_supplier"))
+    other = item.join(few, ~F.coalesce(F.col("supplier_id") == F.col("rule_supplier"), F.lit(False)))
+    met = own.unionByName(other)
+    currency, has, wants = _norm(F.col("currency")), F.col("_currency"), F.col("rule_supplier")
     supplier = F.coalesce(wants == F.col("supplier_id"), F.lit(False))
-    fits = (wants.isNull() | supplier) & ((has == "") | (own == "") | (has == own))
-    score = (
-        F.when(supplier, 100).when(wants.isNull(), 10).otherwise(-100)
-        + F.when((own != "") & (has == own), 30).when(has == "", 5).otherwise(-20)
-        + F.when(F.coalesce("is_default", F.lit(False)), 15).otherwise(0)
-    )
-    return item.join(r, F.lit(True)).withColumn("eligible", fits).withColumn("score", score)
+    fits = (wants.isNull() | supplier) & ((has == "") | (currency == "") | (has == currency))
+    score = F.when(supplier, 100).when(wants.isNull(), 10).otherwise(-100) + F.when((currency != "") & (has == currency), 30).when(has == "", 5).otherwise(-20) + F.when(F.col("_default"), 15).otherwise(0)
+    return met.withColumn("eligible", fits).withColumn("score", score).drop(*kind)
 
 
 def best(items: DataFrame, rules: DataFrame) -> DataFrame:

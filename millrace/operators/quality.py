@@ -172,6 +172,42 @@ def extraction_warnings(title: Column, price: Column, images: Column, variants:
     ])
 
 
+def all_sold_out(sold_out: Column) -> Column:
+    """Aggregate: whether every variant is sold out; false for none."""
+    return F.coalesce(F.bool_and(F.coalesce(sold_out, F.lit(False))), F.lit(False))
+
+
+def sellability(tracked: Column, quantity: Column, free: Column) -> Column:
+    """Aggregate: unknown where a variant's tracking or stock is, sellable if any is untracked or free to sell."""
+    number = quantity.cast("double")
+    unknown = F.bool_or(tracked.isNull() | number.isNull() | F.isnan(number))
+    return F.when(F.coalesce(unknown, F.lit(True)), "unknown").when(F.bool_or(~tracked | free), "sellable").otherwise("not_sellable")
+
+
+def price_stock_target(multiplier: Column, skus: Column, sheet: Column, known_sheets: Column, row_number: Column) -> Column:
+    """Whether price sync may touch a product: an approved multiplier, some SKU, and a known sheet, or without one a row number."""
+    place = F.when(F.coalesce(sheet, F.lit("")) != "", F.array_contains(known_sheets, sheet)).otherwise(F.coalesce(row_number > 0, F.lit(False)))
+    return multiplier.isNotNull() & F.exists(skus, lambda s: text(s) != "") & place
+
+
+def stored_usable(url: Column, stored_url: Column, title: Column, price: Column, images: Column, variants: Column) -> Column:
+    """Whether a stored product can stand in for a page: the same URL, a title, a price, and images and variants (how many)."""
+    same = urls.canonical_link(url) == urls.canonical_link(stored_url)
+    return F.coalesce(same, F.lit(False)) & (F.length(clean(title)) > 5) & valid_price(price) & (images > 0) & (variants > 0)
+
+
+def capability_warnings(found: dict[str, Column], robots_allow: Column, restricted: Column) -> Column:
+    """What speaks against reading a source: found as signals() of a page has it."""
+    static = found["json_ld"] | found["embedded"] | found["static"]
+    return issues([(~robots_allow, "ROBOTS_DISALLOWED"), (restricted, "RESTRICTED"), (~(found["json_ld"] | found["embedded"]), "NO_STRUCTURED_DATA"), (~static, "NO_PRODUCT_DATA"), (found["browser"] & ~static, "BROWSER_NEEDED")])
+
+
+def media_issues(images: Column, colors: Column, least: int = 5) -> Column:
+    """What a brand's sample product lacks: images that differ, and variants (colors: one each) with a colour."""
+    fine = F.array_distinct(F.filter(images, urls.is_http))
+    return issues([(F.size(fine) < least, "too few images"), (F.size(fine) < F.size(images), "images repeat or are no URLs"), (~F.exists(colors, lambda c: clean(c) != ""), "no colour")])
+
+
 def readiness(title: Column, price: Column, images: Column, confidence: Column) -> Column:
     """ready, review or rejected."""
     return F.when((text(title) == "") | price.isNull(), "rejected").when((images > 0) & (confidence >= 70), "ready").otherwise("review")

@@ -1,4 +1,4 @@
-"""The rest of the scalar functions, on fixtures made of part, so that every branch occurs."""
+"""The rest of the scalar functions, on texts made of the tables' values; the SQL computes what must come out of them."""
 
 from __future__ import annotations
 
@@ -17,49 +17,42 @@ def _pick(values: list[str], key: str = "p_partkey") -> Column:
     return F.array(*map(F.lit, values))[(F.col(key) % len(values)).cast("int")]
 
 
-def _case(values: list[object], key: str = "p_partkey") -> str:
-    """SQL for the wanted results in the same turn."""
-    lit = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'"
-    return f"case {key} % {len(values)} " + " ".join(f"when {i} then {lit(v)}" for i, v in enumerate(values)) + " end"
+def _by(n: Column, *values: Column) -> Column:
+    """The n-th of columns, from 0."""
+    out = F.lit(None)
+    for i in range(len(values) - 1, -1, -1):
+        out = F.when(n == i, values[i]).otherwise(out)
+    return out
 
 
-def _table(pairs: list[tuple[str, object]]) -> tuple[list[str], list[object]]:
-    return [a for a, _ in pairs], [b for _, b in pairs]
-
-
-# inputs with the results that they must have, stated and not computed
-RANGES, RANGE_MAX = _table([("AED92 - AED114", 114.0), ("from 1,299.50", 1299.5), ("none", 0.0), ("7", 7.0)])
-SHEET, SHEET_PRICE = _table([("12,5", 12.5), ("AED 99", 99.0), ("-3", None), ("", None), ("1.5x", 1.5)])
-MONEY, MONEY_CURRENCY = _table([("EGP 10", "EGP"), ("10 USD", "USD"), ("£5", "GBP"), ("5 TL", "TRY"), ("x", "USD"), ("MXN 4", "MXN")])
-NUMBERS, POSITIVE = _table([(" 5 ", 5.0), ("", None), ("0x1f", 31.0), ("-2", None), ("abc", None), ("1e3", 1000.0)])
-SIZES, IS_SIZE = _table([("XL", True), ("3-6 months", True), ("EU 22", True), ("red", False), ("5", False), ("104 cm", True), ("Baby Girl 3 months", False)])
-COLORS, HEX = _table([("rgb(255, 0, 10)", "#FF000A"), ("#abc", "#AABBCC"), ("Navy", "#000080"), ("rgba(1,1,1,0)", ""), ("unknown", ""), ("C0FFEE", "#C0FFEE")])
-DEFAULTS, IS_DEFAULT = _table([("Default Title", True), ("Choose a size", True), ("red", False), ("", True), ("size guide", True), ("One sizes", False)])
-TITLES, TITLE_COLOR = _table([("Navy Blue T-Shirt from Next", "Navy Blue"), ("Baby Dress", None), ("Next Sage Green - Romper", "Sage Green"), ("plain words", None)])
-STOCK, STOCK_WANT = _table([("in_stock", "in_stock"), ("odd", "unknown"), ("low_stock", "low_stock"), ("out_of_stock", "out_of_stock")])
-BROKEN, BROKEN_A = _table([('{"a":1,}', "1"), ('<!-- {"a":2} -->', "2"), ("{", None), ('{"b":3}', None), ('{"a":"x"}', "x")])
-LISTS, LISTED = _table([('["a"," b ",""]', "a|b"), ("a, b|c", "a|b|c"), ("", ""), ("x", "x")])
-ENTITIES, DECODED = _table([("a &amp; b", "a & b"), ("&#189; price", "½ price"), ("&lt;b&gt;", "<b>"), ("plain", "plain")])
-LINKS, ABSOLUTE = _table([("/x?utm_source=1&q=2", "https://h.com/x?q=2"), ("y.jpg#f", "https://h.com/a/y.jpg"), ("data:image/png,1", None), ("//c.com/z", "https://c.com/z")])
-IMAGES, IMAGE_WANT = _table([("https://x/A.jpg?w=10&v=2", "https://x/a.jpg?v=2"), ("https://x/b.png?q=1#t", "https://x/b.png"), ("https://x/c.webp", "https://x/c.webp")])
-
-
-@query(f"select p_partkey, {_case(RANGE_MAX)}::double as most, {_case(SHEET_PRICE)}::double as sheet from part")
+@query("""select p_partkey, case p_size % 4 when 0 then p_retailprice + p_size when 1 then p_retailprice when 2 then p_size else 0 end::double as most, p_size::double as least,
+case p_partkey % 4 when 0 then p_size + 0.5 when 1 then p_retailprice when 2 then null else null end::double as sheet, case when p_size % 2 = 0 then p_size / 100.0 else p_retailprice end::double as cents from part""")
 def m02_simple_prices(spark, sf_dir):
-    """Ranges and sheet cells."""
-    return Tables(spark, sf_dir).part.select("p_partkey", money.price_range(_pick(RANGES))["max"].alias("most"), money.sheet_price(_pick(SHEET)).alias("sheet"))
-
-
-@query(f"select p_partkey, {_case(MONEY_CURRENCY)} as currency from part")
+    """Ranges, sheet cells and prices in cents."""
+    z, price = F.col("p_size").cast("string"), F.col("p_retailprice").cast("string")
+    grouped = F.format_number("p_retailprice", 2)
+    text = _by(F.col("p_size") % 4, F.concat(F.lit("AED"), F.format_number(F.col("p_retailprice") + F.col("p_size"), 2), F.lit(" - AED"), z), F.concat(F.lit("from "), grouped), F.concat(z, F.lit(" only")), F.lit("ask"))
+    sheet = _by(F.col("p_partkey") % 4, F.concat(z, F.lit(",5")), F.concat(F.lit("AED "), price), F.concat(F.lit("-"), z), F.lit(""))
+    cents = F.when(F.col("p_size") % 2 == 0, z).otherwise(F.concat(F.lit("EGP "), grouped))
+    least = money.price_range(F.concat(z, F.lit(" to "), F.format_number(F.col("p_retailprice") + 100, 1)))["min"]
+    return Tables(spark, sf_dir).part.select("p_partkey", money.price_range(text)["max"].alias("most"), least.alias("least"), money.sheet_price(sheet).alias("sheet"), money.cents_price(cents).alias("cents"))
+
+
+@query("""with c as (select c_custkey, case c_nationkey % 6 when 0 then 'EGP' when 1 then 'USD' when 2 then 'GBP' when 3 then 'TRY' when 4 then 'MXN' end as c, c_acctbal > 0 as named from customer)
+select c_custkey, case when not named or c is null then 'USD' else c end as currency from c""")
 def m04_regional_currency(spark, sf_dir):
-    """Currencies in the regional order of signals."""
-    return Tables(spark, sf_dir).part.select("p_partkey", money.currency_regional(_pick(MONEY)).alias("currency"))
+    """Currencies in the regional order of signals, of amounts as the accounts have them."""
+    amount = F.format_number(F.abs("c_acctbal"), 2)
+    signal = _by(F.col("c_nationkey") % 6, F.concat(F.lit("EGP "), amount), F.concat(amount, F.lit(" USD")), F.concat(F.lit("£"), amount), F.concat(amount, F.lit(" TL")), F.concat(F.lit("MXN "), amount), amount)
+    return Tables(spark, sf_dir).customer.select("c_custkey", money.currency_regional(F.when(F.col("c_acctbal") > 0, signal).otherwise(amount)).alias("currency"))
 
 
-@query(f"select p_partkey, {_case(POSITIVE)}::double as n from part")
+@query("""select c_custkey, case c_custkey % 5 when 0 then case when c_acctbal > 0 then c_acctbal end when 1 then c_custkey * 1000.0 when 2 then nullif(c_custkey, 0)::double end::double as n from customer""")
 def m06_positive_numbers(spark, sf_dir):
-    """Texts as positive numbers."""
-    return Tables(spark, sf_dir).part.select("p_partkey", money.positive(_pick(NUMBERS)).alias("n"))
+    """Texts as positive numbers: balances of either sign, powers of ten, hexadecimal, words and blanks."""
+    k = F.col("c_custkey")
+    text = _by(k % 5, F.concat(F.lit(" "), F.col("c_acctbal").cast("string"), F.lit(" ")), F.concat(k.cast("string"), F.lit("e3")), F.concat(F.lit("0x"), F.hex(k)), F.col("c_name"), F.lit("  "))
+    return Tables(spark, sf_dir).customer.select("c_custkey", money.positive(text).alias("n"))
 
 
 @query("select p_partkey, case when p_size % 2 = 0 then 'compare-at price must exceed the price' end as issue, case when p_size % 3 = 0 then 95 when p_size % 3 = 1 then 40 else 0 end + 5 as confidence from part")
@@ -71,16 +64,22 @@ def m10_scores_and_compare_at(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", issue.alias("issue"), money.confidence(has).alias("confidence"))
 
 
-@query(f"select p_partkey, {_case(IS_SIZE)} as size, {_case(IS_DEFAULT)} as is_default from part")
+@query("""select p_partkey, p_partkey % 6 < 3 or p_partkey % 6 = 5 and p_type in ('SMALL', 'MEDIUM', 'LARGE') as size,
+case p_partkey % 3 when 0 then p_size % 2 = 0 when 1 then true else false end as is_default from part""")
 def z02_option_predicates(spark, sf_dir):
     """What looks like a size, and what chooses nothing."""
-    return Tables(spark, sf_dir).part.select("p_partkey", options.looks_like_size(_pick(SIZES)).alias("size"), options.is_default(_pick(DEFAULTS)).alias("is_default"))
+    z = F.col("p_size").cast("string")
+    sizes = _by(F.col("p_partkey") % 6, F.concat(z, F.lit("-"), (F.col("p_size") + 3).cast("string"), F.lit(" months")), F.concat(F.lit("EU "), z), F.concat(z, F.lit(" cm")), F.col("p_name"), F.concat(F.lit("Baby Girl "), z, F.lit(" months")), F.col("p_type"))
+    defaults = _by(F.col("p_partkey") % 3, F.when(F.col("p_size") % 2 == 0, "Default Title").otherwise(F.col("p_name")), F.lit("Choose a size"), F.concat(z, F.lit(" sizes")))
+    return Tables(spark, sf_dir).part.select("p_partkey", options.looks_like_size(sizes).alias("size"), options.is_default(defaults).alias("is_default"))
 
 
-@query(f"select p_partkey, {_case(HEX)} as hex from part")
+@query("""select p_partkey, case p_partkey % 4 when 0 then printf('#%02X%02X%02X', p_size, p_partkey % 256, least(255, 5 * p_size + 40)) when 1 then printf('#%02X%02X%02X', p_size, p_size, p_partkey % 256) when 2 then '' else printf('#%X%X%X%X%X%X', p_size % 16, p_size % 16, p_partkey % 16, p_partkey % 16, 10, 10) end as hex from part""")
 def z03_swatches(spark, sf_dir):
-    """Colours as #RRGGBB."""
-    return Tables(spark, sf_dir).part.select("p_partkey", options.hex_color(_pick(COLORS)).alias("hex"))
+    """Colours as #RRGGBB: channels of all values, hexadecimal in both lengths, and transparent ones."""
+    z, k = F.col("p_size"), F.col("p_partkey")
+    text = _by(k % 4, F.format_string("rgb(%d, %d, %d)", z, k % 256, 5 * z + 40), F.format_string("#%02x%02x%02x", z, z, k % 256), F.format_string("rgba(%d,1,1,0)", z), F.format_string("#%x%xa", z % 16, k % 16))
+    return Tables(spark, sf_dir).part.select("p_partkey", options.hex_color(text).alias("hex"))
 
 
 @query("select p_partkey, case p_partkey % 3 when 0 then 'Color,Size,Fit' when 1 then 'Title' else 'Size,Brand' end as names from part")
@@ -98,11 +97,13 @@ def z07_value_from_title(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", options.value_in_title(title, F.array(F.lit("blue"), F.lit("navy blue"), F.lit("green"))).alias("value"))
 
 
-@query(f"select p_partkey, {_case(TITLE_COLOR)} as color, {_case(STOCK_WANT)} as stock from part")
+@query("""select p_partkey, case when p_partkey % 3 < 2 then upper(substr(p_name, 1, 1)) || substr(p_name, 2) end as color, case when p_size % 4 = 3 then 'out_of_stock' when p_size % 4 = 1 then 'unknown' when p_size % 4 = 2 then 'low_stock' else 'in_stock' end as stock from part""")
 def z09_title_colors_and_stock(spark, sf_dir):
     """Colours that titles begin with, and stock states."""
-    said = _pick(STOCK)
-    return Tables(spark, sf_dir).part.select("p_partkey", options.title_color(_pick(TITLES)).alias("color"), options.stock_status(said != "out_of_stock", said).alias("stock"))
+    name = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 99))
+    title = _by(F.col("p_partkey") % 3, F.concat(name, F.lit(" T-Shirt from Next")), F.concat(F.lit("Next "), name, F.lit(" - Romper")), F.concat(F.lit("Baby "), name, F.lit(" Dress")))
+    said = _by(F.col("p_size") % 4, F.lit("in_stock"), F.lit("odd"), F.lit("low_stock"), F.lit("in_stock"))
+    return Tables(spark, sf_dir).part.select("p_partkey", options.title_color(title).alias("color"), options.stock_status(F.col("p_size") % 4 != 3, said).alias("stock"))
 
 
 @query("select p_partkey, case p_partkey % 4 when 0 then 3.0 when 1 then 1022.0 when 2 then 24.0 else 5000.0 end::double as strict, case p_partkey % 4 when 0 then 3.0 when 1 then 1022.0 when 2 then 24.0 else 5000.0 end::double as lenient, case p_partkey % 4 when 2 then 24.0 when 3 then 5000.0 else 3000.0 end::double as sku from part")
@@ -112,11 +113,14 @@ def o10_size_ranks(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", options.size_rank_strict(t).alias("strict"), options.size_rank_lenient(t).alias("lenient"), options.size_rank_sku(t).alias("sku"))
 
 
-@query(f"select p_partkey, {_case(BROKEN_A)} as a, {_case(LISTED)} as listed from part")
+@query("""select event_id, case event_id % 4 when 3 then null else json_extract_string(props, '$.k') end as k, user_id || '|' || event_type as listed from events""")
 def n01_tolerant_json(spark, sf_dir):
-    """Broken JSON mended or null, and lists in two spellings."""
-    a = F.try_variant_get(jsons.parsed(_pick(BROKEN)), "$.a", "string")
-    return Tables(spark, sf_dir).part.select("p_partkey", a.alias("a"), F.array_join(jsons.as_list(_pick(LISTS)), "|").alias("listed"))
+    """Broken JSON mended or null, and lists in two spellings, of the events' own properties."""
+    broken = _by(F.col("event_id") % 4, F.regexp_replace("props", r"\}$", ",}"), F.concat(F.lit("<!-- "), "props", F.lit(" -->")), F.col("props"), F.regexp_replace("props", r"\}$", ""))
+    who, what = F.col("user_id").cast("string"), F.col("event_type")
+    lists = F.when(F.col("event_id") % 2 == 0, F.to_json(F.array(who, F.concat(F.lit(" "), what), F.lit("")))).otherwise(F.concat(who, F.lit(", "), what, F.lit("|")))
+    k = F.try_variant_get(jsons.parsed(broken), "$.k", "string")
+    return Tables(spark, sf_dir).events.select("event_id", k.alias("k"), F.array_join(jsons.as_list(lists), "|").alias("listed"))
 
 
 @query("select p_partkey, upper(substr(sha1(p_name), 1, 8)) as short, sha256(p_name) as long from part")
@@ -125,17 +129,22 @@ def n07_hashes(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", options.short_hash(F.col("p_name")).alias("short"), F.sha2("p_name", 256).alias("long"))
 
 
-@query(f"select p_partkey, {_case(DECODED)} as decoded, {_case(ABSOLUTE)} as absolute from part")
+@query("""select p_partkey, p_name || ' & ' || p_brand || chr(189) as decoded, case p_partkey % 4 when 0 then 'https://h.com/x' || p_size || '?q=' || p_partkey when 1 then 'https://h.com/a/' || p_type || '.jpg' when 2 then null else 'https://c.com/z' || p_size end as absolute from part""")
 def l04_arrow_functions(spark, sf_dir):
     """Character references and relative URLs, in Arrow batches."""
-    return Tables(spark, sf_dir).part.select("p_partkey", extraction.html_unescape(_pick(ENTITIES)).alias("decoded"), extraction.url_join(_pick(LINKS), F.lit("https://h.com/a/b")).alias("absolute"))
+    z, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    source = F.concat("p_name", F.lit(" &amp; "), F.replace("p_brand", F.lit("#"), F.lit("&num;")), F.lit("&#189;"))
+    link = _by(F.col("p_partkey") % 4, F.concat(F.lit("/x"), z, F.lit("?utm_source="), z, F.lit("&q="), k), F.concat("p_type", F.lit(".jpg#f"), z), F.concat(F.lit("data:image/png,"), k), F.concat(F.lit("//c.com/z"), z))
+    return Tables(spark, sf_dir).part.select("p_partkey", extraction.html_unescape(source).alias("decoded"), extraction.url_join(link, F.lit("https://h.com/a/b")).alias("absolute"))
 
 
-@query(f"select p_partkey, {_case(IMAGE_WANT)} as image, p_partkey % 2 = 0 as product from part")
+@query("""select p_partkey, 'https://x/' || lower(p_type) || p_partkey || '.jpg' || case when p_size % 2 = 0 then '?v=' || p_size else '' end as image, p_size as width, p_partkey % 3 > 0 as product from part""")
 def l10_image_urls(spark, sf_dir):
-    """Image URLs without sizes, and which show products."""
-    name = F.when(F.col("p_partkey") % 2 == 0, "https://x/p.jpg").otherwise("https://x/logo.svg")
-    return Tables(spark, sf_dir).part.select("p_partkey", urls.canonical_image(_pick(IMAGES)).alias("image"), urls.is_product_image(name).alias("product"))
+    """Image URLs without sizes, the widths that they name, and which show products."""
+    z, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    image = F.concat(F.lit("https://x/"), F.col("p_type"), k, F.lit(".JPG?w="), z, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("&v="), z)).otherwise(F.lit("")), F.lit("#t"))
+    name = F.concat(F.lit("https://x/"), _by(F.col("p_partkey") % 3, F.lit("logo"), F.lit("p"), F.lit("q")), k, F.lit(".png"))
+    return Tables(spark, sf_dir).part.select("p_partkey", urls.canonical_image(image).alias("image"), urls.image_width(image).alias("width"), urls.is_product_image(name).alias("product"))
 
 
 @query("select p_partkey, case p_partkey % 3 when 0 then 'Pyjamas & Homewear' when 1 then 'General' else 'Tops & T-shirts' end as collection, case when p_size % 2 = 0 then p_size end::int as row, substr(p_name, 1, 5) as head from part")

@@ -2,47 +2,67 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import jsons, money, options, text, urls
-from ..operators import cycle, quality
+from ..operators import cycle, extraction, quality
 from ..sources import feeds, sheets, sinks, web
 from .base import Tables, query
-from .fields import _case, _pick, _table
 
-CELLS, PARSED = _table([('"a ""q"", b"', 'a "q", b'), ("plain", "plain"), ('"two\nlines"', "two\nlines"), ("", "")])
-REASONS, ROWS = _table([("Row 12: no price", 12), ("row #7", 7), ("nothing", None), ("rows of 5", None)])
-LISTS, LISTED = _table([('["u1","u2"]', "u1|u2"), ("u1, u2", "u1|u2"), ("u3|u3", "u3|u3")])
-SKUS, MULTIPLIERS = _table([("DAB-NXT-A-ONE-22", 22), ("DAB-NXT-A-ONE-25", None), ("x-24", 24), ("", None)])
 
-
-@query(f"""select p_partkey, {_case(PARSED)} as cell from part""")
+@query("""select c_custkey, '"' || c_name || '", ' || c_mktsegment as first, c_acctbal::varchar as second, c_name || chr(10) || c_mktsegment as third from customer""")
 def s01_csv_cells(spark, sf_dir):
     """Cells of CSV texts with quotes, commas and line ends inside; blank rows keep their number."""
-    files = Tables(spark, sf_dir).part.select("p_partkey", F.concat(F.lit("k,v\r\n\r\nx,"), _pick(CELLS)).alias("text"))
-    return sheets.read_matrix(files).where("row_index = 2").select("p_partkey", F.get("cells", F.lit(1)).alias("cell"))
+    cell = lambda *c: F.concat(F.lit('"'), F.replace(F.concat(*c), F.lit('"'), F.lit('""')), F.lit('"'))
+    row = F.concat_ws(",", cell(F.lit('"'), F.col("c_name"), F.lit('", '), F.col("c_mktsegment")), F.col("c_acctbal").cast("string"), cell(F.col("c_name"), F.lit("\n"), F.col("c_mktsegment")))
+    files = Tables(spark, sf_dir).customer.select("c_custkey", F.concat(F.lit("k,v\r\n\r\n"), row, F.lit("\r\n,,\r\n")).alias("text"))
+    at = lambda i, name: F.get("cells", F.lit(i)).alias(name)
+    return sheets.read_matrix(files).where("row_index = 2").select("c_custkey", at(0, "first"), at(1, "second"), at(2, "third"))
 
 
-@query("""select p_partkey % 8 as feed, count(*) filter (where p_size % 6 <> 0) as records from part group by 1""")
+@query("""with r as (select o_custkey as feed, case when o_orderstatus = 'F' then '' when o_orderstatus = 'O' then o_orderpriority else 'Order ' || o_orderkey end as title, case when o_orderkey % 3 = 0 then o_orderkey::varchar else '' end as sku, o_totalprice as price from orders)
+    select feed, title, sku, round(price, 2) as price, 'AED' as currency from r where title <> '' or sku <> ''""")
 def s12_feed_candidates(spark, sf_dir):
-    """Feed records that have a title or SKU."""
-    fine = F.col("p_size") % 6 != 0
-    rows = Tables(spark, sf_dir).part.select((F.col("p_partkey") % 8).alias("feed"), F.when(fine, F.col("p_name")).alias("product_name"), F.lit("").alias("id"))
-    found = feeds.candidates(rows, lambda n: F.col(n) if n in ("product_name", "id") else F.lit(None).cast("string"), ["feed"])
-    return found.groupBy("feed").agg(F.count("*").alias("records"))
+    """Feed records with fallbacks of their fields; those with neither title nor SKU go."""
+    status, key = F.col("o_orderstatus"), F.col("o_orderkey").cast("string")
+    record = {"title": F.when(status == "O", F.concat(F.lit(" "), "o_orderpriority")), "name": F.when(status == "P", F.concat(F.lit("Order  "), key)), "sku": F.lit(""), "id": F.when(F.col("o_orderkey") % 3 == 0, key), "price": F.concat(F.lit("AED "), F.col("o_totalprice").cast("string"))}
+    found = feeds.candidates(Tables(spark, sf_dir).orders.withColumn("feed", F.col("o_custkey")), lambda n: record.get(n, F.lit(None).cast("string")), ["feed"])
+    return found.select("feed", "title", "sku", "price", "currency")
+
+
+def _paged(spark, sf_dir, page: int) -> DataFrame:
+    """The parts, read page by page through the paged data source, as many as the table has."""
+    spark.dataSource.register(web.PagedCatalog)
+    total = Tables(spark, sf_dir).part.count()
+    source = spark.read.format("paged_catalog").options(path=f"{sf_dir}/part.parquet", total=total, page=page, key="p_partkey", title="p_name")
+    return web.complete(source.load(), total)
 
 
-@query("""select p_partkey // 50 as page, count(*) as items, max(p_partkey) as cursor from part group by 1""")
+@query("""with p as (select p_partkey, p_name, (row_number() over (order by p_partkey) - 1) // 50 as page from part) select page::int as page, count(*) as items, max(p_partkey) as cursor, min(p_name) as title from p group by 1""")
 def s14_pages(spark, sf_dir):
-    """Pages of 50 with the cursor to go on from; the paged data source itself is tested on files."""
-    return Tables(spark, sf_dir).part.groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(F.count("*").alias("items"), F.max("p_partkey").alias("cursor"))
+    """Pages of 50 through the paged data source, with the cursor to go on from."""
+    return _paged(spark, sf_dir, 50).groupBy("page").agg(F.count("*").alias("items"), F.max(F.col("id").cast("long")).alias("cursor"), F.min("title").alias("title"))
 
 
-@query("""select count(*) = (select max(p_partkey) - min(p_partkey) + 1 from part) as complete, count(*) as items from part""")
+@query("""select p_partkey::varchar as id, p_name as title from part""")
 def s15_complete_scan(spark, sf_dir):
-    """Whether a paged scan has all that the source names."""
-    return Tables(spark, sf_dir).part.agg((F.count("*") == F.max("p_partkey") - F.min("p_partkey") + 1).alias("complete"), F.count("*").alias("items"))
+    """A scan by eight workers' pages that has all that the source names."""
+    return _paged(spark, sf_dir, 250).select("id", "title")
+
+
+@query("""with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) as n from customer) select c_nationkey as sheet, (n + 1)::int as row_number, case when c_custkey % 4 = 0 then '' else 'https://x.ae/p/' || c_custkey end as url,
+    case when c_custkey % 5 = 0 then '' else c_name end as title, c_mktsegment as segment from c""")
+def s08_uploaded_workbooks(spark, sf_dir):
+    """Workbooks as they are uploaded, one a nation, made of the customers: rows by number, empty cells, the URL's column."""
+    k = F.col("c_custkey")
+    row = F.array(F.when(k % 5 == 0, "").otherwise(F.col("c_name")), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("https://x.ae/p/"), k.cast("string"))), F.col("c_mktsegment"))
+    head = F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("Title"), F.lit("Product URL"), F.lit("Segment"))).otherwise(F.array(F.lit("Title"), F.lit("Where"), F.lit("Segment")))
+    each = Tables(spark, sf_dir).customer.groupBy("c_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    files = each.select(F.col("c_nationkey").alias("sheet"), sheets.workbook(F.concat(F.array(head), "rows")).alias("content"))
+    cell = lambda i, name: F.get("cells", F.lit(i)).alias(name)
+    return sheets.uploaded(files, "sheet").select("sheet", "row_number", "url", cell(0, "title"), cell(2, "segment"))
 
 
 @query("""select c_custkey as id, c_name as title, c_mktsegment as status from customer""")
@@ -66,60 +86,69 @@ def k05_guarded_update(spark, sf_dir):
     return sinks.guarded_update(o, F.col("o_orderkey") == first, {"status": F.lit("X")}, 1)
 
 
-@query("""select p_partkey, p_size % 3 = 0 and p_size % 2 = 0 and (p_size % 5 = 0 or p_size > 20) as target from part""")
+@query("""select l_orderkey, case when min(l_quantity) in (22, 23, 24) then true else false end and bool_or(l_returnflag = 'R') and case when any_value(o_orderpriority) like '%NOT%' then min(l_linenumber) > 1 else any_value(o_orderpriority) in ('1-URGENT', '2-HIGH') end as target from lineitem join orders on o_orderkey = l_orderkey group by 1""")
 def p11_price_stock_target(spark, sf_dir):
     """Approved multiplier, some SKU, and a known sheet or else a row number."""
-    z = F.col("p_size")
-    multiplier = money.approved_multiplier(F.when(z % 3 == 0, "23"), F.array(F.lit("x")))
-    sku = F.exists(F.array(F.when(z % 2 == 0, "S").otherwise("")), lambda s: s != "")
-    sheet = F.when(z % 5 == 0, "known")
-    row = F.when(z > 20, z).otherwise(0)
-    return Tables(spark, sf_dir).part.select("p_partkey", (multiplier.isNotNull() & sku & F.when(sheet.isNotNull(), sheet == "known").otherwise(row > 0)).alias("target"))
+    t = Tables(spark, sf_dir)
+    g = t.lineitem.groupBy("l_orderkey").agg(F.min("l_quantity").cast("int").alias("q"), F.collect_set(F.when(F.col("l_returnflag") == "R", "S").otherwise("")).alias("skus"), F.min("l_linenumber").alias("line"))
+    o = g.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sheet = F.when(~F.col("o_orderpriority").contains("NOT"), F.col("o_orderpriority"))
+    multiplier = money.approved_multiplier(F.col("q").cast("string"), F.array().cast("array<string>"))
+    return o.select("l_orderkey", quality.price_stock_target(multiplier, F.col("skus"), sheet, F.array(F.lit("1-URGENT"), F.lit("2-HIGH")), F.col("line") - 1).alias("target"))
 
 
-@query("""select p_partkey, p_size % 2 = 0 and p_retailprice > 0 and length(p_name) > 5 as usable from part""")
+@query("""select p_partkey, p_size % 2 = 0 and p_retailprice > 0 and length(p_name) > 5 and count(l_orderkey) filter (where l_returnflag = 'R') > 0 and count(l_orderkey) > 0 as usable from part left join lineitem on l_partkey = p_partkey group by p_partkey, p_size, p_retailprice, p_name""")
 def p13_stored_usable(spark, sf_dir):
     """A stored product that can stand in: same URL, a title, a price, images and variants."""
-    z = F.col("p_size")
-    same = urls.canonical_link(F.lit("https://m.x.ae/p/1/?utm_a=1")) == urls.canonical_link(F.when(z % 2 == 0, "https://www.x.ae/p/1").otherwise("https://www.x.ae/p/2"))
-    return Tables(spark, sf_dir).part.select("p_partkey", (same & quality.valid_price(F.col("p_retailprice")) & (F.length(text.clean(F.col("p_name"))) > 5)).alias("usable"))
+    t = Tables(spark, sf_dir)
+    n = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_if(F.col("l_returnflag") == "R").alias("images"), F.count("*").alias("variants"))
+    key = F.col("p_partkey").cast("string")
+    url, stored = F.concat(F.lit("https://m.x.ae/p/"), key, F.lit("/?utm_a=1")), F.concat(F.lit("https://www.x.ae/p/"), F.when(F.col("p_size") % 2 == 0, key).otherwise(F.concat(key, F.lit("1"))))
+    p = t.part.join(n, "p_partkey", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("images", "variants")})
+    return p.select("p_partkey", quality.stored_usable(url, stored, F.col("p_name"), F.col("p_retailprice"), F.col("images"), F.col("variants")).alias("usable"))
 
 
 @query("""select l_orderkey, bool_and(l_returnflag = 'R') as sold_out from lineitem group by 1""")
 def p18_all_sold_out(spark, sf_dir):
     """Whether every variant is sold out; never for none."""
-    v = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("v"))
-    return v.select("l_orderkey", ((F.size("v") > 0) & F.forall("v", lambda x: x == "R")).alias("sold_out"))
+    return Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(quality.all_sold_out(F.col("l_returnflag") == "R").alias("sold_out"))
 
 
 @query("""select l_orderkey, case when bool_or(l_linestatus = 'O' or l_quantity > 45) then 'sellable' else 'not_sellable' end as state from lineitem group by 1""")
 def p19_sellability(spark, sf_dir):
     """Sellable if any variant is untracked, may be oversold, or is in stock."""
-    v = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct((F.col("l_linestatus") != "O").alias("tracked"), F.col("l_quantity").alias("n"))).alias("v"))
-    unknown = (F.size("v") == 0) | F.exists("v", lambda x: x["tracked"].isNull() | x["n"].isNull() | F.isnan(x["n"]))
-    return v.select("l_orderkey", F.when(unknown, "unknown").when(F.exists("v", lambda x: ~x["tracked"] | (x["n"] > 45)), "sellable").otherwise("not_sellable").alias("state"))
+    tracked, n = F.col("l_linestatus") != "O", F.col("l_quantity")
+    return Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(quality.sellability(tracked, n, n > 45).alias("state"))
 
 
-@query("""select p_partkey, array_to_string(list_filter([case when p_size % 2 = 0 then 'ROBOTS_DISALLOWED' end, case when p_size % 3 = 0 then 'NO_PRODUCT_DATA' end, case when p_size % 5 = 0 then 'BROWSER_NEEDED' end], lambda x: x is not null), ',') as warnings from part""")
+@query("""with h as (select page_id, regexp_matches(html, '<h1|itemprop=["'']name|property=["'']og:title', 'i') and regexp_matches(html, '<img\\b|property=["'']og:image|itemprop=["'']price|data-price|class=["''][^"'']*price', 'i') as static, regexp_matches(html, '<script', 'i') as ld, contains(url, '/es/') as closed from pages)
+    select page_id, array_to_string(list_filter([case when closed then 'ROBOTS_DISALLOWED' end, case when page_id % 9 = 0 then 'RESTRICTED' end, case when not ld then 'NO_STRUCTURED_DATA' end, case when not ld and not static then 'NO_PRODUCT_DATA' end], lambda x: x is not null), ',') as warnings from h""")
 def p30_capability_warnings(spark, sf_dir):
-    """Warnings of a source's report."""
-    z = F.col("p_size")
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(quality.issues([(z % 2 == 0, "ROBOTS_DISALLOWED"), (z % 3 == 0, "NO_PRODUCT_DATA"), (z % 5 == 0, "BROWSER_NEEDED")]), ",").alias("warnings"))
+    """Warnings of the pages' reports, by the signals that their source gives."""
+    found = extraction.signals(F.col("html")) | {"json_ld": F.col("html").rlike("(?i)<script"), "embedded": F.lit(False)}
+    warnings = quality.capability_warnings(found, ~F.coalesce(F.contains("url", F.lit("/es/")), F.lit(False)), F.col("page_id") % 9 == 0)
+    return Tables(spark, sf_dir).pages.select("page_id", F.array_join(warnings, ",").alias("warnings"))
 
 
-@query("""select p_partkey, case when p_size % 4 = 0 then 'rejected' when p_size % 5 <> 0 and p_size <= 30 then 'ready' else 'review' end as readiness from part""")
+@query("""with g as (select p_partkey, any_value(p_name) as name, any_value(p_size) as size, max(l_extendedprice) filter (where l_returnflag <> 'N') as price, count(*) filter (where l_returnflag = 'R') as images from part left join lineitem on l_partkey = p_partkey group by 1)
+    select p_partkey, case when price is null then 'rejected' when images > 0 and 20 + 20 + 20 + case when size > 25 then 10 else 0 end >= 70 then 'ready' else 'review' end as readiness from g""")
 def p32_readiness(spark, sf_dir):
-    """ready, review or rejected."""
-    z = F.col("p_size")
-    return Tables(spark, sf_dir).part.select("p_partkey", quality.readiness(F.when(z % 4 != 0, F.col("p_name")), F.col("p_retailprice"), F.when(z % 5 != 0, 1).otherwise(0), F.when(z <= 30, 80).otherwise(50)).alias("readiness"))
+    """ready, review or rejected, by what the line items give the parts."""
+    t = Tables(spark, sf_dir)
+    g = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max(F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice"))).alias("price"), F.count_if(F.col("l_returnflag") == "R").alias("images"))
+    p = t.part.join(g, "p_partkey", "left").withColumn("images", F.coalesce("images", F.lit(0)))
+    no = F.lit(False)
+    sure = money.confidence({"title": F.col("p_name") != "", "price": F.col("price").isNotNull(), "images": F.col("images") > 0, "description": F.col("p_size") > 25, "variants": no, "json_ld": no, "canonical": no, "identity": no})
+    return p.select("p_partkey", quality.readiness(F.col("p_name"), F.col("price"), F.col("images"), sure).alias("readiness"))
 
 
-@query("""select p_partkey, array_to_string(list_filter([case when p_size < 5 then 'too few images' end, case when p_size % 2 = 0 then 'no colour' end], lambda x: x is not null), ',') as issues from part""")
+@query("""with g as (select l_orderkey, count(distinct l_suppkey) filter (where l_linestatus = 'O') as fine, count(*) as images, bool_or(l_returnflag = 'R') as colored from lineitem group by 1)
+    select l_orderkey, array_to_string(list_filter([case when fine < 5 then 'too few images' end, case when fine < images then 'images repeat or are no URLs' end, case when not colored then 'no colour' end], lambda x: x is not null), ',') as issues from g""")
 def p36_media_checks(spark, sf_dir):
-    """What a brand's sample product lacks."""
-    images = F.array_repeat(F.lit("https://x/1.jpg"), F.col("p_size"))
-    color = F.when(F.col("p_size") % 2 != 0, "red").otherwise("")
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(quality.issues([(F.size(images) < 5, "too few images"), (text.clean(color) == "", "no colour")]), ",").alias("issues"))
+    """What products lack in images and colours."""
+    image = F.concat(F.when(F.col("l_linestatus") == "O", "https://x/").otherwise("x/"), F.col("l_suppkey").cast("string"), F.lit(".jpg"))
+    g = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.collect_list(image).alias("images"), F.collect_list(F.when(F.col("l_returnflag") == "R", "red").otherwise(" ")).alias("colors"))
+    return g.select("l_orderkey", F.array_join(quality.media_issues(F.col("images"), F.col("colors")), ",").alias("issues"))
 
 
 @query("""with r as (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as n from part) select p_partkey, case when n > 1 then substr('DAB-' || upper(replace(p_name, ' ', '-')), 1, 57) || '-' || upper(substr(sha1(p_partkey::varchar), 1, 6)) else 'DAB-' || upper(replace(p_name, ' ', '-')) end as sku from r""")
@@ -142,10 +171,13 @@ def x03_label(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", text.label(F.concat(F.lit("  "), F.upper("p_name"), F.lit("  \n"), F.col("p_type"), F.lit(" "))).alias("label"))
 
 
-@query(f"""select p_partkey, {_case(ROWS)}::int as row from part""")
+@query("""select o_orderkey, case o_custkey % 3 when 0 then o_orderkey when 1 then o_custkey end::int as row from orders""")
 def x13_reason_rows(spark, sf_dir):
     """Row numbers out of reasons."""
-    return Tables(spark, sf_dir).part.select("p_partkey", text.row_number_in(_pick(REASONS)).alias("row"))
+    key, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    k = F.col("o_custkey") % 3
+    reason = F.when(k == 0, F.concat(F.lit("Row "), key, F.lit(": no price "), who)).when(k == 1, F.concat("o_orderpriority", F.lit(" row #"), who, F.lit(", row 7"))).otherwise(F.concat(F.lit("rows of "), who))
+    return Tables(spark, sf_dir).orders.select("o_orderkey", text.row_number_in(reason).alias("row"))
 
 
 @query("""select p_partkey, substr(p_name || p_name, 1, 12) as cut from part""")
@@ -160,10 +192,13 @@ def m07_source_prices(spark, sf_dir):
     return Tables(spark, sf_dir).orders.select("o_orderkey", money.inferred_source_price(F.col("o_totalprice"), F.lit(22.0)).alias("source"))
 
 
-@query(f"""select p_partkey, {_case(MULTIPLIERS)}::int as multiplier from part""")
+@query("""select p_partkey, case when p_partkey % 5 = 0 and p_size in (22, 23, 24) then p_size when p_size + 1 in (22, 23, 24) then p_size + 1 when p_size in (22, 23, 24) then p_size end::int as multiplier from part""")
 def m08_multipliers(spark, sf_dir):
-    """Approved multipliers out of SKUs."""
-    return Tables(spark, sf_dir).part.select("p_partkey", money.approved_multiplier(F.lit("7"), F.array(_pick(SKUS))).alias("multiplier"))
+    """Approved multipliers as recorded, or out of the first SKU that ends in one."""
+    z = F.col("p_size")
+    sku = lambda n: F.concat(F.lit("DAB-"), text.sku_token(F.col("p_name"), 20), F.lit("-"), n.cast("string"))
+    recorded = F.when(F.col("p_partkey") % 5 == 0, z.cast("string")).otherwise("7")
+    return Tables(spark, sf_dir).part.select("p_partkey", money.approved_multiplier(recorded, F.array(F.lit("x-21"), sku(z + 1), sku(z))).alias("multiplier"))
 
 
 @query("""select l_orderkey, l_linenumber, case when l_extendedprice <= 30000 then 'compare-at price must exceed the price' end as issue from lineitem where l_extendedprice <> 30000""")
@@ -179,26 +214,27 @@ def z10_stock_status(spark, sf_dir):
     return Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", options.stock_status(r != "R", F.when(r == "A", "low_stock").otherwise("odd")).alias("status"))
 
 
-@query(f"""select p_partkey, {_case(LISTED)} as listed from part""")
+@query("""select c_custkey, c_name || '|' || c_mktsegment || '|' || c_nationkey as listed from customer""")
 def n03_lists(spark, sf_dir):
     """Lists written as JSON or plainly."""
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(jsons.as_list(_pick(LISTS)), "|").alias("listed"))
+    parts = ("c_name", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    k = F.col("c_custkey") % 3
+    written = F.when(k == 0, F.to_json(F.array(*parts, F.lit(" ")))).when(k == 1, F.concat_ws(", ", *parts)).otherwise(F.concat_ws("|", *parts, F.lit("")))
+    return Tables(spark, sf_dir).customer.select("c_custkey", F.array_join(jsons.as_list(written), "|").alias("listed"))
 
 
 @query("""select p_partkey, 2 as products from part""")
 def n05_embedded_nodes(spark, sf_dir):
     """Product-like nodes somewhere inside a state object."""
-    from ..operators import extraction
-
     state = F.concat(F.lit('<script type="application/json">{"a":[{"title":"'), F.col("p_name"), F.lit('","sku":"1"},{"title":"alone"}],"b":{"name":"x","price":2,"c":{"deep":1}}}</script>'))
     found = extraction.candidates(Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("page_id"), F.lit("https://x/").alias("url"), state.alias("html"))).where("source = 'embedded'")
     return found.groupBy(F.col("page_id").alias("p_partkey")).agg(F.count("*").cast("int").alias("products"))
 
 
-@query("""select max(p_partkey) as cursor, count(*) as items from part where p_partkey > 100 and p_partkey <= 150""")
+@query("""select max(p_partkey) as cursor, count(*) as items from (select p_partkey from part where p_partkey > 100 order by 1 limit 50)""")
 def t03_resumed_scan(spark, sf_dir):
     """The page after a stored cursor."""
-    return Tables(spark, sf_dir).part.where("p_partkey > 100 and p_partkey <= 150").agg(F.max("p_partkey").alias("cursor"), F.count("*").alias("items"))
+    return web.page_after(Tables(spark, sf_dir).part, "p_partkey", 100).agg(F.max("p_partkey").alias("cursor"), F.count("*").alias("items"))
 
 
 @query("""select user_id, min(event_id) as job from events where event_type = 'view' group by 1""")
@@ -230,7 +266,7 @@ def t10_chunks(spark, sf_dir):
     return Tables(spark, sf_dir).events.groupBy(F.floor(F.col("event_id") / 200).alias("chunk")).agg(F.count("*").alias("n"))
 
 
-@query("""select p_partkey % 10 as site, count(*) as steps from part where p_partkey % 10 < 3 group by 1""")
+@query("""select p_partkey % 10 as site, count(*) as steps from part group by 1""")
 def s18_listing_steps(spark, sf_dir):
     """Steps of a walk over listing pages, by site."""
     part = Tables(spark, sf_dir).part

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,6 +192,52 @@ class ParseXlsxRows:
         yield from xlsx_rows(bytes(data))
 
 
+@F.pandas_udf(T.BinaryType())
+def workbook(rows: pd.Series) -> pd.Series:
+    """The bytes of an XLSX file whose one sheet has these rows (arrays of arrays of texts)."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main, kind = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/package/2006/"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+    def letters(i: int) -> str:
+        return (letters(i // 26 - 1) if i >= 26 else "") + chr(65 + i % 26)
+
+    def made(sheet) -> bytes:
+        cells = lambda n, row: "".join(f'<c r="{letters(i)}{n}" t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for i, c in enumerate(row) if c)
+        data = "".join(f'<row r="{n}">{cells(n, row)}</row>' for n, row in enumerate(sheet, 1))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", f'<Types xmlns="{kind}content-types"><Default Extension="xml" ContentType="application/xml"/><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+            z.writestr("_rels/.rels", f'<Relationships xmlns="{kind}relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+            z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{kind}relationships"><Relationship Id="r1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{data}</sheetData></worksheet>')
+        return out.getvalue()
+
+    return pd.Series([made(s) for s in rows], dtype=object)
+
+
+def uploaded(files: DataFrame, key: str) -> DataFrame:
+    """key, row_number, url, cells of uploaded workbooks (key, content): first sheet, first row as header.
+
+    Rows are numbered as the sheet shows them, cells that are missing are empty, blank rows go. The URL is in the column
+    whose name says so, else in the first that holds one.
+    """
+    matrix = files.lateralJoin(ParseXlsxRows(F.col("content").outer())).select(key, "row_index", "cells")
+    head = matrix.where("row_index = 0").select(key, F.transform("cells", label).alias("names"))
+    both = matrix.where("row_index > 0").join(head, key)
+    width = F.greatest(F.size("names"), F.size("cells"))
+    full = F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.get("cells", i), F.lit("")))
+    named = F.array_position(F.transform("names", lambda n: n.rlike(URL_HEADER)), True).cast("int") - 1
+    found = F.array_position(F.transform("cells", lambda c: F.coalesce(urls.is_http(c), F.lit(False))), True).cast("int") - 1
+    at = F.when(named >= 0, named).when(found >= 0, found)
+    rows = both.where(F.exists("cells", lambda c: F.trim(c) != "")).select(key, (F.col("row_index") + 1).alias("row_number"), F.coalesce(F.get("cells", at), F.lit("")).alias("url"), full.alias("cells"))
+    return rows
+
+
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """path, row_index, cells of all workbooks under a path that Spark can read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

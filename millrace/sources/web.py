@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shared import written
+
 
 def crawl(edges: DataFrame, start: DataFrame, depth: int, most: int) -> DataFrame:
     """url, depth of what `depth` steps along edges (src, dst) reach from start (url), the `most` nearest (ties by URL).
 
-    Breadth first: each round joins the frontier only, and leaves out what was seen.
+    Breadth first: each round joins the frontier only, leaves out what was seen and is written, so no round is computed
+    twice; the walk ends early where nothing new is met. Rows beyond the `most` nearest go by a sort, not on the driver.
     """
-    seen = start.select("url").distinct().withColumn("depth", F.lit(0))
-    front = seen
+    front = seen = written(start.select("url").distinct().withColumn("depth", F.lit(0)), "crawl")
     for d in range(1, depth + 1):
-        front = edges.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d))
+        met = edges.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
+        front = written(met.join(seen, "url", "left_anti").withColumn("depth", F.lit(d)), "crawl")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
-    return seen.orderBy("depth", "url").limit(most)
+    return seen if seen.count() <= most else seen.orderBy("depth", "url").limit(most)
 
 
 def robots(files: DataFrame, text: str = "text") -> DataFrame:
@@ -60,11 +65,21 @@ class _Page(InputPartition):
         self.offset, self.limit = offset, limit
 
 
+def page_after(rows: DataFrame, key: str, cursor: object | None, size: int = 50) -> DataFrame:
+    """The page of rows that follows a stored cursor, in order of the key; the first one without a cursor."""
+    left = rows if cursor is None else rows.where(F.col(key) > F.lit(cursor))
+    return left.orderBy(key).limit(size)
+
+
 class PagedReader(DataSourceReader):
-    """Pages of a catalog as partitions; each page is fetched, with retries, by the task that reads it."""
+    """Pages of a catalog as partitions; each page is fetched, with retries, by the task that reads it.
+
+    A client stands behind `path`: a file of JSON lines, or a Parquet table in order of the column that `key` names.
+    """
 
     def __init__(self, options: dict):
         self.path, self.total, self.page = options["path"], int(options["total"]), int(options.get("page", 50))
+        self.key, self.title = options.get("key", "id"), options.get("title", "title")
 
     def partitions(self) -> Sequence[InputPartition]:
         return [_Page(i, self.page) for i in range(0, self.total, self.page)]
@@ -72,13 +87,17 @@ class PagedReader(DataSourceReader):
     def read(self, partition: _Page) -> Iterator[tuple]:
         import json
 
-        def fetch() -> list[str]:
-            with open(self.path, encoding="utf-8") as f:  # stands for one request; a client goes here
-                return [line for i, line in enumerate(f) if partition.offset <= i < partition.offset + partition.limit]
+        def fetch() -> list[dict]:  # stands for one request
+            if self.path.endswith(".parquet"):
+                from pyarrow import parquet
+
+                rows = parquet.read_table(self.path, columns=[self.key, self.title]).sort_by(self.key)
+                return rows.slice(partition.offset, partition.limit).rename_columns(["id", "title"]).to_pylist()
+            with open(self.path, encoding="utf-8") as f:
+                return [json.loads(line) for i, line in enumerate(f) if partition.offset <= i < partition.offset + partition.limit]
 
-        for line in retried(fetch):
-            item = json.loads(line)
-            yield (str(item.get("id", "")), str(item.get("title", "")), json.dumps(item, sort_keys=True))
+        for item in retried(fetch):
+            yield (str(item.get("id", "")), str(item.get("title", "")), json.dumps(item, sort_keys=True), partition.offset // self.page)
 
 
 class PagedCatalog(DataSource):
@@ -89,7 +108,7 @@ class PagedCatalog(DataSource):
         return "paged_catalog"
 
     def schema(self) -> str:
-        return "id string, title string, raw string"
+        return "id string, title string, raw string, page int"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
