@@ -214,14 +214,51 @@ def markdown_product(page: Column) -> Column:
     The title is the first heading's, else that of a Title line; the price is the last with a currency before the VAT
     line, or in the page without one; sizes stand between a Size line and the next section; images are those of products.
     """
-    lines = F.filter(F.transform(F.split(text.text(page), "\n"), text.clean), lambda x: x != "")
-    at = lambda pattern: F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True).cast("int")
-    vat, size = at("(?i)vat$"), at("(?i)^sizes?$")
+    lines = lines_of(page)
+    vat = place(lines, "(?i)vat$")
     before = F.when(vat > 0, F.slice(lines, F.lit(1), F.greatest(vat - 1, F.lit(0)))).otherwise(lines)
     price = F.try_element_at(F.filter(before, lambda x: x.rlike(r"(?:AED|USD|EGP)\s*\d")), F.lit(-1))
-    after = F.when(size > 0, F.slice(lines, size + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    stop = F.array_position(F.transform(after, lambda x: x.rlike("(?i)^(?:overview|description|details|add to )")), True).cast("int")
-    sizes = F.when(stop > 0, F.slice(after, F.lit(1), stop - 1)).otherwise(after)
+    sizes = window_after(lines, "(?i)^sizes?$", "(?i)^(?:overview|description|details|add to )")
     images = F.filter(F.regexp_extract_all(text.text(page), F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), urls.is_product_image)
     title = first_of(F.regexp_extract(page, r"(?m)^# (.*)$", 1), F.regexp_extract(page, r"(?m)^Title: (.*)$", 1))
     return F.struct(title.alias("title"), money.localized_number(price).alias("price"), sizes.alias("sizes"), images.alias("images"))
+
+
+def lines_of(page: Column) -> Column:
+    """A page's lines, cleaned, without empty ones."""
+    return F.filter(F.transform(F.split(text.text(page), "\n"), text.clean), lambda x: x != "")
+
+
+def place(lines: Column, pattern: str) -> Column:
+    """The place (from 1) of the first line that a pattern fits; 0 for none."""
+    return F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True).cast("int")
+
+
+def window_after(lines: Column, marker: str, stop: str, most: int = 60) -> Column:
+    """Lines after the first that fits the marker, up to one that fits the stop or `most`; none without the marker."""
+    at = place(lines, marker)
+    after = F.when(at > 0, F.slice(lines, at + 1, F.lit(most))).otherwise(F.array().cast("array<string>"))
+    end = place(after, stop)
+    return F.when(end > 0, F.slice(after, F.lit(1), end - 1)).otherwise(after)
+
+
+def snapshot(lines: Column, picker: str = "(?i)^choose a size$", price: str = r"^AED\s*\d", stop: str = "(?i)^(?:details|description|delivery)$") -> Column:
+    """struct<title,price,sizes,rejected> of a pasted page: the title stands before the price line, sizes after the picker.
+
+    A page with a picker but no sizes is rejected, as is one without a price.
+    """
+    at, sizes = place(lines, price), window_after(lines, picker, stop)
+    rejected = F.when(at == 0, "no price").when((place(lines, picker) > 0) & (F.size(sizes) == 0), "a size picker without sizes")
+    return F.struct(F.when(at > 1, F.get(lines, at - 2)).alias("title"), money.localized_number(F.when(at > 0, F.get(lines, at - 1))).alias("price"), sizes.alias("sizes"), rejected.alias("rejected"))
+
+
+def merged_options(options: Column) -> Column:
+    """array<struct<name,values>> of array<struct<id,name,label,order>>: merged by name in order of appearance, each
+    name's labels once, by display order (a missing one is 0), then as they come."""
+    names = F.array_distinct(F.transform(options, lambda o: o["name"]))
+
+    def values(name: Column) -> Column:
+        own = F.filter(F.transform(options, lambda o, i: F.struct(F.coalesce(o["order"], F.lit(0)).alias("order"), i.alias("pos"), o["name"].alias("name"), o["label"].alias("label"))), lambda o: o["name"] == name)
+        return F.array_distinct(F.transform(F.array_sort(own), lambda o: o["label"]))
+
+    return F.transform(names, lambda n: F.struct(n.alias("name"), values(n).alias("values")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import extraction
 from .base import Tables, query
 
@@ -39,26 +38,3 @@ def e07_merged_products(spark, sf_dir):
 def e01_candidates(spark, sf_dir):
     """How many candidates a page has."""
     return extraction.candidates(_product_pages(spark, sf_dir)).groupBy("page_id").agg(F.count("*").cast("int").alias("candidates"))
-
-
-@query("""with l as (select p_partkey, ['Shop', p_name, 'AED ' || p_size, 'Choose a size', 'S', 'M', 'Details', p_type] as l from part) select p_partkey, l[2] as title, p_size::double as price, 'S,M' as sizes from l join part using (p_partkey)""")
-def e27_line_windows(spark, sf_dir):
-    """Line-oriented pages: a title before the price line, sizes between a marker and a stop."""
-    from ..functions import money
-
-    n = F.col("p_partkey")
-    page = F.concat_ws("\n", F.lit("Shop"), F.lit("  "), F.col("p_name"), F.concat(F.lit("AED "), F.col("p_size").cast("string")), F.lit("Choose a size"), F.lit("S"), F.lit(" M "), F.lit("Details"), F.col("p_type"))
-    lines = F.filter(F.transform(F.split(page, "\n"), text.clean), lambda x: x != "")
-    at = lambda p: F.array_position(F.transform("l", lambda x: x.rlike(p)), True)
-    p = Tables(spark, sf_dir).part.select(n, lines.alias("l"))
-    price, marker, stop = at("^AED "), at("(?i)^choose a size$"), at("(?i)^(details|description)$")
-    sizes = F.slice("l", marker.cast("int") + 1, F.greatest(F.lit(0), (stop - marker - 1).cast("int")))
-    return p.select("p_partkey", F.get("l", price.cast("int") - 2).alias("title"), money.localized_number(F.get("l", price.cast("int") - 1)).alias("price"), F.array_join(sizes, ",").alias("sizes"))
-
-
-@query("""select p_partkey, 'o' || p_size % 3 || '=' || p_brand as labels from part""")
-def e18_option_labels(spark, sf_dir):
-    """Option ids as labels, by a lookup that the record itself carries."""
-    z = (F.col("p_size") % 3).cast("string")
-    lookup = F.map_from_entries(F.array(F.struct(F.concat(F.lit("id"), z).alias("k"), F.concat_ws("=", F.concat(F.lit("o"), z), F.col("p_brand")).alias("v"))))
-    return Tables(spark, sf_dir).part.select("p_partkey", F.try_element_at(lookup, F.concat(F.lit("id"), z)).alias("labels"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import money, text, urls
-from ..operators import matching, quality
+from ..operators import extraction, matching, quality
 from .base import Tables, query
 
 SLUG = "lower(replace(p_name, ' ', '-'))"
@@ -97,14 +97,13 @@ def p10_usable_records(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", usable.alias("usable"), target.alias("target"))
 
 
-@query("""select p_partkey, case when p_size % 7 = 0 then 'manual_review' when p_size % 2 = 0 then 'json_ld' when p_size % 3 = 0 then 'embedded_state' when p_size % 5 = 0 then 'browser_rendering' else 'manual_review' end as strategy,
-    array_to_string(list_filter([case when p_size % 7 = 0 then 'RESTRICTED' end, case when p_size % 2 <> 0 then 'NO_STRUCTURED_DATA' end], lambda x: x is not null), ',') as warnings from part""")
+@query("""with h as (select page_id, page_id % 9 = 0 as shut, regexp_matches(html, '<script', 'i') as ld, regexp_matches(html, '<h1|itemprop=["'']name|property=["'']og:title', 'i') and regexp_matches(html, '<img\\b|property=["'']og:image|itemprop=["'']price|data-price|class=["''][^"'']*price', 'i') as static from pages)
+    select page_id, case when shut then 'manual_review' when ld then 'json_ld' when static then 'static_html' else 'manual_review' end as strategy, case when shut then 20 when ld then 90 when static then 70 else 30 end::int as confidence from h""")
 def p28_strategies(spark, sf_dir):
-    """How each source is best read, with warnings."""
-    z = F.col("p_size")
-    found = {"json_ld": z % 2 == 0, "embedded": z % 3 == 0, "static": F.lit(False), "browser": z % 5 == 0}
-    warnings = quality.issues([(z % 7 == 0, "RESTRICTED"), (z % 2 != 0, "NO_STRUCTURED_DATA")])
-    return Tables(spark, sf_dir).part.select("p_partkey", quality.strategy(found, z % 7 == 0)["strategy"].alias("strategy"), F.array_join(warnings, ",").alias("warnings"))
+    """How each page's source is best read, by the signals that it gives."""
+    found = extraction.signals(F.col("html")) | {"json_ld": F.col("html").rlike("(?i)<script"), "embedded": F.lit(False), "browser": F.lit(False)}
+    best = quality.strategy(found, F.col("page_id") % 9 == 0)
+    return Tables(spark, sf_dir).pages.select("page_id", best.alias("s")).select("page_id", "s.strategy", F.col("s.confidence").cast("int").alias("confidence"))
 
 
 @query("""select p_brand, p_partkey, p_name from part where p_size > 20 and p_retailprice > 900 order by p_retailprice desc, p_partkey limit 30""")

@@ -261,3 +261,24 @@ def e09_option_groups(spark, sf_dir):
     r = F.row_number().over(W.Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
     each = Tables(spark, sf_dir).part.select("p_brand", r.alias("r"))
     return each.groupBy("p_brand").agg(F.count("*").alias("products"), F.count_if(F.col("r") == 1).alias("firsts"))
+
+
+@query(f"""with {LINES}, g as (select o_orderkey, any_value(o_orderstatus) as status, any_value(o_orderpriority) as priority, any_value(o_totalprice) as total, coalesce(string_agg(qty::varchar, ',' order by n) filter (where flag = 'R'), '') as sizes from l group by 1)
+select o_orderkey, case when status <> 'P' then priority end as title, case when status <> 'P' then total end as price, sizes, case when status = 'P' then 'no price' when sizes = '' then 'a size picker without sizes' end as rejected from g""")
+def e27_line_windows(spark, sf_dir):
+    """Line-oriented pages: a title before the price line, sizes between a marker and a stop, and what is rejected."""
+    price = F.when(F.col("o_orderstatus") == "P", "ask").otherwise(F.concat(F.lit("AED "), _text(F.col("o_totalprice"))))
+    head = F.array(F.lit("Shop"), F.lit("  "), F.concat(F.col("o_orderpriority"), F.lit(" ")), price, F.lit("Choose a size"))
+    page = F.array_join(F.concat(head, _some(lambda x: x["flag"] == "R", lambda x: F.concat(F.lit(" "), _text(x["qty"]))), F.array(F.lit("Details")), _each(lambda x: _text(x["part"]))), "\n")
+    out = _orders(spark, sf_dir).withColumn("page", page).select("o_orderkey", records.snapshot(records.lines_of(F.col("page"))).alias("r"))
+    return out.select("o_orderkey", "r.title", "r.price", F.array_join("r.sizes", ",").alias("sizes"), "r.rejected")
+
+
+@query(f"""with {LINES}, d as (select o_orderkey, st, qty, min(struct_pack(a := case when flag = 'N' then 0 else supp end, b := n)) as k, min(n) as n from l group by 1, 2, 3),
+v as (select o_orderkey, st, string_agg(qty::varchar, ',' order by k) as labels, min(n) as n from d group by 1, 2) select o_orderkey, string_agg(st || '=' || labels, ';' order by n) as options from v group by 1""")
+def e18_option_labels(spark, sf_dir):
+    """Options of a record merged by name, their labels by display order."""
+    rows = F.to_json(_each(lambda x: F.struct(_text(x["part"]).alias("id"), x["st"].alias("name"), _text(x["qty"]).alias("label"), F.when(x["flag"] != "N", x["supp"]).alias("order"))))
+    made = records.merged_options(F.from_json(rows, "array<struct<id:string,name:string,label:string,order:bigint>>"))
+    out = _orders(spark, sf_dir).select("o_orderkey", made.alias("o"))
+    return out.select("o_orderkey", F.array_join(F.transform("o", lambda x: F.concat_ws("=", x["name"], F.array_join(x["values"], ","))), ";").alias("options"))

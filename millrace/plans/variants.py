@@ -100,7 +100,7 @@ def w02_dedupe_in_row(spark, sf_dir):
     return each.select("l_orderkey", F.array_join(F.transform(variants.dedupe_in_row(F.col("v")), lambda x: x["idx"].cast("string")), ",").alias("kept"))
 
 
-@query(f"""with recursive {LINES}, k as (select *, ['a' || l_partkey % 5, 'b' || l_suppkey % 3] || case when l_partkey % 2 = 0 then ['c' || l_returnflag] else [] end as keys from lines),
+@query(f"""with recursive {LINES}, k as materialized (select *, ['a' || l_partkey % 5, 'b' || l_suppkey % 3] || case when l_partkey % 2 = 0 then ['c' || l_returnflag] else [] end as keys from lines),
     r as (select l_orderkey, 0 as idx, []::varchar[] as seen, false as kept from k group by 1 union all select k.l_orderkey, k.idx, case when list_has_any(seen, keys) then seen else list_concat(seen, keys) end, not list_has_any(seen, keys) from r join k on k.l_orderkey = r.l_orderkey and k.idx = r.idx + 1)
     select l_orderkey, idx, (l_partkey % 5)::varchar as signature, (l_suppkey % 3)::varchar as sku, case when l_partkey % 2 = 0 then l_returnflag else '' end as source_id from r join k using (l_orderkey, idx) where kept""")
 def w02_dedupe_any_key(spark, sf_dir):
