@@ -110,6 +110,7 @@ def size_rank_lenient(token: Column) -> Column:
 
 #: Texts that choose nothing.
 DEFAULT_VALUE = r"(?i)^(default|default title|one size|choose(?:\s+(?:a|an|your)?\s*(?:option|size|colou?r)?)?|select(?:\s+(?:a|an|your)?\s*(?:option|size|colou?r)?)?|please select(?:\s+.*)?|size guide|size chart)$"
+#: Words, forms and ages that are sizes, and what is none.
 SIZE_WORDS = r"(?i)^(?:xxxs|xxs|xs|s|m|l|xl|xxl|xxxl|2xl|3xl|4xl|5xl|small|medium|large|x-?small|x-?large|xx-?large|one size|free size|os|o/s|nb|n/b|newborn|preemie)$"
 SIZE_FORMS = (
     r"^\d{1,3}(?:\.\d+)?$",
@@ -302,6 +303,7 @@ def size_ladder(c: Column) -> Column:
     return F.transform(F.filter(steps, lambda s: (s["low"] >= ages["low"]) & (s["high"] <= ages["high"])), lambda s: s["name"])
 
 
+#: Words that a product is called by.
 PRODUCT_WORDS = r"(?i)\b(?:tops?|t-?shirts?|shirts?|shorts?|set|dress(?:es)?|romper|dungaree|outfit|sleepsuit|bodysuit|leggings?|joggers?|jeans|trousers|sandals?|shoes?|trainers?|boots?|cardigan|jumper|sweatshirts?|sweater|hoodie|coat|jacket|swimsuit|pyjamas?|pajamas?)\b"
 
 

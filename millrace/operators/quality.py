@@ -76,6 +76,7 @@ def catalog_issues(url: Column, title: Column, supplier: Column, supplier_fits:
     return F.array_distinct(F.concat(head, bad, tail))
 
 
+# fixed values: what no title, description or option value may hold
 MARKUP = r"(?i)</?(?:script|style|html|body)\b|javascript:|personalisationScript"
 ODD_OPTION = r"(?i)<[^>]+>|https?://|\b(?:aed|egp|price|add to|description|javascript|undefined|null)\b"
 
@@ -128,6 +129,7 @@ def warning_code(found: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(found[k], code) for k, code in CODES.items()])
 
 
+# fixed values: errors that say that a site keeps readers out (named ones of single providers are left out), and that a page is gone
 BLOCKED = r"(?i)HTTP 403|Access Denied|permission to access|Forbidden|Cloudflare|security verification|captcha|SOURCE_BLOCKED|blocked automated server access|returned a blocked page|timed out|timeout|ECONNRESET|ENOTFOUND"
 GONE = r"(?i)HTTP 404|Target URL returned error 404|404\s*\|\s*Page Not Found|Title:\s*(?:404|Page Not Found)|Page Not Found|product (?:was )?(?:removed|deleted|not found)|not available anymore|Oops[,'’]?\s+something(?:'s|\s+has)?\s+gone\s+wrong"
 
@@ -143,6 +145,7 @@ def source_gone(code: Column, status: Column, message: Column) -> Column:
     )
 
 
+# fixed values: words that make a product one of the season
 SUMMER = r"(?i)(^|[\s_-])summer([\s_-]|$)"
 SEASONAL = r"(?i)(^|[\s_-])(summer|swim(?:suit|wear|ming)?|bikini|tankini|rash[\s_-]?(?:vest|guard|suit)|sunsafe|sunsuit|beach|pool|sandals?|flip[\s_-]?flops?|sliders?|slides|shorts|sun[\s_-]?hat|bucket[\s_-]?hat|straw[\s_-]?hat|sun[\s_-]?cap|boardshorts?|swim[\s_-]?trunks?|water[\s_-]?shoes?)([\s_-]|$)"
 

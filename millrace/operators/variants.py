@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,22 +37,27 @@ def dedupe_in_row(variants: Column) -> Column:
 
 
 def dedupe_rows(rows: DataFrame, product: str, order: str, keys: list[str]) -> DataFrame:
-    """rows without those that share any key with an earlier kept row of their product, in a grouped Arrow pass."""
-    schema = rows.schema
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        seen: list[set] = [set() for _ in keys]
-        keep = []
-        frame = frame.sort_values(order, kind="stable")
-        for values in frame[keys].itertuples(index=False):
-            fine = not any(v and v in s for v, s in zip(values, seen, strict=True))
-            keep.append(fine)
-            if fine:
-                for v, s in zip(values, seen, strict=True):
-                    s.add(v)
-        return frame[keep]
-
-    return rows.groupBy(product).applyInPandas(run, schema)
+    """rows without those that share any key with an earlier kept row of their product.
+
+    Rows are dealt out by product, sorted, and read through batch by batch: of a product of any size a task holds the
+    keys of its kept rows, never the rows.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, seen = None, [set() for _ in keys]
+        for frame in frames:
+            keep = []
+            for own, *values in frame[[product, *keys]].itertuples(index=False):
+                if own != current:
+                    current, seen = own, [set() for _ in keys]
+                fine = not any(v and v in s for v, s in zip(values, seen, strict=True))
+                keep.append(fine)
+                if fine:
+                    for v, s in zip(values, seen, strict=True):
+                        s.add(v)
+            yield frame[keep]
+
+    return rows.repartition(product).sortWithinPartitions(product, order).mapInPandas(run, rows.schema)
 
 
 def matched(fresh: DataFrame, stored: DataFrame, product: str) -> DataFrame:

@@ -6,6 +6,7 @@ be held against the batch forms.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import jsons
+from ..sources.shared import folder
 
 
 def unseen(rows: DataFrame, at: str, ttl: str = "720 hours") -> DataFrame:
@@ -88,8 +90,23 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame
     return stream.sparkSession.table(name)
 
 
+def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream over all there is leaves, as a table in the shared folder: its last batch in complete mode, else all."""
+    at = f"{folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    keep = lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{at}/out")
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = stream.sparkSession.read.parquet(f"{at}/out")
+    if mode == "complete":
+        out = out.where(F.col("_batch") == out.agg(F.max("_batch")).first()[0])
+    return out.drop("_batch")
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 1) -> DataFrame:
-    """A table's files as a stream, so many a batch."""
+    """A table's files as a stream, so many a batch. A table of one file is streamed out of the folder that it is in."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    table = spark.read.parquet(path)
+    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_a_batch)
+    if [f.rsplit("/", 1)[-1] for f in table.inputFiles()] == [f"{name}.parquet"]:
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return source.parquet(path)
