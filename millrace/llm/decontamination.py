@@ -18,6 +18,9 @@ from pyspark.sql import window as W
 from .common import WORD, small, table, written
 
 WINDOW = 10
+#: Most pairs of the two rarest terms, of some 50 bytes, that are sent to the postings of the third; beyond that both are
+#: shuffled.
+PAIRS = 1_000_000
 #: Places by which the stretch of a proximity match is longer than its window.
 SLOP = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,11 +34,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def text_key(text: str = "text") -> Column:
-    """A 128-bit digest of a text; null for null."""
-    return F.unhex(F.md5(F.col(text).cast("binary")))
-
-
 def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, window (its number), offset, word of every window; to be written, as the number is given where it runs.
 
@@ -48,19 +46,17 @@ def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings doc (a row's number), doc_id, term, position of the vocabulary's words (word, term), and an END posting a
-    row, with the text's digest."""
+    """Postings doc (a row's number), doc_id, term, position of the vocabulary's words (word, term), and an END posting a row."""
     each = docs.select("doc_id", "text").withColumn("doc", F.monotonically_increasing_id())
-    each = each.select("doc_id", "doc", text_key().alias("key"), F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(END)))).alias("position", "word"))
-    found = each.join(small(vocabulary), "word")
-    return written(found.select("doc", "doc_id", "term", "position", F.when(F.col("word") == END, F.col("key")).alias("text_key")), "postings")
+    each = each.select("doc_id", "doc", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit(END)))).alias("position", "word"))
+    return written(each.join(small(vocabulary), "word").select("doc", "doc_id", "term", "position"), "postings")
 
 
 def matches(postings: DataFrame, terms: DataFrame, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
     """(item_id, window, doc, start, size of every exact occurrence of a window; item_id, doc of every proximity match).
 
-    terms: item_id, window, offset, term. Only documents that hold the window's two rarest terms in reach have their
-    other postings read again.
+    terms: item_id, window, offset, term. Only documents that hold the window's two rarest terms at their offsets, or
+    the three rarest in reach, have their other postings read again.
     """
     number = postings.groupBy("term").agg(F.count("*").alias("n"))
     window = ["item_id", "window"]
@@ -87,9 +83,16 @@ def matches(postings: DataFrame, terms: DataFrame, slop: int = SLOP) -> tuple[Da
     at_offsets = F.col("position") - F.col("offset") == F.col("position2") - F.col("offset2")
     pairs = written(near.groupBy(*window, "doc", "position", "offset", "size", "kinds").agg(F.bool_or(at_offsets).alias("exact")), "pairs")
 
+    # pairs that are not at their offsets are many: those of proximity have the third rarest term in reach too
+    left = written(pairs.where("kinds > 2").select(*window, "doc", "position", "size", "kinds").withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))), "thirds")
+    right = places(3).select(*window, "doc", F.col("position").alias("position2"), bucket.alias("bucket"))
+    triples = right.join(small(left, PAIRS), [*window, "doc", "bucket"]).where(F.abs(F.col("position") - F.col("position2")) < reach)
+    triples = written(triples.select(*window, "doc", F.col("position").alias("anchor"), "size", "kinds").distinct(), "triples")
+
     # a window of one repeated term has its matches among the term's own postings
     anchors = pairs.unionByName(written(alone.withColumn("exact", F.lit(True)), "alone"))
-    few = small(written(anchors.where("kinds > 2 or size > kinds").select("doc").distinct(), "near"))
+    open_ = anchors.where("exact and (kinds > 2 or size > kinds)").select("doc").unionByName(triples.select("doc"))
+    few = small(written(open_.distinct(), "near"))
     near_postings = written(postings.join(few, "doc", "left_semi").select("doc", "term", "position"), "near_postings")
 
     start = (F.col("position") - F.col("offset")).alias("start")
@@ -103,7 +106,7 @@ def matches(postings: DataFrame, terms: DataFrame, slop: int = SLOP) -> tuple[Da
 
     # proximity: all kinds of terms in one stretch that holds the anchor
     kind_terms = small(written(ranked.select(*window, "term").distinct(), "kind_terms"))
-    about = anchors.where("kinds > 2").select(*window, "doc", F.col("position").alias("anchor"), "size", "kinds").join(kind_terms, window)
+    about = triples.join(kind_terms, window)
     width = F.lit(WINDOW + slop)  # one width of stretches for all, so that postings are cut once
     cut = lambda p: F.floor(p / width)
     about = about.withColumn("cut", F.explode(F.array(cut(F.col("anchor")) - 1, cut(F.col("anchor")), cut(F.col("anchor")) + 1)))
@@ -116,11 +119,11 @@ def matches(postings: DataFrame, terms: DataFrame, slop: int = SLOP) -> tuple[Da
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
-    """doc_id, text_key, n_words, n_hit, n_items, items (sorted as strings), n_near, near_items, contaminated of every row.
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings), n_near, near_items, contaminated of every row.
 
     n_hit counts the words inside exact occurrences of a window, items are those of exact windows, near_items those
     of proximity matches, exact ones among them. A null text has no words, a null item_id is no item; repeated rows
-    each get their own row; an empty benchmark leaves every document clean; texts of any length are indexed whole.
+    each get their own row; doc_id, of any type, is only carried; an empty benchmark leaves every document clean; texts of any length are indexed whole.
     """
     if size > WINDOW:
         raise ValueError(f"stretches are cut for windows of {WINDOW} words at most")
@@ -135,11 +138,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: i
     found, close = written(exact, "occurrences"), written(close, "close")
     hit = found.select("doc", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("position")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
     listed = lambda df, n, names: df.select("doc", "item_id").distinct().groupBy("doc").agg(F.count("*").alias(n), F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias(names))
-    rows = postings.where(is_end).select("doc", "doc_id", "text_key", F.col("position").cast("long").alias("n_words"))
+    rows = postings.where(is_end).select("doc", "doc_id", F.col("position").cast("long").alias("n_words"))
     about = listed(close, "n_near", "near_items").join(listed(found, "n_items", "items"), "doc", "left").join(hit, "doc", "left")
     none, n = F.array().cast("array<string>"), lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(about, "doc", "left").select(
-        "doc_id", "text_key", "n_words", n("n_hit"), n("n_items"), F.coalesce("items", none).alias("items"), n("n_near"), F.coalesce("near_items", none).alias("near_items"),
+        "doc_id", "n_words", n("n_hit"), n("n_items"), F.coalesce("items", none).alias("items"), n("n_near"), F.coalesce("near_items", none).alias("near_items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
