@@ -178,11 +178,11 @@ def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAM
     few = known.select("lang", "doc_id", lines.alias("lines"), draw.alias("draw")).where(F.col("draw") < share[F.col("lang")])
     line = F.get("lines", F.pmod(F.xxhash64(F.lit("line"), F.col("doc_id")), F.greatest(F.lit(1), F.size("lines"))).cast("int"))
     order = W.Window.partitionBy("lang").orderBy("draw", "text")
-    kept = few.select("lang", line.alias("text"), "draw").where(F.col("text").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    kept = few.select("lang", line.alias("text"), "draw").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
     out: dict[str, list[str]] = {k: [] for k in sizes}
     held = dict.fromkeys(sizes, 0)
     for r in kept.select("lang", "rank", "text").orderBy("rank", "lang").toLocalIterator():
-        if held[r["lang"]] < symbols:
+        if r["text"] and held[r["lang"]] < symbols:
             out[r["lang"]].append(r["text"])
             held[r["lang"]] += len(r["text"])
     return out
