@@ -8,16 +8,19 @@ any length are read whole; empty tables stay empty; an empty benchmark drops not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard, language, mixing, secrets
-from millrace.llm.common import table, written
+from millrace.llm.common import small, table, written
 
 #: A document is rejected when its language cannot be told, or when it has so many characters and its language differs
 #: from its label with at least this score: short texts may be licence lines or addresses in no language of their own.
 SURE, LEAST_CHARS = 0.95, 200
-KEY = ["doc_id", "text_key"]
+#: Most keys of some 30 bytes that are sent to the documents; beyond that the documents are shuffled to the keys.
+KEYS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,29 +31,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return said.where((F.col("lang_pred") != language.UNKNOWN) & ~other).select(*docs.columns)
 
 
-def picked(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """docs semi- or anti-joined with keys (doc_id, text_key), null ids like others."""
-    left, right = docs.withColumn("_text_key", jaccard.text_key()).alias("l"), keys.alias("r")
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l._text_key").eqNullSafe(F.col("r.text_key"))
+def picked(docs: DataFrame, keys: DataFrame, of_text: dict[str, Column], how: str) -> DataFrame:
+    """docs semi- or anti-joined with a written table of keys: doc_id and what of_text makes of the text, nulls like others."""
+    left, right = docs.withColumns({f"_{k}": c for k, c in of_text.items()}).alias("l"), small(keys, KEYS).alias("r")
+    same = reduce(Column.__and__, [F.col(f"l._{k}").eqNullSafe(F.col(f"r.{k}")) for k in of_text], F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")))
     return left.join(right, same, how).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near copies, that with the least doc_id; of rows that repeat it, one."""
-    found = written(jaccard.near_duplicates(docs).select(*KEY, "class_key", "stays"), "near")
-    copies = written(found.where(~F.col("stays")).select(*KEY).distinct(), "copies")
-    kept = picked(docs, copies, "left_anti")
-    repeated = written(found.where(F.col("stays") & F.col("class_key").isNotNull()).groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    key, of_text = ["doc_id", "text_key"], {"text_key": jaccard.text_key()}
+    found = written(jaccard.near_duplicates(docs).select(*key, "class_key", "stays"), "near")
+    copies = written(found.where(~F.col("stays")).select(*key).distinct(), "copies")
+    kept = picked(docs, copies, of_text, "left_anti")
+    repeated = written(found.where(F.col("stays") & F.col("class_key").isNotNull()).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    once = picked(kept, repeated, "left_semi").withColumn("_text_key", jaccard.text_key()).dropDuplicates(["doc_id", "_text_key"])
-    return picked(kept, repeated, "left_anti").unionByName(once.select(*docs.columns))
+    once = picked(kept, repeated, of_text, "left_semi").withColumn("_text_key", jaccard.text_key()).dropDuplicates(["doc_id", "_text_key"])
+    return picked(kept, repeated, of_text, "left_anti").unionByName(once.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return picked(docs, written(found.where("contaminated").select(*KEY).distinct(), "hit"), "left_anti")
+    of_text = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+    rows = docs.select(F.struct("doc_id", *[c.alias(k) for k, c in of_text.items()]).alias("doc_id"), "text")
+    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"))
+    hit = written(found.where("contaminated").select("doc_id.*").distinct(), "hit")
+    return picked(docs, hit, of_text, "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
