@@ -70,7 +70,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 #: Characters of a delta in the log that is made of finished texts; characters that a task gathers before it passes them on.
-DELTA, OUT_CHARS = 200, 1 << 24
+DELTA, OUT_CHARS = 400, 1 << 24
 
 
 def events_of(rows: DataFrame, delta: int = DELTA) -> DataFrame:
@@ -83,7 +83,7 @@ def events_of(rows: DataFrame, delta: int = DELTA) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     each = rows.select(
-        "conv_id", "turn", "role", text.alias("text"), F.concat_ws(" ", F.coalesce("role", F.lit("")), F.md5(text.cast("binary")), F.monotonically_increasing_id().cast("string")).alias("message"),
+        "conv_id", "turn", "role", text.alias("text"), F.concat_ws(" ", F.coalesce("role", F.lit("")), F.hex(F.xxhash64(text)), F.monotonically_increasing_id().cast("string")).alias("message"),
         F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(8)).alias("way"),
     )
     event = lambda seq, kind, text, message=F.col("message"): F.struct(seq.cast("int").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), message.alias("message"))
