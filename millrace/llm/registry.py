@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, language, mixing, neighbours, pii, secrets, tokens, urls
+from . import chat, codes, decontamination, jaccard, language, mixing, neighbours, pii, secrets, tokens, topk, trie, urls
 
 QUERIES = {
     "op1_url_filter": urls.op1_url_filter,
@@ -15,6 +15,16 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_conversation_trie": trie.op11_conversation_trie,
+    "op12_exact_topk": topk.op12_exact_topk,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
-SQL = {"op1_url_filter": urls.sql(), "op2_source_mix": mixing.sql(), "op9_decontamination": decontamination.SQL}
+SQL = {
+    "op1_url_filter": urls.sql(),
+    "op2_source_mix": mixing.sql(),
+    "op9_decontamination": decontamination.SQL,
+    "op11_conversation_trie": trie.SQL,
+    "op12_exact_topk": topk.SQL,
+    "op13_vector_codes": codes.sql(),
+}
