@@ -20,17 +20,23 @@ from pyspark.sql import window as W
 from .common import pieces, small_batches, table
 
 UNKNOWN = "und"
-#: Bounds of the fit: labelled rows drawn for a language, by hash, and the letters of their lines with which a language has
-#: enough. A row lends one line, drawn by hash and whole: many lines of many texts, as a text that is copied elsewhere, or is
-#: partly in another language, is not to lend a language more than a few words. Lines of more than LONG_LINE characters
-#: are not drawn.
-SAMPLE_ROWS, SAMPLE_SYMBOLS, LONG_LINE = 500, 60_000, 20_000
+#: The fit's bounds, in labelled rows: documents drawn for a language, and pieces of their texts. A text is cut at line ends,
+#: and lines at spaces, into pieces of PIECE characters at most; every piece of every drawn text can be drawn. The first
+#: piece of each document comes before any second one, as a text that is copied elsewhere, or is partly in another language, is
+#: not to lend a language more than a few words where there are others.
+SAMPLE_ROWS, SAMPLE_PIECES, PIECE = 500, 400, 240
+#: Languages learned at most, those with most rows, and pieces of all of them together: where there are more than six
+#: languages, each has an equal part of these.
+MOST_LANGUAGES, ALL_PIECES = 64, 2_400
 #: The score's steepness: evidence of more letters than this does not make it steeper, so that long texts keep
 #: telling sure from unsure.
 SURE_LETTERS = 40
 #: Text bytes that a worker walks in step: the more, the less a step costs a text.
 STEP_BYTES = 8 << 20
-#: Letters that have a symbol of their own, the most frequent of the samples; all others share one.
+#: A text is parsed in stretches of so many symbols, each from its own start, so that a long text is walked like many
+#: short ones. A stretch costs a language one phrase at most.
+STRETCH = 16_384
+#: Letters that have a symbol of their own, those that are most of some language's letters; all others share one.
 ALPHABET = 60
 
 
@@ -80,12 +86,12 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(k for k, v in texts.items() if v)
-        letters: dict[str, int] = {}
+        letters: dict[str, float] = {}
         folded = {k: " ".join(texts[k]).lower() for k in self.languages}
         for t in folded.values():
             for ch in set(t):
                 if ch.isalpha():
-                    letters[ch] = letters.get(ch, 0) + t.count(ch)
+                    letters[ch] = max(letters.get(ch, 0.0), t.count(ch) / len(t))
         kept = sorted(letters, key=lambda ch: (-letters[ch], ch))[:ALPHABET]
         # 0: anything that is not a letter, runs as one; 1: a letter without a symbol of its own
         self.symbol = {ch: i + 2 for i, ch in enumerate(kept)}
@@ -124,13 +130,21 @@ class Model:
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases [texts, languages], symbols [texts])."""
-        codes = [self.codes(t or "") for t in texts]
+        whole = [self.codes(t or "") for t in texts]
+        sizes = np.array([len(c) for c in whole], np.int64)
+        codes = [c[i : i + STRETCH] for c in whole for i in range(0, len(c), STRETCH)]
+        of = np.repeat(np.arange(len(whole)), -(-sizes // STRETCH))
+        total = np.zeros((len(texts), len(self.languages)), np.int64)
+        if not codes or not self.languages:
+            return total, sizes
+        np.add.at(total, of, self.stretches(codes))
+        return total, sizes
+
+    def stretches(self, codes: list[np.ndarray]) -> np.ndarray:
+        """Phrases [stretches, languages] of stretches that are not empty."""
         size = np.array([len(c) for c in codes], np.int64)
-        out = np.zeros((len(texts), len(self.languages)), np.int64)
+        out = np.zeros((len(codes), len(self.languages)), np.int64)
         order = np.argsort(-size, kind="stable")
-        order = order[size[order] > 0]
-        if not len(order) or not self.languages:
-            return out, size
         flat = np.concatenate([codes[i] for i in order]).astype(np.int32)
         at = np.concatenate([[0], np.cumsum(size[order])[:-1]])
         left = np.searchsorted(-size[order], -np.arange(int(size[order[0]])), "left")  # texts longer than each step
@@ -144,7 +158,7 @@ class Model:
             ended += step & 1
             state = step >> 1
         out[order[: state.shape[1]]] = ended.T
-        return out, size
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text: the share of certainty that the least cross entropy gets by softmax."""
@@ -162,29 +176,31 @@ class Model:
         return out
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS) -> dict[str, list[str]]:
-    """A line each of up to `rows` labelled documents a language, those of least keyed hash, until they hold `symbols`.
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, pieces: int = SAMPLE_PIECES) -> dict[str, list[str]]:
+    """Pieces of labelled documents by language: of up to `rows` documents, those of least keyed hash, up to `pieces` pieces.
 
-    Languages with many rows are first thinned by hash to about twice the bound, so no task ranks a whole language.
-    Only text and lang are used, besides the key that orders the draw.
+    Languages with many rows are first thinned by hash to about twice the bound, so no task ranks a whole language. Of the
+    documents drawn all text is cut into pieces; which are taken is drawn by hash too. Only text and lang are used,
+    besides the key that orders the draw.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return {}
+    pieces = max(1, min(pieces, ALL_PIECES // len(sizes)))
     draw = F.pmod(F.xxhash64(F.lit("draw"), F.col("doc_id"), F.col("text")), F.lit(1 << 30))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, 2 * rows / n + 40 / n) * (1 << 30))))])
-    lines = F.filter(F.split("text", r"[\r\n]+"), lambda x: x.rlike(r"\p{L}") & (F.length(x) <= LONG_LINE))
-    few = known.select("lang", "doc_id", lines.alias("lines"), draw.alias("draw")).where(F.col("draw") < share[F.col("lang")])
-    line = F.get("lines", F.pmod(F.xxhash64(F.lit("line"), F.col("doc_id")), F.greatest(F.lit(1), F.size("lines"))).cast("int"))
-    order = W.Window.partitionBy("lang").orderBy("draw", "text")
-    kept = few.select("lang", line.alias("text"), "draw").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    out: dict[str, list[str]] = {k: [] for k in sizes}
-    held = dict.fromkeys(sizes, 0)
-    for r in kept.select("lang", "rank", "text").orderBy("rank", "lang").toLocalIterator():
-        if r["text"] and held[r["lang"]] < symbols:
-            out[r["lang"]].append(r["text"])
-            held[r["lang"]] += len(r["text"])
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 2 * rows / r["n"] + 40 / r["n"]) * (1 << 30))))])
+    few = known.select("lang", "doc_id", "text", draw.alias("draw")).where(F.col("draw") < F.coalesce(share[F.col("lang")], F.lit(0)))
+    by_lang = W.Window.partitionBy("lang").orderBy("draw", "key")
+    first = few.withColumn("key", F.xxhash64(F.lit(1), "text")).withColumn("rank", F.row_number().over(by_lang)).where(F.col("rank") <= rows)
+    # a run of PIECE characters without a space is cut in the middle
+    cut = F.filter(F.regexp_extract_all("text", F.lit(rf"[^\r\n]{{1,{PIECE}}}(?!\S)|[^\r\n]{{{PIECE}}}"), F.lit(0)), lambda x: x.rlike(r"\p{L}"))
+    each = first.select("lang", "rank", F.explode(cut).alias("piece")).withColumn("at", F.xxhash64(F.lit("piece"), "rank", "piece"))
+    own = each.withColumn("nth", F.row_number().over(W.Window.partitionBy("lang", "rank").orderBy("at", "piece"))).where(F.col("nth") <= pieces)
+    kept = own.withColumn("order", F.row_number().over(W.Window.partitionBy("lang").orderBy("nth", "rank"))).where(F.col("order") <= pieces)
+    out: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
+    for r in kept.orderBy("lang", "order").select("lang", "piece").collect():  # ALL_PIECES rows of PIECE characters at most
+        out[r["lang"]].append(r["piece"])
     return out
 
 
@@ -202,9 +218,9 @@ def consistent(texts: dict[str, list[str]]) -> dict[str, list[str]]:
     return {k: kept[k] or v for k, v in texts.items()}
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, symbols: int = SAMPLE_SYMBOLS) -> Model:
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, pieces: int = SAMPLE_PIECES) -> Model:
     """A model of the labelled sample, but for texts that contradict their label."""
-    return Model(consistent(labelled_sample(docs, rows, symbols)))
+    return Model(consistent(labelled_sample(docs, rows, pieces)))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -212,7 +228,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
     `und` with score 0 where the text is null or has no letter, or where no language was learned; ties between
     languages go to the first by name; whatever other columns there are stay, but columns of those two names are
-    replaced. A text of any length is walked whole, those of a batch in step.
+    replaced. A text of any length is walked whole, its stretches and the other texts of a batch in step: 10 MB take some
+    seconds of one task.
     """
     docs = docs.drop("lang_pred", "score")
     small_batches(docs.sparkSession)
@@ -242,8 +259,8 @@ def brute_force(model: Model, samples: dict[str, str], text: str) -> dict[str, i
     for k, sample in samples.items():
         ref, n, i = bytes(model.codes(sample).tolist()), 0, 0
         while i < len(codes):
-            j = i + 1
-            while j <= len(codes) and codes[i:j] in ref:
+            j, end = i + 1, min(len(codes), i - i % STRETCH + STRETCH)
+            while j <= end and codes[i:j] in ref:
                 j += 1
             i, n = max(i + 1, j - 1), n + 1
         out[k] = n

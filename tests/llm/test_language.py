@@ -1,3 +1,4 @@
+import time
 from pyspark.sql import functions as F
 
 from millrace.llm import language
@@ -30,7 +31,8 @@ def test_query_like_substring_search(spark, data):
     texts = language.consistent(language.labelled_sample(learned))
     model = language.Model(texts)
     samples = {k: " ".join(v).lower() for k, v in texts.items()}
-    assert all(line in r["text"].splitlines() or "\n" not in r["text"] for k, v in list(texts.items())[:1] for line in v[:3] for r in [next(r for r in learned.collect() if line in (r["text"] or ""))])
+    whole = [r["text"] or "" for r in learned.collect()]
+    assert all(any(piece in t for t in whole) for v in texts.values() for piece in v[:3])
     got = {r["doc_id"]: r["lang_pred"] for r in language.op3_language_id(spark, data).collect()}
     for r in docs.where("doc_id % 7 = 0").collect():
         n = language.brute_force(model, samples, (r["text"] or "").lower())
@@ -56,3 +58,32 @@ def test_mislabelled_samples_are_left_out():
     texts = {"a": [words["a"], words["a"][::2], words["a"][4:], words["b"]], "b": [words["b"], words["b"][3:], words["b"][6:]]}
     assert words["b"] not in language.consistent(texts)["a"]
     assert language.consistent({"a": ["x y"]}) == {"a": ["x y"]}
+
+
+def test_long_lines_are_learned_and_long_texts_walked(spark):
+    en, fr = "the cat sat on the mat and the dog ran to the house ", "le chat est sur la table avec le chien dans la maison "
+    docs = spark.createDataFrame([(i, en if i % 2 else fr * (29_400 // len(fr)), "en" if i % 2 else "fr") for i in range(60)], "doc_id bigint, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ["en", "fr"]
+    assert {(r["lang"], r["lang_pred"]) for r in language.predicted(docs, model).collect()} == {("en", "en"), ("fr", "fr")}
+    began = time.time()
+    assert model.predict([fr * (10_000_000 // len(fr))])[0][0] == "fr"
+    assert time.time() - began < 30
+
+
+def test_pieces_cover_whole_texts(spark):
+    """Every letter of a drawn text is in some piece; lines without spaces are cut in the middle."""
+    text = " ".join(f"w{i}" for i in range(400)) + "\n" + "x" * 1000 + "\r\nend"
+    got = language.labelled_sample(spark.createDataFrame([(1, text, "a"), (2, "other", None), (3, "12", "b")], "doc_id bigint, text string, lang string"))
+    assert list(got) == ["a"] and max(map(len, got["a"])) <= language.PIECE
+    assert sorted("".join(got["a"]).replace(" ", "")) == sorted(text.replace(" ", "").replace("\n", "").replace("\r", ""))
+
+
+def test_stretches(monkeypatch):
+    monkeypatch.setattr(language, "STRETCH", 7)
+    samples = {"a": "the cat sat on the mat", "b": "le chat est sur la table"}
+    model = language.Model({k: [v] for k, v in samples.items()})
+    for t in ("the cat sat on the mat " * 9, "le chat", "the ca", ""):
+        n, size = model.phrases([t])
+        want = language.brute_force(model, samples, t)
+        assert n[0].tolist() == [want["a"], want["b"]] and size[0] == len(model.codes(t))
