@@ -26,8 +26,10 @@ FLOOR = 0.05
 ROUNDS = 10
 #: Rounds in which ranks must have settled: about 90, and one for each link of the longest way from a seed.
 MOST_ROUNDS = 1000
-#: Absolute and protocol-relative targets of anchors; group 1 is the host, up to a path, query, fragment or quote.
-ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: An anchor's tag, up to its end or the next tag's begin, so that no character is read for two tags.
+TAG = r"(?i)<a\s[^<>]*"
+#: Absolute and protocol-relative targets in a tag; group 1 is the host, up to a path, query, fragment or quote.
+ANCHOR = r"""(?is)^.*?\shref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,9 +100,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, links between different hosts, summed before the shuffle."""
-    to = F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)))
-    links = pages.where("html is not null and host <> ''").select(F.col("host").alias("src"), to.alias("dst"))
-    return links.withColumn("dst", F.translate("dst", UPPER, LOWER)).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    tags = F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0)))
+    links = pages.where("html is not null and host <> ''").select(F.col("host").alias("src"), tags.alias("tag"))
+    to = F.translate(F.regexp_extract("tag", ANCHOR, 1), UPPER, LOWER)
+    return links.select("src", to.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
 def filtered(pages: DataFrame, rules=RULES, ratio: float = RATIO, floor: float = FLOOR, damping: float = DAMPING, **how) -> DataFrame:
@@ -133,6 +136,7 @@ def sql(rules=RULES, ratio: float = RATIO, floor: float = FLOOR, damping: float
     longest = sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))
     case = lambda pick: "case " + " ".join(f"when {fits(h, p)} then '{pick(v, h + p)}'" for v, h, p in longest) + " end"
     anchor = ANCHOR.replace("'", "''")
+    target = f"lambda t: translate(regexp_extract(t, '{anchor}', 1), '{UPPER}', '{LOWER}')"
     steps = reduce(lambda ctes, i: [*ctes, f"""r{i} as (select kind, host, sum(value) as value from (
         select e.kind, e.dst as host, e.share * r.value * {damping} as value from e join r{i - 1} r on r.kind = e.kind and r.host = e.src
         union all select kind, host, value * {1 - damping} from r0) group by 1, 2)"""], range(1, rounds + 1), [])
@@ -140,8 +144,8 @@ def sql(rules=RULES, ratio: float = RATIO, floor: float = FLOOR, damping: float
     p as (select page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
     j as (select *, {case(lambda v, r: r)} as rule, {case(lambda v, r: v)} as said from p),
     s as (select host, sum(case when said = 'allow' then 1.0 else 0.0 end)::double as t, sum(case when said = 'block' then 1.0 else 0.0 end)::double as d from j where said is not null and host <> '' group by 1),
-    links as (select host as src, translate(unnest(regexp_extract_all(html, '{anchor}', 1)), '{UPPER}', '{LOWER}') as dst from j where html is not null and host <> ''),
-    g as (select src, dst, count(*)::double as n from links where src <> dst group by 1, 2),
+    links as (select host as src, unnest(list_transform(regexp_extract_all(html, '{TAG}', 0), {target})) as dst from j where html is not null and host <> ''),
+    g as (select src, dst, count(*)::double as n from links where dst <> '' and src <> dst group by 1, 2),
     b as (select 'trust' as kind, src, dst, n from g union all select 'distrust', dst, src, n from g),
     e as (select kind, src, dst, n / sum(n) over (partition by kind, src) as share from b),
     r0 as (select 'trust' as kind, host, t / (select sum(t) from s) as value from s where t > 0 union all select 'distrust', host, d / (select sum(d) from s) from s where d > 0),

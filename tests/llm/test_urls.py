@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -90,3 +92,19 @@ def test_empty_table(spark):
 
 def test_against_sql(spark, data):
     same(spark, urls.op1_url_filter, urls.sql(), data)
+
+
+def test_long_pages_without_links_are_searched_in_a_pass(spark):
+    """Tags that never end, many spaces and many attributes: time grows with the length, not with its square."""
+    judged(spark, [(1, "http://a.net/x", "<a ")])
+    began = time.time()
+    got = judged(spark, [(1, "http://a.net/x", "<a " * 10**6 + "href='//b.net/'"), (2, "http://b.net/", "<a href " * 10**5), (3, "http://c.net/", "<a href" + " " * 10**6 + "=x"), (4, "http://d.com/de/", "")], rounds=1)
+    assert len(got) == 4 and time.time() - began < 20
+
+
+def test_edges_of_odd_tags(spark):
+    html = """<a data-href="//no.net/" HREF='https://Yes.net:80/x'>y</a><a
+    class=x
+    href=//two.net><abbr href="//no.org"><a title="x" href="/in"><a href="mailto:x"><a href='//two.net#t' href='//no.com'>"""
+    rows = spark.createDataFrame([("me.net", html)], "host string, html string")
+    assert sorted(map(tuple, urls.host_edges(rows).collect())) == [("me.net", "two.net", 2), ("me.net", "yes.net:80", 1)]
