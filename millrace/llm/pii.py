@@ -102,13 +102,18 @@ def parts_of(entity: Column) -> Column:
     return F.when(kind != "person", whole).when(group(4) == "", single).otherwise(two)
 
 
-def hmac(message: Column, key: str) -> Column:
-    """HMAC-SHA256 of a string, as hexadecimal digits."""
+def pads(spark: SparkSession, key: str) -> DataFrame:
+    """One row with the key's two pads as _inner and _outer: plans name the columns, and so do not show the key."""
     block = key.encode()
     if len(block) > 64:
         raise ValueError("the key is longer than 64 bytes")
-    pad = lambda x: F.lit(bytes(b ^ x for b in block.ljust(64, b"\0")))
-    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))), 256)
+    pad = lambda x: bytearray(b ^ x for b in block.ljust(64, b"\0"))
+    return spark.createDataFrame([(pad(0x36), pad(0x5C))], "_inner binary, _outer binary")
+
+
+def hmac(message: Column) -> Column:
+    """HMAC-SHA256 of a string beside the key's pads, as hexadecimal digits."""
+    return F.sha2(F.concat("_outer", F.unhex(F.sha2(F.concat("_inner", message.cast("binary")), 256))), 256)
 
 
 def _byte(digest: Column, i: Column | int) -> Column:
@@ -204,13 +209,14 @@ def rendered(kind: Column, raw: Column, new: Column) -> Column:
 def mapping(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, new for distinct entities (kind, canon): no two share a replacement, none is an entity itself."""
     entities = written(entities.select("kind", "canon").distinct(), "entities")
+    secret = F.broadcast(pads(entities.sparkSession, key))  # one row
     taken = entities.select(F.col("canon").alias("new")).distinct()
     left, done = entities, None
     for attempt in itertools.count():
         tried = left.withColumn("_try", F.lit(attempt))
         message = F.concat_ws("\n", "kind", "canon", F.col("_try").cast("string"))
         # the shuffle keeps the digests columns: inlined, they would be computed anew for every character
-        keyed = tried.select("*", hmac(message, key).alias("_a"), hmac(F.regexp_extract("canon", "@(.*)$", 1), key).alias("_d")).repartition("kind", "canon")
+        keyed = tried.crossJoin(secret).select(*tried.columns, hmac(message).alias("_a"), hmac(F.regexp_extract("canon", "@(.*)$", 1)).alias("_d")).repartition("kind", "canon")
         new = keyed.select("kind", "canon", surrogate(F.col("kind"), F.col("canon"), F.col("_try"), F.col("_a"), F.col("_d")).alias("new"))
         free = new.join(taken, "new", "left_anti")
         if done is not None:

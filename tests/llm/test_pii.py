@@ -213,3 +213,22 @@ def test_repeated_rows_hot_entities_and_empty_table(spark, monkeypatch):
     assert len(got) == 4 and len(set(got)) == 2
     assert pii.replaced(docs.limit(0), KEY).collect() == []
     assert pii.replaced(docs).columns == ["doc_id", "text", "n_entities"]
+
+
+def test_plans_do_not_show_the_key(spark, monkeypatch):
+    key, plans = "supersecret-7f3a", []
+    keep = pii.written
+    monkeypatch.setattr(pii, "written", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    got = out(spark, TEXTS[:1], key=key)
+    assert got and len(plans) > 3 and any("_inner" in p for p in plans)
+    inner, outer = (bytes(b ^ x for b in key.encode()) for x in (0x36, 0x5C))
+    for p in plans:
+        assert not any(x in p or x.upper() in p for x in (key, inner.hex(), outer.hex())) and not any(str(list(x))[1:40] in p for x in (inner, outer))
+
+
+def test_keyed_digest_is_hmac(spark):
+    import hashlib
+    import hmac
+
+    row = spark.range(1).crossJoin(pii.pads(spark, "k" * 40)).select(pii.hmac(pii.F.lit("message é"))).first()[0]
+    assert row == hmac.new(b"k" * 40, "message é".encode(), hashlib.sha256).hexdigest()
