@@ -76,6 +76,20 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def apart(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns of these names under other ones, and what to rename back: room for an operator's own columns."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    back = {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            other = f"{c}_"
+            while other.lower() in taken:
+                other += "_"
+            taken.add(other.lower())
+            back[other] = c
+    return df.withColumnsRenamed({c: other for other, c in back.items()}), back
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose text column holds about `limit` bytes, at least a row each."""
     for batch in batches:

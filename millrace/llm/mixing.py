@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, table
 
 OTHER = "other"
 MARGINS = ("source", "lang", "topic")
@@ -188,7 +188,7 @@ def cell_sums(each: DataFrame) -> dict[tuple[str, str, str], float]:
 
 def margins(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa: B008  frozen
     """margin, value, target, reached: what the mix of docs expects to draw beside what it was asked for."""
-    cells = cell_sums(in_cells(docs, targets))
+    cells = cell_sums(in_cells(apart(docs, "_source", "_lang", "_topic", "_tokens", "_words")[0], targets))
     return docs.sparkSession.createDataFrame(reached(cells, rates(cells, targets), targets), "margin string, value string, target double, reached double")
 
 
@@ -200,8 +200,9 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None =
     are counted whole. Columns topic and n_tokens are used if there are such; columns rate and copies are replaced.
     miss: raises if a share is further than this from its target, rather than warn.
     """
-    columns = [c for c in docs.columns if c not in ("n_tokens", "rate", "copies")]
-    each = in_cells(docs, targets)
+    own, back = apart(docs, "_source", "_lang", "_topic", "_tokens", "_words", "_rate", "_copies")
+    columns = [c for c in own.columns if c not in ("n_tokens", "rate", "copies")]
+    each = in_cells(own, targets)
     keys = ["_source", "_lang", "_topic"]
     cells = cell_sums(each)
     rate = rates(cells, targets)
@@ -210,7 +211,7 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None =
     known = docs.sparkSession.createDataFrame([(*c, x) for c, x in sorted(rate.items())], "_source string, _lang string, _topic string, _rate double")
     drawn = each.join(F.broadcast(known), keys).where("_tokens > 0")
     copies = F.floor("_rate") + (chance(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies")).withColumnsRenamed(back)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

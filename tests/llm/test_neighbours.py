@@ -36,9 +36,15 @@ def by_query(df) -> list[list[tuple[int, float]]]:
     return got
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1", "check_s"])
-def test_recall_and_scores(spark, sf):
-    data = f"/root/testdata/{sf}"
+@pytest.mark.parametrize("n", [500, 2_000, 10_000])
+def test_recall_and_scores(spark, n, tmp_path):
+    """Vectors with as little structure as those of the tables: 500 and 2,000 are the tables', 10,000 are drawn."""
+    data = f"/root/testdata/sf{'0.01' if n == 500 else '0.1'}"
+    if n == 10_000:
+        e = np.random.default_rng(5).normal(size=(n, 64))
+        e = (e / np.linalg.norm(e, axis=1)[:, None]).astype(np.float32)
+        spark.createDataFrame([(i, v) for i, v in enumerate(e.tolist())], "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+        data = str(tmp_path)
     rows = [(r["vec_id"], r["embedding"]) for r in table(spark, data, "embeddings").collect() if r["embedding"]]
     e = np.array([v for _, v in rows], np.float64)
     got = by_query(neighbours.op4_nearest_neighbours(spark, data))

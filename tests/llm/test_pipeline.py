@@ -97,3 +97,22 @@ def test_empty_documents(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, data)
         assert docs.collect() == []
+
+
+def test_stages_keep_columns_of_any_name(spark, data):
+    """Columns under the names that stages use for themselves come out as they went in."""
+    from pyspark.sql import functions as F
+
+    mine = {c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in ("score", "lang_pred", "_text_key", "_h1", "_tokens", "_source", "_words", "_rate", "Text_Key")}
+    docs = table(spark, data, "documents").withColumns(mine)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, data), name)
+        rows = docs.select("doc_id", *mine).collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in mine), name
+
+
+def test_unlearned_label_rejects_nothing(spark, data, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
+    docs = table(spark, data, "documents").where("text rlike '[a-z]'")
+    most = docs.where(language.crc_mod3() != 1).groupBy("lang").count().orderBy("count", ascending=False).first()["lang"]
+    assert corpus_pipeline.language_id(spark, docs, data).where(f"lang <> '{most}'").count() == docs.where(f"lang <> '{most}'").count()
