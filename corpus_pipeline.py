@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard, language, mixing, secrets
-from millrace.llm.common import small, table, written
+from millrace.llm.common import apart, small, table, written
 
 #: A document is rejected when its language cannot be told, or when it has so many characters and its language differs
 #: from its label with at least this score: short texts may be licence lines or addresses in no language of their own.
@@ -24,18 +24,24 @@ KEYS = 1_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language and those whose text is surely in another one than their label says."""
+    """Rejects documents without a language and those whose text is surely in another one than their label says.
+
+    A label that was not learned rejects nothing: its language may be what the text is in.
+    """
     model = language.fit(docs.where(language.crc_mod3() != 1).select("doc_id", "text", "lang"))
-    said = language.predicted(docs, model)
-    other = F.col("lang").isNotNull() & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE) & (F.length("text") >= LEAST_CHARS)
-    return said.where((F.col("lang_pred") != language.UNKNOWN) & ~other).select(*docs.columns)
+    own, back = apart(docs, "lang_pred", "score")
+    said = language.predicted(own, model)
+    other = F.col("lang").isin(*model.languages) & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= SURE) & (F.length("text") >= LEAST_CHARS)
+    kept = said.where((F.col("lang_pred") != language.UNKNOWN) & ~F.coalesce(other, F.lit(False)))
+    return kept.select(*own.columns).withColumnsRenamed(back)
 
 
 def picked(docs: DataFrame, keys: DataFrame, of_text: dict[str, Column], how: str) -> DataFrame:
     """docs semi- or anti-joined with a written table of keys: doc_id and what of_text makes of the text, nulls like others."""
-    left, right = docs.withColumns({f"_{k}": c for k, c in of_text.items()}).alias("l"), small(keys, KEYS).alias("r")
+    own, back = apart(docs, *(f"_{k}" for k in of_text))
+    left, right = own.withColumns({f"_{k}": c for k, c in of_text.items()}).alias("l"), small(keys, KEYS).alias("r")
     same = reduce(Column.__and__, [F.col(f"l._{k}").eqNullSafe(F.col(f"r.{k}")) for k in of_text], F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")))
-    return left.join(right, same, how).select(*docs.columns)
+    return left.join(right, same, how).select(*own.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = written(found.where(F.col("stays") & F.col("class_key").isNotNull()).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     if repeated.isEmpty():
         return kept
-    once = picked(kept, repeated, of_text, "left_semi").withColumn("_text_key", jaccard.text_key()).dropDuplicates(["doc_id", "_text_key"])
-    return picked(kept, repeated, of_text, "left_anti").unionByName(once.select(*docs.columns))
+    own, back = apart(picked(kept, repeated, of_text, "left_semi"), "_text_key")
+    once = own.withColumn("_text_key", jaccard.text_key()).dropDuplicates(["doc_id", "_text_key"]).select(*own.columns).withColumnsRenamed(back)
+    return picked(kept, repeated, of_text, "left_anti").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
