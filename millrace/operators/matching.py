@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,26 +70,100 @@ def one_to_one(pairs: DataFrame, *keys: str) -> DataFrame:
     return marked.where(reduce(lambda a, k: a & (F.col(f"_{k}") == 1), keys, F.lit(True))).drop(*[f"_{k}" for k in keys])
 
 
-def by_shared_token(left: DataFrame, right: DataFrame, tokens: str, least: float) -> DataFrame:
-    """left_id, right_id, overlap of pairs whose token sets overlap by at least `least` of the smaller.
+def contained(texts: DataFrame, codes: DataFrame, vendor: str, text: str, code: str, least: int = 5) -> DataFrame:
+    """texts with each code of their vendor (of `least` characters or more) that their text contains.
 
-    Pairs meet on a shared token. A pair that overlaps shares ceil(least * m) of the smaller set's m tokens, so one of
-    its m - ceil(least * m) + 1 rarest; which side is smaller is not known, so both sides' rare tokens meet all of
-    the other's, and frequent tokens join only with rows that have few rarer ones.
+    An index of `least`-grams: a text is met by its vendor's codes on one gram of the code, the one that fewest texts of
+    the vendor hold, and only then searched. A code with a gram that no text holds meets none.
     """
-    df = left.select(F.explode(tokens).alias("token")).unionByName(right.select(F.explode(tokens).alias("token"))).groupBy("token").agg(F.count("*").alias("df"))
-
-    def offered(side: DataFrame, name: str) -> DataFrame:
-        each = side.select(F.col("id").alias(name), F.col(tokens).alias(f"{name}_tokens"), F.explode(tokens).alias("token")).join(df, "token")
-        rank = F.row_number().over(W.Window.partitionBy(name).orderBy("df", "token"))
-        m = F.size(f"{name}_tokens")
-        return each.withColumn("rare", rank <= m - F.ceil(m * least) + 1).drop("df")
-
-    a, b = offered(left, "left_id"), offered(right, "right_id")
-    met = a.where("rare").drop("rare").join(b.drop("rare"), "token").unionByName(a.drop("rare").join(b.where("rare").drop("rare"), "token"))
-    pairs = met.drop("token").dropDuplicates(["left_id", "right_id"])
-    both = F.size(F.array_intersect("left_id_tokens", "right_id_tokens"))
-    return pairs.withColumn("overlap", both / F.least(F.size("left_id_tokens"), F.size("right_id_tokens"))).where(F.col("overlap") >= least).select("left_id", "right_id", "overlap")
+    def grams(x):
+        return F.when(F.length(x) >= least, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (least - 1)), lambda i: F.substr(x, i, F.lit(least)))))
+
+    held = texts.select(vendor, F.explode(grams(F.col(text))).alias("_gram"))
+    often = held.groupBy(vendor, "_gram").agg(F.count("*").alias("_n"))
+    own = codes.select(vendor, code).where(F.length(code) >= least).distinct()
+    each = own.withColumn("_grams", grams(F.col(code))).select(vendor, code, F.size("_grams").alias("_all"), F.explode("_grams").alias("_gram"))
+    rarest = each.join(often, [vendor, "_gram"]).groupBy(vendor, code).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count("*").alias("_met"), F.first("_all").alias("_all"))
+    asked = rarest.where("_met = _all").select(vendor, code, "_gram")
+    met = texts.withColumn("_gram", F.explode(grams(F.col(text)))).join(asked, [vendor, "_gram"])
+    return met.where(F.contains(text, code)).drop("_gram")
+
+
+def token_sets(rows: DataFrame, tokens: str) -> DataFrame:
+    """rows with `set_id`, the least id of those with the same tokens, whatever their order; rows without tokens have none.
+
+    rows: id and tokens, an array.
+    """
+    own = rows.withColumn("_set", F.array_sort(F.array_distinct(tokens))).where(F.size("_set") > 0)
+    least = own.groupBy("_set").agg(F.min("id").alias("set_id"))
+    return own.join(least, "_set").withColumnRenamed("_set", "set")
+
+
+def overlapping_sets(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """left_set, right_set, overlap of distinct sets (set_id, set) whose tokens overlap by at least `least` of the smaller's.
+
+    A pair shares c = ceil(least * m) of the smaller set's m tokens. With tokens in order of rarity, the first two that it
+    shares stand among the first m - c + 2 of the smaller and the first n - c + 2 of the larger set, so sets meet on pairs
+    of those (on single tokens where c is 1), under the size m that they are for: prefix, length and position in one key.
+    A pair is taken where its first two shared tokens meet, and so once, without a further shuffle.
+    """
+    each = left.select("set").unionByName(right.select("set"))
+    often = each.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+    def ordered(side: DataFrame, name: str) -> DataFrame:
+        met = side.select(F.col("set_id").alias(name), F.explode("set").alias("token")).join(often, "token")
+        return met.groupBy(name).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias(f"{name}_tokens"))
+
+    shared = lambda m: F.ceil(m * F.lit(least) - 1e-9).cast("int")
+
+    def keys(tokens, m):
+        """The keys under which a set is met by, or as, one of m tokens."""
+        c = shared(m)
+        first = F.slice(tokens, F.lit(1), F.greatest(F.lit(1), F.least(F.size(tokens), F.size(tokens) - c + F.least(c, F.lit(2)))))
+        two = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda b: F.struct(m.alias("m"), a.alias("a"), b.alias("b")))))
+        one = F.transform(first, lambda a: F.struct(m.alias("m"), a.alias("a"), F.lit("").alias("b")))
+        return F.when(c >= 2, two).otherwise(one)
+
+    a, b = ordered(left, "left_set"), ordered(right, "right_set")
+    sizes = lambda df, name: df.select(F.size(f"{name}_tokens").alias("m")).distinct()  # noqa: E731  a row a length
+    as_smaller = lambda df, name: df.withColumn("key", F.explode(keys(F.col(f"{name}_tokens"), F.size(f"{name}_tokens"))))
+
+    def as_larger(df: DataFrame, name: str, other: DataFrame, other_name: str, strictly: bool) -> DataFrame:
+        n = F.size(f"{name}_tokens")
+        longer = n > F.col("m") if strictly else n >= F.col("m")
+        return df.join(F.broadcast(sizes(other, other_name)), longer).withColumn("key", F.explode(keys(F.col(f"{name}_tokens"), F.col("m")))).drop("m")
+
+    met = as_smaller(a, "left_set").join(as_larger(b, "right_set", a, "left_set", False), "key").unionByName(
+        as_larger(a, "left_set", b, "right_set", True).join(as_smaller(b, "right_set"), "key")
+    )
+    both = met.withColumn("both", F.array_intersect("left_set_tokens", "right_set_tokens"))
+    smaller = F.least(F.size("left_set_tokens"), F.size("right_set_tokens"))
+    here = (F.col("key.a") == F.col("both")[0]) & ((F.col("key.b") == "") | (F.col("key.b") == F.get("both", F.lit(1))))
+    fine = both.where((F.size("both") >= shared(smaller)) & here)
+    return fine.select("left_set", "right_set", (F.size("both") / smaller).alias("overlap"))
+
+
+def weighted_unique(left: DataFrame, right: DataFrame, key: str, weights: dict[str, int]) -> DataFrame:
+    """left_id, right_id, score: each left row's best right row with the same key, if no other one scores as much.
+
+    A score is the sum of the weights (positive, no two sums alike) of the columns that agree; null columns agree with
+    none. A left row asks for each set of agreeing columns at once, best first, how many right rows agree on
+    them: the right side is one row for each combination of values, so no pair of rows is made. At the first set with
+    any, those agree on nothing more.
+    """
+    columns = list(weights)
+    subsets = sorted(((sum(w for c, w in weights.items() if c in s), s) for n in range(len(columns) + 1) for s in combinations(columns, n)), key=lambda x: -x[0])
+    if len({w for w, _ in subsets}) < len(subsets):
+        raise ValueError("two sets of columns weigh the same")
+
+    def asked(df: DataFrame) -> DataFrame:
+        level = lambda i, s: F.when(reduce(lambda a, c: a & F.col(c).isNotNull(), s, F.lit(True)), F.struct(F.lit(i).alias("level"), *[(F.col(c) if c in s else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in columns]))
+        return df.select("id", key, F.explode(F.array_compact(F.array(*[level(i, s) for i, (_, s) in enumerate(subsets)]))).alias("_by")).where(F.col(key).isNotNull())
+
+    there = asked(right).groupBy(key, "_by").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
+    best = asked(left).join(there, [key, "_by"]).groupBy("id").agg(F.min(F.struct(F.col("_by.level").alias("level"), "_n", "_id")).alias("b")).where("b._n = 1")
+    score = F.array(*[F.lit(w) for w, _ in subsets])
+    return best.select(F.col("id").alias("left_id"), F.col("b._id").alias("right_id"), score[F.col("b.level")].alias("score"))
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str, tolerance: float = 0.01) -> DataFrame:

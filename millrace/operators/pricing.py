@@ -24,10 +24,11 @@ def scored(items: DataFrame, rules: DataFrame) -> DataFrame:
     """
     kind = ["_currency", "_default"]
     r = rules.withColumns({"_currency": _norm(F.col("currency")), "_default": F.coalesce("is_default", F.lit(False))}).withColumnsRenamed({"supplier_id": "rule_supplier", "currency": "rule_currency"})
-    first = lambda df, *by: df.withColumn("_n", F.row_number().over(W.Window.partitionBy(*by).orderBy("rule_pos")))
-    owned = first(r.where("rule_supplier is not null"), "rule_supplier", *kind).where("_n = 1").drop("_n")
-    general = first(r.where("rule_supplier is null"), *kind).where("_n = 1").drop("_n")
-    foreign = first(owned, *kind).where("_n <= 2").drop("_n")
+    # the first rule of each supplier (or none), currency and default: one aggregate that all three kinds are read from
+    each = r.groupBy("rule_supplier", *kind).agg(F.min_by(F.struct(*[c for c in r.columns if c not in ("rule_supplier", *kind)]), "rule_pos").alias("_first"))
+    owned = each.where("rule_supplier is not null").select("rule_supplier", *kind, "_first.*")
+    general = each.where("rule_supplier is null").select("rule_supplier", *kind, "_first.*")
+    foreign = owned.withColumn("_n", F.row_number().over(W.Window.partitionBy(*kind).orderBy("rule_pos"))).where("_n <= 2").drop("_n")
     few = general.unionByName(foreign)
     few = F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
     item = items.select("supplier_id", "currency").distinct()

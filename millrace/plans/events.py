@@ -231,16 +231,6 @@ def w11_rate_window(spark, sf_dir):
     return cycle.within_window(Tables(spark, sf_dir).events, "user_id", "ts", 21600, 4).select("event_id", "user_id", "in_window", "limited", "wait_us")
 
 
-@query("""with r as (select event_id, user_id, value, sum(greatest(0, round(value))) over (partition by strftime(ts, '%Y-%m-%d') order by ts, event_id) as used from events where event_type = 'purchase')
-    select event_id, used::bigint as used, used <= 2000 as reserved from r""")
-def t07_budget_reservation(spark, sf_dir):
-    """Reservations in order of time until the day's budget is used up."""
-    e = Tables(spark, sf_dir).events.where(_is("purchase"))
-    day = W.Window.partitionBy(F.date_format("ts", "yyyy-MM-dd")).orderBy("ts", "event_id").rowsBetween(W.Window.unboundedPreceding, 0)
-    used = F.sum(F.greatest(F.lit(0.0), F.round("value"))).over(day)
-    return e.select("event_id", used.cast("long").alias("used"), (used <= 2000).alias("reserved"))
-
-
 @query("""select c_custkey from customer where c_custkey not in (select user_id from events where event_type = 'error' and value > 90)""")
 def t08_tombstones(spark, sf_dir):
     """Rows without those that failed for good."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import matching
+from ..sources import shared
 from .base import Tables, query
 
 SIDES = """l as (select p_partkey as id, lower(p_brand) as vendor, lower(p_name) as exact, lower(split_part(p_name, ' ', 1)) || ' ' || p_size % 3 as base from part where p_partkey % 2 = 0),
@@ -38,16 +39,14 @@ def j13_unique_evidence(spark, sf_dir):
     return found.groupBy("id").agg(F.count_distinct("url").alias("n"), F.min("pos").alias("pos"), F.min("url").alias("url")).where("n = 1").drop("n")
 
 
-@query("""with s as (select p_partkey as id, p_brand as vendor, upper(replace(p_name, ' ', '')) || p_partkey as sku from part), c as (select distinct p_brand as vendor, (p_partkey % 1000 + 10000)::varchar as code from part)
-    select id, code from s join c using (vendor) where contains(sku || '10500', code)""")
+@query("""with s as (select p_partkey as id, p_brand as vendor, upper(replace(p_name, ' ', '')) || printf('%06d', p_partkey) || upper(replace(p_type, ' ', '')) as sku from part), c as (select distinct vendor, right(left(sku, length(sku) - 2), 5 + (id % 16)::int) as code from s)
+    select id, code from s join c using (vendor) where contains(sku, code)""")
 def j14_code_in_sku(spark, sf_dir):
-    """Codes of a vendor that its SKUs contain, as an equi-join: codes have five characters."""
-    part = Tables(spark, sf_dir).part
-    fives = lambda x: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 4), lambda i: F.substr(x, i, F.lit(5))))
-    sku = F.concat(text.compact(F.col("p_name")), F.col("p_partkey").cast("string"), F.lit("10500"))
-    s = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("vendor"), F.explode(fives(sku)).alias("code"))
-    c = part.select(F.col("p_brand").alias("vendor"), (F.col("p_partkey") % 1000 + 10000).cast("string").alias("code")).distinct()
-    return s.join(c, ["vendor", "code"]).select("id", "code")
+    """Codes of a vendor, of 5 to 20 characters, that its SKUs contain."""
+    key = F.lpad(F.col("p_partkey").cast("string"), 6, "0")
+    s = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("vendor"), F.concat(text.compact(F.col("p_name")), key, text.compact(F.col("p_type"))).alias("sku"))
+    c = s.select("vendor", F.right(F.left("sku", F.length("sku") - 2), (5 + F.col("id") % 16).cast("int")).alias("code"))
+    return matching.contained(s, c, "vendor", "sku", "code").select("id", "code")
 
 
 @query("""with a as (select p_brand, p_name, min(p_partkey) as url from part where p_size % 2 = 0 group by 1, 2 having count(distinct p_partkey) = 1) select p.p_partkey, a.url from part p join a using (p_brand, p_name) where p.p_size % 2 = 1""")
@@ -61,25 +60,44 @@ def j15_siblings(spark, sf_dir):
 TOKENS = "list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' '), lambda w: length(w) > 1))"
 
 
-@query(f"""with t as (select p_partkey as id, {TOKENS} as w from part), a as (select * from t where id % 2 = 0), b as (select * from t where id % 2 = 1)
-    select a.id as left_id, b.id as right_id, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) as overlap from a, b where len(list_intersect(a.w, b.w)) >= 0.55 * least(len(a.w), len(b.w)) and len(a.w) > 0 and len(b.w) > 0""")
+_SETS = f"""with t as (select p_partkey as id, list_sort({TOKENS}) as w from part where len({TOKENS}) > 0), g as (select w, min(id) as set_id, count(*) filter (where id % 2 = 0) as n_left, count(*) filter (where id % 2 = 1) as n_right from t group by 1),
+    p as (select a.set_id as left_set, b.set_id as right_set, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) as overlap, a.n_left, b.n_right from g as a, g as b where a.n_left > 0 and b.n_right > 0 and len(list_intersect(a.w, b.w)) >= 0.55 * least(len(a.w), len(b.w)))"""
+
+
+def _token_sets(spark, sf_dir):
+    w = F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " "), lambda x: F.length(x) > 1)
+    return matching.token_sets(Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), w.alias("w")), "w")
+
+
+def _side(rows, rest: int):
+    return rows.where(F.col("id") % 2 == rest).groupBy("set_id").agg(F.first("set").alias("set"))
+
+
+@query(_SETS + " select left_set, right_set, overlap from p")
 def j16_token_overlap(spark, sf_dir):
-    """Pairs of titles whose words overlap enough, met by their rare words."""
-    w = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " "), lambda x: F.length(x) > 1))
-    t = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), w.alias("w"))
-    return matching.by_shared_token(t.where("id % 2 = 0"), t.where("id % 2 = 1"), "w", 0.55)
+    """Sets of words of even and odd parts that overlap enough, each named by the least part that has it."""
+    rows = _token_sets(spark, sf_dir)
+    return matching.overlapping_sets(_side(rows, 0), _side(rows, 1), 0.55)
+
+
+@query(_SETS + """, l as (select left_set as set_id, sum(n_right)::bigint as n from p group by 1), r as (select right_set as set_id, sum(n_left)::bigint as n from p group by 1)
+    select t.id, g.set_id, coalesce(case when id % 2 = 0 then l.n else r.n end, 0) as links from t join g using (w) left join l using (set_id) left join r using (set_id)""")
+def j16_token_links(spark, sf_dir):
+    """Every part with its set and the number of parts of the other side whose words overlap enough with its own."""
+    rows = shared.written(_token_sets(spark, sf_dir).select("id", "set_id", "set"), "sets")
+    pairs = shared.written(matching.overlapping_sets(_side(rows, 0), _side(rows, 1), 0.55), "pairs")
+    held = rows.groupBy("set_id").agg(F.count_if(F.col("id") % 2 == 0).alias("n_left"), F.count_if(F.col("id") % 2 == 1).alias("n_right"))
+    links = lambda own, other, n: pairs.join(held.withColumnRenamed("set_id", other), other).groupBy(F.col(own).alias("set_id")).agg(F.sum(n).alias(f"{n}_met"))
+    each = rows.join(links("left_set", "right_set", "n_right"), "set_id", "left").join(links("right_set", "left_set", "n_left"), "set_id", "left")
+    return each.select("id", "set_id", F.coalesce(F.when(F.col("id") % 2 == 0, F.col("n_right_met")).otherwise(F.col("n_left_met")), F.lit(0)).alias("links"))
 
 
 @query("""with p as (select a.p_partkey as left_id, b.p_partkey as right_id, case when a.p_type = b.p_type then 1000 else 0 end + case when a.p_size = b.p_size then 250 else 0 end + case when a.p_brand = b.p_brand then 50 else 0 end as score from part a join part b on a.p_name = b.p_name and a.p_partkey % 2 = 0 and b.p_partkey % 2 = 1),
     m as (select *, max(score) over (partition by left_id) as m from p) select left_id, min(right_id) as right_id, min(score)::int as score from m where score = m group by 1 having count(*) = 1""")
 def j17_weighted_score(spark, sf_dir):
-    """The pair with the greatest score, ties rejected."""
-    p = Tables(spark, sf_dir).part.select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
-    a = p.where("p_partkey % 2 = 0").withColumnsRenamed({c: f"a_{c}" for c in p.columns if c != "p_name"})
-    b = p.where("p_partkey % 2 = 1")
-    points = lambda c, n: F.when(F.col(f"a_{c}") == F.col(c), n).otherwise(0)
-    pairs = a.join(b, "p_name").select(F.col("a_p_partkey").alias("left_id"), F.col("p_partkey").alias("right_id"), (points("p_type", 1000) + points("p_size", 250) + points("p_brand", 50)).alias("score"))
-    return matching.scored_match(pairs, "left_id", "score")
+    """The pair with the greatest score, ties rejected, by combinations of values instead of pairs of rows."""
+    p = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size", "p_brand")
+    return matching.weighted_unique(p.where("id % 2 = 0"), p.where("id % 2 = 1"), "p_name", {"p_type": 1000, "p_size": 250, "p_brand": 50})
 
 
 @query("""with x as (select o_orderkey, unnest(string_split(o_orderpriority || '|' || o_orderstatus || ',' || o_orderstatus, '|')) as y from orders), l as (select o_orderkey, trim(unnest(string_split(y, ','))) as label from x), n as (select l.o_orderkey, n_nationkey as id from l join (select min(n_nationkey) as n_nationkey, substr(n_name, 1, 1) as k from nation group by 2) d on lower(substr(label, 1, 1)) = lower(k))

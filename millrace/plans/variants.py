@@ -95,9 +95,9 @@ def p09_strict_gate(spark, sf_dir):
 @query(f"""with {LINES} select l_orderkey, string_agg(idx::varchar, ',' order by idx) as kept from (select l_orderkey, l_partkey % 5 as sig, min(idx) as idx from lines group by 1, 2) group by 1""")
 def w02_dedupe_in_row(spark, sf_dir):
     """Variants without repeated signatures, folded in order."""
-    v = F.struct((F.col("l_partkey") % 5).cast("string").alias("signature"), F.lit("").alias("sku"), F.lit(None).cast("string").alias("source_id"), "idx")
-    each = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", v.alias("v")))), lambda x: x["v"]).alias("v"))
-    return each.select("l_orderkey", F.array_join(F.transform(variants.dedupe_in_row(F.col("v")), lambda x: x["idx"].cast("string")), ",").alias("kept"))
+    rows = _lines(spark, sf_dir).select("l_orderkey", "idx", (F.col("l_partkey") % 5).cast("string").alias("signature"))
+    kept = variants.dedupe_rows(rows, "l_orderkey", "idx", ["signature"]).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("idx")).alias("kept"))
+    return kept.select("l_orderkey", F.array_join(F.transform("kept", lambda i: i.cast("string")), ",").alias("kept"))
 
 
 @query(f"""with recursive {LINES}, k as materialized (select *, ['a' || l_partkey % 5, 'b' || l_suppkey % 3] || case when l_partkey % 2 = 0 then ['c' || l_returnflag] else [] end as keys from lines),

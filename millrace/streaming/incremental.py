@@ -6,17 +6,10 @@ be held against the batch forms.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import jsons
-from ..sources.shared import folder
 
 
 def unseen(rows: DataFrame, at: str, ttl: str = "720 hours") -> DataFrame:
@@ -36,53 +29,6 @@ def trailing_counts(events: DataFrame, at: str, kind: str, size: str = "24 hours
     return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, size).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-_CONFIRM = T.StructType().add("user_id", T.LongType()).add("failures", T.LongType()).add("confirmed", T.BooleanType())
-_COUNT = T.StructType().add("failures", T.LongType())
-
-
-def confirmations(events: DataFrame, needed: int = 2) -> DataFrame:
-    """user_id, failures, confirmed after every batch: failures since the last success, events in order of time.
-
-    events: user_id, ts, event_id, event_type; purchase resets, error counts.
-    """
-    least = min(3, max(2, needed))
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (n,) = state.get if state.exists else (0,)
-        for kind in pd.concat(list(frames)).sort_values(["ts", "event_id"])["event_type"]:
-            n = 0 if kind == "purchase" else n + (kind == "error")
-        state.update((int(n),))
-        yield pd.DataFrame({"user_id": [key[0]], "failures": [n], "confirmed": [n >= least]})
-
-    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(fold, _CONFIRM, _COUNT, "update", GroupStateTimeout.NoTimeout)
-
-
-_LIMIT = T.StructType().add("event_id", T.LongType()).add("user_id", T.LongType()).add("in_window", T.LongType()).add("limited", T.BooleanType())
-_TIMES = T.StructType().add("us", T.ArrayType(T.LongType())).add("limit", T.LongType())
-
-
-def rate_limited(events: DataFrame, seconds: int, limit: int, ratchet: bool = False) -> DataFrame:
-    """event_id, user_id, in_window, limited: requests of the last `seconds` up to each event, kept as state.
-
-    With ratchet, a restriction (event_type error) halves the user's limit for good, to 1 at the least.
-    """
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, own = state.get if state.exists else ([], limit)
-        times, out = list(times), []
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        stamps = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
-        for us, e, kind in zip(stamps, rows["event_id"].tolist(), rows["event_type"].tolist(), strict=True):
-            times = [t for t in times if t > us - seconds * 1_000_000] + [us]
-            out.append((e, key[0], len(times), len(times) >= own))
-            if ratchet and kind == "error":
-                own = max(1, own // 2)
-        state.update((times, int(own)))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "in_window", "limited"])
-
-    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(fold, _LIMIT, _TIMES, "append", GroupStateTimeout.NoTimeout)
-
-
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all there is, into a table in memory of that name."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -90,19 +36,7 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame
     return stream.sparkSession.table(name)
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """What a stream over all there is leaves, as a table in the shared folder: its last batch in complete mode, else all."""
-    at = f"{folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    keep = lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{at}/out")
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    out = stream.sparkSession.read.parquet(f"{at}/out")
-    if mode == "complete":
-        out = out.where(F.col("_batch") == out.agg(F.max("_batch")).first()[0])
-    return out.drop("_batch")
-
-
-def read_stream(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 1) -> DataFrame:
+def read_stream(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int = 100) -> DataFrame:
     """A table's files as a stream, so many a batch. A table of one file is streamed out of the folder that it is in."""
     path = f"{sf_dir}/{name}.parquet"
     table = spark.read.parquet(path)
