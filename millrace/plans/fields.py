@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import jsons, money, options, text, urls
-from ..operators import extraction
+from ..operators import extraction, nested
 from .base import Tables, query
 
 
@@ -164,14 +162,13 @@ def x05_five_titles(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", made.otherwise(text.title_relation(F.lit("Shirt (3-6 months) - Size XL"))).alias("title"))
 
 
-@query("select p_partkey, p_size as quantity, case when p_size % 2 = 0 then 'long ' || repeat('x', 200) else 'short Soft cotton machine wash' end as description from part")
+@query("""select p_partkey, case when p_size % 5 = 0 then 0 when p_size % 5 = 1 then p_size + 1 else p_size end as quantity,
+    case when p_size % 3 = 0 then p_type || chr(10) || p_brand when p_size % 3 = 1 then 'long ' || repeat('x', 200) when lower(p_name) = p_type then p_name || chr(10) || p_brand else p_name || chr(10) || p_type || chr(10) || p_brand end as description from part""")
 def x12_nested_records(spark, sf_dir):
     """Stock deep inside a record, and descriptions filled up from it."""
-    @F.pandas_udf(T.StringType())
-    def full(d: pd.Series, raw: pd.Series) -> pd.Series:
-        return pd.Series([extraction.enriched(a or "", extraction.parsed(b or "")) for a, b in zip(d, raw, strict=True)])
-
     z = F.col("p_size")
-    raw = F.concat(F.lit('{"id":"zz","details":"Soft cotton; machine wash","x":{"raw":{"qty":"'), z.cast("string"), F.lit('"}}}'))
-    d = F.when(z % 2 == 0, F.concat(F.lit("long "), F.repeat(F.lit("x"), 200))).otherwise("short")
-    return Tables(spark, sf_dir).part.select("p_partkey", extraction.json_quantity(raw).alias("quantity"), full(d, raw).alias("description"))
+    top = F.when(z % 5 == 0, F.concat(F.lit('"stock":-'), z.cast("string"), F.lit(","))).when(z % 5 == 1, F.concat(F.lit('"a":{"qty":0},"product":{"quantity":'), (z + 1).cast("string"), F.lit(".9},"))).otherwise("")
+    raw = F.concat(F.lit("{"), top, F.lit('"id":"zz","details":["'), F.col("p_type"), F.lit(' ;; "],"care":{"description":"'), F.col("p_brand"), F.lit(' | ok"},"x":{"raw":{"qty":"'), z.cast("string"), F.lit('"}}}'))
+    d = F.when(z % 3 == 1, F.concat(F.lit("long "), F.repeat(F.lit("x"), 200))).when(z % 3 == 2, F.col("p_name"))
+    part = Tables(spark, sf_dir).part
+    return nested.quantities(part, "p_partkey", raw).join(nested.enriched(part, "p_partkey", d, raw), "p_partkey")

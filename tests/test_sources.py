@@ -2,12 +2,15 @@
 
 import io
 import json
+import math
+import random
+import re
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import extraction, matching, pricing, quality, variants
+from millrace.operators import extraction, matching, nested, pricing, quality, variants
 from millrace.sources import sheets, sinks, web
 
 
@@ -87,12 +90,62 @@ def test_extraction(spark):
 
 def test_arrow_functions(spark):
     df = spark.createDataFrame([("a &amp; b &#189;", "../x?utm_source=1&q=2", "https://h.com/a/b/c", '{"x":{"raw":{"qty":"7"}}}')], "t string, u string, b string, j string")
-    got = df.select(extraction.html_unescape("t").alias("t"), extraction.url_join("u", "b").alias("u"), extraction.json_quantity("j").alias("j")).first()
-    assert tuple(got) == ("a & b ½", "https://h.com/a/x?q=2", 7)
-    assert extraction.enriched("short", {"details": "Soft cotton; machine wash", "id": "zz"}) == "short Soft cotton machine wash"
+    got = df.select(extraction.html_unescape("t").alias("t"), extraction.url_join("u", "b").alias("u")).first()
+    assert tuple(got) == ("a & b ½", "https://h.com/a/x?q=2")
+    assert nested.quantities(df, "u", F.col("j")).first()["quantity"] == 7
     assert spark.range(1).select(extraction.signals(F.lit("<h1>x</h1><img src=a>"))["static"].alias("s")).first()["s"]
 
 
+def units(value, depth: int = 0):
+    """Depth first: own names, then containers, then near the top everything."""
+    if not isinstance(value, dict | list) or depth > 4:
+        return None
+    held = value if isinstance(value, dict) else dict(enumerate(value))
+    for v in (held.get(k) for k in nested.QUANTITY_KEYS):
+        if isinstance(v, int | float) and not isinstance(v, bool):
+            return max(0, math.floor(v))
+        if isinstance(v, str) and re.fullmatch(r"\d+(\.\d+)?", v.strip()):
+            return math.floor(float(v))
+    for child in [*(held.get(k) for k in nested.CONTAINERS), *(held.values() if depth < 2 else ())]:
+        if (n := units(child, depth + 1)) is not None:
+            return n
+    return None
+
+
+def pieces(value, depth: int = 0) -> list[str]:
+    if depth > 4 or value is None:
+        return []
+    if isinstance(value, str):
+        return [p for p in (re.sub(r"\s+", " ", x).strip() for x in re.split(r"\r?\n|•|;|\|", value)) if p]
+    if isinstance(value, list):
+        return [p for x in value for p in pieces(x, depth + 1)]
+    if isinstance(value, dict):
+        named = [p for k in nested.DESCRIPTION_KEYS if k in value for p in pieces(value[k], depth + 1)]
+        return named or ([p for x in value.values() for p in pieces(x, depth + 1)] if depth <= 1 else [])
+    return []
+
+
+def test_nested_records(spark):
+    rng = random.Random(11)
+    names = [*nested.QUANTITY_KEYS[:3], "qty", "raw", "product", "details", "care", "features", "b", "a"]
+
+    def made(depth: int):
+        kind = rng.random()
+        if depth and kind < 0.45 or depth > 5:
+            return rng.choice(["x", " 7 ", "3.5", "-2", "one; two|one", "Soft\ncotton • wash", 4, -1, 2.75, True, None, "{", ""])
+        return [made(depth + 1) for _ in range(rng.randrange(3))] if kind < 0.55 else {k: made(depth + 1) for k in rng.sample(names, rng.randrange(1, 5))}
+
+    rows = [(i, json.dumps(made(0)), rng.choice([None, "", "short", "long " * 50, " one "])) for i in range(300)] + [(900, "no json", "d"), (901, None, "d"), (902, '"text"', None)]
+    df = spark.createDataFrame(rows, "i int, j string, d string")
+    got = {r["i"]: r for r in nested.quantities(df, "i", F.col("j")).join(nested.enriched(df, "i", F.col("d"), F.col("j")), "i").collect()}
+    for i, j, d in rows:
+        record = json.loads(j) if i not in (900, 901) else None
+        found = [p for p in dict.fromkeys(pieces(record)) if len(p) >= 3]
+        base = re.sub(r"\s+", " ", d or "").strip()
+        full = (base or None) if not found else "\n".join(found[:20]) if not base else base if len(base) >= 180 else "\n".join(list(dict.fromkeys([base, *found]))[:24])
+        assert (got[i]["quantity"], got[i]["description"]) == (units(record), full), (j, d)
+
+
 def test_restrictions(spark):
     found = quality.restrictions(F.lit("Verify you are human. Cloudflare. Too many requests."), F.lit(429))
     got = spark.range(1).select(*[c.alias(k) for k, c in found.items()], quality.warning_code(found).alias("code")).first()
