@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -157,8 +159,14 @@ def t01_unseen_rows(spark, sf_dir):
 
 @query("""select to_json({'id': c_custkey, 'segment': c_mktsegment}) as line from customer where c_acctbal < 0""")
 def k10_json_report(spark, sf_dir):
-    """A report as JSON lines."""
-    return Tables(spark, sf_dir).customer.where("c_acctbal < 0").select(F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))).alias("line"))
+    """A report as JSON lines, written by a sink that shows all of a job's files or none, and read back."""
+    from ..sources import paged, shared
+
+    spark.dataSource.register(paged.JsonReport)
+    path = f"{shared.folder(spark)}/report-{uuid.uuid4().hex}"
+    rows = Tables(spark, sf_dir).customer.where("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    rows.write.format("json_report").mode("append").save(path)
+    return spark.read.format("json_report").load(path)
 
 
 @query("""select c_custkey, c_acctbal from customer union all select s_suppkey + 1000000, s_acctbal from supplier""")

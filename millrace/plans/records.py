@@ -266,6 +266,33 @@ def t10_chunks(spark, sf_dir):
     return Tables(spark, sf_dir).events.groupBy(F.floor(F.col("event_id") / 200).alias("chunk")).agg(F.count("*").alias("n"))
 
 
+_TAG, _HREF = web._TAG.replace("'", "''"), web._HREF.replace("'", "''")
+_ADDRESS = """lower(regexp_replace(regexp_extract({0}, '^[^/]*'), ':[0-9]*$', '')) || regexp_replace(regexp_extract({0}, '/.*$'), '/+$', '')"""
+_REST = r"regexp_replace(regexp_replace({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '[?#].*$', '')"
+
+
+@query(f"""with recursive p as materialized (select {_ADDRESS.format("r")} as addr, html from (select {_REST.format("url")} as r, html from pages where url is not null)),
+    tags as (select addr as src, regexp_extract(unnest(regexp_extract_all(html, '{_TAG}', 0)), '{_HREF}', 1) as href from p where html is not null),
+    links as (select src, case when regexp_matches(href, '^(?i)https?://') or href like '//%' then {_ADDRESS.format("h")} when href like '/%' then regexp_extract(src, '^[^/]*') || regexp_replace(regexp_replace(href, '[?#].*$', ''), '/+$', '') end as dst
+        from (select src, href, {_REST.format("case when href like '//%' then 'http:' || href else href end")} as h from tags)),
+    steps as (select addr as dst, string_split(ltrim(regexp_extract(addr, '/.*$'), '/'), '/') as s from p),
+    above as (select regexp_extract(dst, '^[^/]*') || '/' || array_to_string(s[1:n], '/') as src, dst from steps, range(1, 100) as t(n) where n < len(s)),
+    ways as materialized (select distinct src, dst from (select * from links union all select * from above) where dst is not null and src <> dst and regexp_extract(src, '^[^/]*') = regexp_extract(dst, '^[^/]*')
+        and not regexp_matches(dst, '[.,]$') and not regexp_matches(regexp_extract(dst, '/.*$'), '(?i){web.UTILITY}')
+        and not (regexp_extract(dst, '^[^/]*') like '%.org' and starts_with(regexp_extract(dst, '/.*$'), '/en') and not starts_with(regexp_extract(dst, '/.*$'), '/en/1'))),
+    walk as (select min(addr) as url, 0 as depth from p group by regexp_extract(addr, '^[^/]*') union select w.dst, depth + 1 from walk join ways as w on w.src = walk.url where depth < 4),
+    near as (select url, min(depth) as depth, regexp_extract(url, '^[^/]*') as host from walk group by url)
+    select url, depth::int as depth, host from near qualify row_number() over (partition by host order by depth, url) <= 12""")
+def s18_site_crawl(spark, sf_dir):
+    """What a walk over the pages' own links and listings reaches on each host from its first page, a dozen addresses a host."""
+    pages = Tables(spark, sf_dir).pages.select("url", "html")
+    edges = web.page_links(pages).unionByName(web.listings(pages)).where("src <> dst").distinct()
+    at = pages.where(F.col("url").isNotNull()).select(web.address(F.col("url")).alias("url"))
+    start = at.groupBy(web.host_part(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    files = start.where(F.col("host").endswith(".org")).select(F.col("host").alias("site"), F.lit("User-agent: bot\nDisallow: /\nUser-agent: *\nDisallow: /en\nAllow: /en/1\n").alias("text"))
+    return web.crawl_sites(edges, start, web.robots(files), 4, 12, exclude="[.,]$")
+
+
 @query("""select p_partkey % 10 as site, count(*) as steps from part group by 1""")
 def s18_listing_steps(spark, sf_dir):
     """Steps of a walk over listing pages, by site."""

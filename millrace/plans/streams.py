@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons
 from ..operators import budget
+from ..sources import paged, shared
 from ..streaming import incremental, stateful
 from .base import Tables, query
 
@@ -97,3 +100,32 @@ def t07_streamed_budget(spark, sf_dir):
     """The same with the sums kept as a stream's state."""
     stream = incremental.read_stream(spark, sf_dir, "events").where(F.col("event_type") == "purchase").withColumns({"pool": F.col("user_id") % 4, "credits": budget.credits(F.col("value"))})
     return stateful.replayed(stream, Tables(spark, sf_dir).events, "pool", "ts", stateful.budget_fold(400, 5000), "budget").select("event_id", "day_used", "cycle_used", "taken")
+
+
+@query("""with p as (select p_partkey, p_name, (row_number() over (order by p_partkey) - 1) // 50 as page from part) select page::int as page, count(*) as items, max(p_partkey) as cursor, min(p_name) as title from p group by 1""")
+def t03_resumed_pages(spark, sf_dir):
+    """A catalog of pages of 50, in order of its cursor, as a stream that stops after two pages and goes on with the third."""
+    spark.dataSource.register(paged.PagedStream)
+    path = f"{shared.folder(spark)}/pages-{uuid.uuid4().hex}"
+    part = Tables(spark, sf_dir).part.select("p_partkey", "p_name")
+    part.repartitionByRange(8, "p_partkey").sortWithinPartitions("p_partkey").write.parquet(f"{path}/catalog")
+    for until in ("2", None):
+        source = spark.readStream.format("paged_stream").schema("p_partkey long, p_name string, page int").options(path=f"{path}/catalog", columns="p_partkey,p_name", page=50)
+        stream = (source.option("until", until) if until else source).load()
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/read").awaitTermination()
+    read = spark.read.parquet(f"{path}/read")
+    return read.groupBy("page").agg(F.count("*").alias("items"), F.max("p_partkey").alias("cursor"), F.min("p_name").alias("title"))
+
+
+@query("""select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1""")
+def k02_streamed_upserts(spark, sf_dir):
+    """Each user's last event, upserted batch by batch into a table in buckets."""
+    table = paged.UpsertTable(spark, f"{shared.folder(spark)}/upserts-{uuid.uuid4().hex}", "user_id long, event_id long, event_type string", ["user_id"])
+
+    def keep(df: DataFrame, number: int) -> None:
+        held = table.rows().join(df.select("user_id").distinct(), "user_id", "left_semi")
+        table.upsert(df.unionByName(held), number, ["event_id"])
+
+    stream = incremental.read_stream(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{table.path}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.rows()

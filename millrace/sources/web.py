@@ -5,11 +5,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.urls import robots_allowed
 from .shared import written
 
 
@@ -29,6 +30,74 @@ def crawl(edges: DataFrame, start: DataFrame, depth: int, most: int) -> DataFram
     return seen if seen.count() <= most else seen.orderBy("depth", "url").limit(most)
 
 
+#: Paths that a crawl does not follow: fixed values.
+UTILITY = "cart|checkout|account|login|signin|search"
+#: A whole anchor tag, and its target.
+_TAG, _HREF = r"(?i)<a\s[^<>]*", r"""(?is)^.*?\shref\s*=\s*["']?([^"'\s<>]*)"""
+
+
+def address(url: Column) -> Column:
+    """host and path of a URL without scheme, port, query, fragment and last slash: what a page is known by."""
+    rest = F.regexp_replace(F.regexp_replace(url, "(?i)^[a-z][a-z0-9+.-]*://", ""), r"[?#].*$", "")
+    return F.concat(F.lower(F.regexp_replace(F.regexp_extract(rest, "^[^/]*", 0), ":[0-9]*$", "")), F.regexp_replace(F.regexp_extract(rest, "/.*$", 0), "/+$", ""))
+
+
+def host_part(at: Column) -> Column:
+    return F.regexp_extract(at, "^[^/]*", 0)
+
+
+def path_part(at: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(at, "/.*$", 0), F.lit("")), F.lit("/"))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """src, dst: addresses of pages (url, html) and of what their anchors name on the same host, absolute or from the root."""
+    tags = F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)))
+    each = pages.where(F.col("html").isNotNull() & F.col("url").isNotNull()).select(address(F.col("url")).alias("src"), tags.alias("tag"))
+    href = F.regexp_extract("tag", _HREF, 1)
+    dst = F.when(href.rlike("(?i)^https?://"), address(href)).when(href.rlike("^//"), address(F.concat(F.lit("http:"), href))).when(href.startswith("/"), F.concat(host_part(F.col("src")), address(F.concat(F.lit("http://h"), href)).substr(F.lit(2), F.lit(1 << 20))))
+    return each.select("src", dst.alias("dst")).where(F.col("dst").isNotNull() & (host_part(F.col("dst")) == host_part(F.col("src"))) & (F.col("src") != F.col("dst"))).distinct()
+
+
+def listings(pages: DataFrame) -> DataFrame:
+    """src, dst: every address above a page on its host, and the page: what a listing there leads on to."""
+    at = pages.where(F.col("url").isNotNull()).select(address(F.col("url")).alias("dst"))
+    steps = F.split(F.regexp_replace(path_part(F.col("dst")), "^/", ""), "/")
+    above = F.transform(F.when(F.size(steps) > 1, F.sequence(F.lit(1), F.size(steps) - 1)).otherwise(F.array().cast("array<int>")), lambda n: F.concat(host_part(F.col("dst")), F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")))
+    return at.select(F.explode(above).alias("src"), "dst").distinct()
+
+
+def crawl_sites(edges: DataFrame, start: DataFrame, rules: DataFrame, depth: int, most: int, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    """url, depth of what a walk along edges (src, dst: addresses) reaches from start (url), the `most` nearest of each host (ties by URL).
+
+    rules: site, allow, disallow, of robots files. Paths that a rule forbids, that are a shop's own business, that
+    `exclude` fits or `include` does not are not walked. Edges stay on their host, so what a host has beyond its quota
+    leads to nothing within it, and a host that is full is left alone. Each round is written.
+    """
+    allowed = F.lit(True) if include is None else F.col("dst").rlike(f"(?i){include}")
+    denied = F.lit(False) if exclude is None else F.col("dst").rlike(f"(?i){exclude}")
+    none = F.array().cast("array<string>")
+    ways = edges.where(allowed & ~denied & ~path_part(F.col("dst")).rlike(f"(?i){UTILITY}")).withColumn("site", host_part(F.col("dst"))).join(rules.select("site", "allow", "disallow"), "site", "left")
+    ways = written(ways.where(robots_allowed(path_part(F.col("dst")), F.coalesce("allow", none), F.coalesce("disallow", none))).select("src", "dst"), "ways")
+    by_host = W.Window.partitionBy("host").orderBy("depth", "url")
+
+    def within(df: DataFrame) -> DataFrame:
+        """The first `most` of each host; of a host of any size tasks keep no more than these."""
+        return df.withColumn("n", F.row_number().over(by_host)).where(F.col("n") <= most)
+
+    first = start.select("url").distinct().select("url", F.lit(0).alias("depth"), host_part(F.col("url")).alias("host"))
+    front = seen = written(within(first).drop("n"), "crawl")
+    for d in range(1, depth + 1):
+        full = seen.groupBy("host").agg(F.count("*").alias("held")).where(F.col("held") >= most)
+        met = ways.join(front.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
+        new = met.join(seen, "url", "left_anti").select("url", F.lit(d).alias("depth"), host_part(F.col("url")).alias("host")).join(full, "host", "left_anti")
+        front = written(within(new).select("url", "depth", "host"), "crawl")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return within(seen).select("url", "depth", "host")
+
+
 def robots(files: DataFrame, text: str = "text") -> DataFrame:
     """Per file: allow and disallow rules for all agents, and sitemaps, in order. files: site, text."""
     lines = files.select("site", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
