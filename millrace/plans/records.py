@@ -237,12 +237,6 @@ def t03_resumed_scan(spark, sf_dir):
     return web.page_after(Tables(spark, sf_dir).part, "p_partkey", 100).agg(F.max("p_partkey").alias("cursor"), F.count("*").alias("items"))
 
 
-@query("""select user_id, min(event_id) as job from events where event_type = 'view' group by 1""")
-def t04_recovered_jobs(spark, sf_dir):
-    """Interrupted jobs run again once a product."""
-    return Tables(spark, sf_dir).events.where("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("job"))
-
-
 @query("""with w as (select event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 43199999999 preceding and current row) as n, greatest(1, 8 // power(2, least(3, count(*) filter (where event_type = 'error') over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding)))::int) as own from events) select event_id, n >= own as limited from w""")
 def t06_ratchet(spark, sf_dir):
     """A sliding limit that each restriction halves for good."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import aggregation, events, extraction, fields, identity, ingest, markup, matching, ordering, parsers, quality, records, scalars, streams, texts, variants  # noqa: F401  they register themselves
+from .plans import aggregation, events, extraction, fields, identity, ingest, jobs, markup, matching, ordering, parsers, quality, records, scalars, streams, texts, variants  # noqa: F401  they register themselves
 from .plans.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -144,6 +144,45 @@ def folded(stream: DataFrame, key: str, at: str, late: str, fold: Fold) -> DataF
     return made.where(F.col("fold_key") != CLOSING).withColumnRenamed("fold_key", key)
 
 
+def folded_batch(rows: DataFrame, key: str, at: str, fold: Fold) -> DataFrame:
+    """key and fold.out of a table: what the stream of its rows gives once all of them have been folded.
+
+    Rows are dealt out by key, sorted by time and then by their own columns, and read through: a task holds the fold's state
+    of one key. What happens after a key's last row (fold.end) happens up to a year later.
+    """
+    cols = names(fold.row)
+    each = rows.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("fold_key"), F.unix_micros(F.col(at).cast("timestamp")).alias("fold_us"), *cols)
+    year = 366 * 86_400 * 1_000_000
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state, last, out = None, None, 0, []
+
+        def ended() -> None:
+            if own is not None and fold.end:
+                out.extend((own, *r) for r in fold.end(state, last + year)[1])
+
+        for frame in frames:
+            for k, us, *row in zip(*(frame[c].tolist() for c in ("fold_key", "fold_us", *cols)), strict=True):
+                if k != own:
+                    ended()
+                    own, state = k, fold.start
+                if fold.end:
+                    state, made = fold.end(state, us)
+                    out.extend((own, *r) for r in made)
+                state, made = fold.step(state, us, tuple(map(plain, row)))
+                last = us
+                if made is not None:
+                    out.append((own, *made))
+            if out:
+                yield pd.DataFrame(out, columns=["fold_key", *names(fold.out)])
+                out = []
+        ended()
+        if out:
+            yield pd.DataFrame(out, columns=["fold_key", *names(fold.out)])
+
+    return each.repartition("fold_key").sortWithinPartitions("fold_key", "fold_us", *cols).mapInPandas(run, f"fold_key string, {fold.out}").withColumnRenamed("fold_key", key)
+
+
 class Replay:
     """A stream run over what is there, in steps, until all has been folded.
 
