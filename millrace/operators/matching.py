@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions import text, urls
+
 #: Methods from the strongest.
 METHODS = ("source_url", "exact_sku", "dab_product_prefix", "source_product_identifier", "source_url_title")
 
@@ -183,3 +185,59 @@ def guarded_difference(managed: DataFrame, authoritative: DataFrame, key: str, f
     facts = authoritative.agg(F.count_distinct(key).alias("_urls")).crossJoin(managed.agg(F.count("*").alias("_managed"))).crossJoin(gone.agg(F.count("*").alias("_gone")))
     safe = facts.where((F.lit(failed_sources) == 0) & (F.col("_urls") >= least_urls) & ~((F.col("_managed") > small) & (F.col("_gone") > most_ratio * F.col("_managed"))))
     return gone.join(F.broadcast(safe.select(F.lit(1).alias("_ok"))), F.lit(True), "left_semi")  # one row
+
+
+def relation_audit(products: DataFrame, live: DataFrame) -> DataFrame:
+    """product, vendor_exact, title_exact, identity_exact, unrelated of linked products against what the shop has of them.
+
+    products, live: product, vendor, title, ids (an array). Vendors and titles are compared normalised, identities if any
+    of three characters or more is on both sides. A link is unrelated only if all three can be compared and all differ.
+    """
+    norm = lambda df, side: df.select(
+        "product", text.vendor_relation(F.col("vendor")).alias(f"{side}_vendor"), text.title_relation(F.col("title")).alias(f"{side}_title"),
+        F.filter(F.transform("ids", text.compact), lambda x: F.length(x) >= 3).alias(f"{side}_ids"),
+    )
+    both = norm(products, "own").join(norm(live, "live"), "product")
+    filled = lambda c: (F.coalesce(f"own_{c}", F.lit("")) != "") & (F.coalesce(f"live_{c}", F.lit("")) != "")
+    ids = (F.coalesce(F.size("own_ids"), F.lit(0)) > 0) & (F.coalesce(F.size("live_ids"), F.lit(0)) > 0)
+    exact = {"vendor": filled("vendor") & (F.col("own_vendor") == F.col("live_vendor")), "title": filled("title") & (F.col("own_title") == F.col("live_title")), "identity": ids & F.coalesce(F.arrays_overlap("own_ids", "live_ids"), F.lit(False))}
+    unrelated = filled("vendor") & filled("title") & ids & ~exact["vendor"] & ~exact["title"] & ~exact["identity"]
+    return both.select("product", *[F.coalesce(c, F.lit(False)).alias(f"{k}_exact") for k, c in exact.items()], F.coalesce(unrelated, F.lit(False)).alias("unrelated"))
+
+
+def self_confirmed(rows: DataFrame, key: str, mentions: Column, title: Column, sku: Column, plausible) -> DataFrame:
+    """key, url of rows that name exactly one plausible product URL which their own title or SKU confirms.
+
+    A title confirms if it and the URL's last words have three words or more each and share four fifths of the fewer; a SKU
+    if it holds an id of the URL, or is held by one. plausible: of a URL, whether it may be a product's.
+    """
+    each = rows.select(key, F.filter(urls.urls_in(mentions), plausible).alias("_urls"), title.alias("_title"), text.compact(sku).alias("_sku")).where(F.size("_urls") == 1)
+    each = each.select(key, "_title", "_sku", F.col("_urls")[0].alias("url"))
+    a, b = text.tokens(text.title_relation(F.col("_title")), stop=()), text.tokens(urls.last_segment_title(F.col("url")), stop=())
+    titled = (F.size(a) >= 3) & (F.size(b) >= 3) & (F.size(F.array_intersect(a, b)) >= 0.8 * F.least(F.size(a), F.size(b)))
+    held = F.exists(urls.identifiers(F.col("url")), lambda i: F.contains(F.col("_sku"), i) | F.contains(i, F.col("_sku")))
+    return each.where(F.coalesce(titled, F.lit(False)) | ((F.col("_sku") != "") & held)).select(key, "url")
+
+
+def reconciled(rows: DataFrame, located: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """url, status, product of every group of sheet rows with one URL: what may be done about it, the first that applies.
+
+    rows: url, multiplier. located: url, product, the shop's products that match with the best confidence. source: url,
+    colour, identified (of each variant read). target: product, colour, mapped, placeholder (of each variant there).
+    conflict: several multipliers; ambiguous: several products; missing: none; colour_ambiguity: several colours there and
+    at most one read; rebuild_required: fewer variants there than were read, if all of those are identified, or
+    some that are not mapped, or placeholders; else verified.
+    """
+    colour = lambda: F.count_distinct(F.nullif(text.label(F.col("colour")), F.lit("")))
+    group = rows.groupBy("url").agg((F.count_distinct("multiplier") > 1).alias("conflict"))
+    found = located.groupBy("url").agg(F.count_distinct("product").alias("products"), F.min("product").alias("product"))
+    read = source.groupBy("url").agg(F.count("*").alias("read"), colour().alias("read_colours"), F.bool_and(F.coalesce("identified", F.lit(False))).alias("identified"))
+    there = target.groupBy("product").agg(F.count("*").alias("there"), colour().alias("colours"), F.count_if(~F.coalesce("mapped", F.lit(False))).alias("unmapped"), F.count_if("placeholder").alias("placeholders"))
+    each = group.join(found, "url", "left").join(read, "url", "left").join(there, "product", "left").fillna(0, ["products", "read", "read_colours", "there", "colours", "unmapped", "placeholders"])
+    fewer = F.coalesce("identified", F.lit(False)) & (F.col("read") > 1) & (F.col("there") < F.col("read"))
+    status = (
+        F.when(F.col("conflict"), "conflict").when(F.col("products") > 1, "ambiguous").when(F.col("products") == 0, "missing")
+        .when((F.col("colours") > 1) & (F.col("read_colours") <= 1), "colour_ambiguity")
+        .when(fewer | (F.col("unmapped") > 0) | (F.col("placeholders") > 0), "rebuild_required").otherwise("verified")
+    )
+    return each.select("url", status.alias("status"), F.when(~F.col("conflict") & (F.col("products") == 1), F.col("product")).alias("product"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -55,28 +56,34 @@ def j30_identifiers(spark, sf_dir):
     return s.join(r, "key").select("id", "row").distinct()
 
 
-@query("""select p_partkey from part where p_partkey % 3 <> 0 and (p_partkey % 2 = 0 or p_size % 5 = 0)""")
+@query("""with q as (select p.p_partkey, p.p_name || ' ' || p.p_type as title, upper(p.p_brand) || p.p_size as sku, o.p_name || ' ' || o.p_type as other, upper(replace(replace(o.p_brand, '#', ''), ' ', '')) || o.p_size as code from part as p join part as o on o.p_partkey = p.p_partkey - p.p_partkey % 4),
+    t as (select *, list_distinct(string_split(lower(title), ' ')) as a, list_distinct(string_split(lower(other), ' ')) as b, upper(replace(sku, '#', '')) as own from q where p_partkey % 3 > 0)
+    select p_partkey from t where len(list_intersect(a, b)) >= 0.8 * least(len(a), len(b)) and p_partkey % 2 = 0 and len(a) >= 3 and len(b) >= 3 or p_partkey % 2 = 1 and (contains(own, code) or contains(code, own))""")
 def j31_self_evidence(spark, sf_dir):
-    """Rows whose one plausible URL their own title or SKU confirms."""
-    k, z = F.col("p_partkey"), F.col("p_size")
-    url = F.when(k % 2 == 0, F.concat(F.lit("https://x.ae/en/soft-cotton-romper-"), z.cast("string"))).otherwise(F.concat(F.lit("https://x.ae/en/other-words-here-"), z.cast("string")))
-    two = F.when(k % 3 == 0, F.concat(url, F.lit(" "), url, F.lit("x"))).otherwise(url)
-    own = F.when(z % 5 == 0, F.concat(F.lit("HERE"), z.cast("string"))).otherwise("ZZ99999")
-    each = Tables(spark, sf_dir).part.select("p_partkey", urls.urls_in(two).alias("u"), F.lit("Soft Cotton Romper").alias("title"), own.alias("sku")).where(F.size("u") == 1)
-    slug = urls.last_segment_title(F.col("u")[0])
-    a, b = text.tokens(F.col("title")), text.tokens(slug)
-    titled = (F.size(a) >= 3) & (F.size(b) >= 3) & (text.overlap(a, b) >= 0.8)
-    coded = F.contains(text.compact(slug), text.compact(F.col("sku")))
-    return each.where(titled | coded).select("p_partkey")
-
-
-@query("""with g as (select p_name, count(distinct p_size % 3) > 2 as conflict, count(*) filter (where p_brand = 'Brand#11') as found, count(distinct p_brand) as colours, count(*) as target, count(*) filter (where p_size > 40) as unmapped from part group by 1)
-    select p_name, case when conflict then 'conflict' when found > 1 then 'ambiguous' when found = 0 and colours > 20 then 'missing' when colours > 5 and target < 10 then 'colour_ambiguity' when target < colours or unmapped > 0 then 'rebuild_required' else 'verified' end as status from g""")
+    """Rows whose one plausible URL, made of another row, their own title or SKU confirms; two URLs confirm nothing."""
+    part, k = Tables(spark, sf_dir).part, F.col("p_partkey")
+    other = part.select(k.alias("o"), F.concat_ws("-", F.replace("p_name", F.lit(" "), F.lit("-")), F.lower("p_type")).alias("slug"), F.concat(text.compact(F.col("p_brand")), F.col("p_size").cast("string")).alias("code"))
+    each = part.withColumn("o", k - k % 4).join(other, "o")
+    named = F.concat(F.lit("see https://x.ae/en/"), F.when(k % 2 == 0, F.col("slug")).otherwise(F.concat(F.lit("style/st1/"), F.col("code"))))
+    mentions = F.when(k % 3 == 0, F.concat(named, F.lit(" "), named, F.lit("x"))).otherwise(F.concat(named, F.lit(" https://cdn.x.ae/en/i.jpg")))
+    return matching.self_confirmed(each, "p_partkey", mentions, F.concat_ws(" ", "p_name", "p_type"), F.concat(F.upper("p_brand"), F.col("p_size").cast("string")), lambda u: ~F.contains(u, F.lit("cdn."))).select("p_partkey")
+
+
+@query("""with r as (select 'u' || (l_partkey // 3) as url, case when l_partkey % 200 < 3 then l_linenumber % 2 + 22 else 22 end as multiplier from lineitem),
+    g as (select url, count(distinct multiplier) > 1 as conflict from r group by 1), f as (select 'u' || (p_partkey // 3) as url, count(distinct p_partkey) as products, min(p_partkey) as product from part where p_partkey % 3 = 0 or p_size = 7 group by 1),
+    s as (select 'u' || (p_partkey // 3) as url, count(*) as read, count(distinct lower(p_type)) as read_colours, bool_and(p_size > 2) as identified from part where p_size % 3 > 0 group by 1),
+    v as (select l_partkey as product, count(*) as there, count(distinct lower(l_returnflag)) as colours, count(*) filter (where l_quantity <= 1) as unmapped, count(*) filter (where l_discount > 0.095) as placeholders from lineitem where l_linenumber = 1 group by 1)
+    select url, case when conflict then 'conflict' when coalesce(products, 0) > 1 then 'ambiguous' when products is null then 'missing' when colours > 1 and coalesce(read_colours, 0) <= 1 then 'colour_ambiguity' when identified and read > 1 and coalesce(there, 0) < read or unmapped > 0 or placeholders > 0 then 'rebuild_required' else 'verified' end as status,
+    case when not conflict and products = 1 then f.product end as product from g left join f using (url) left join s using (url) left join v on v.product = f.product""")
 def j33_reconcile_groups(spark, sf_dir):
-    """A group's decision: the first that applies of conflict, ambiguity, absence, colours, rebuild."""
-    g = Tables(spark, sf_dir).part.groupBy("p_name").agg((F.count_distinct(F.col("p_size") % 3) > 2).alias("conflict"), F.count_if(F.col("p_brand") == "Brand#11").alias("found"), F.count_distinct("p_brand").alias("colours"), F.count("*").alias("target"), F.count_if(F.col("p_size") > 40).alias("unmapped"))
-    status = F.when(F.col("conflict"), "conflict").when(F.col("found") > 1, "ambiguous").when((F.col("found") == 0) & (F.col("colours") > 20), "missing").when((F.col("colours") > 5) & (F.col("target") < 10), "colour_ambiguity").when((F.col("target") < F.col("colours")) | (F.col("unmapped") > 0), "rebuild_required").otherwise("verified")
-    return g.select("p_name", status.alias("status"))
+    """What may be done about each URL of the sheets: the first that applies of conflict, ambiguity, absence, colours, rebuild."""
+    t, k = Tables(spark, sf_dir), F.col("p_partkey")
+    url = lambda c: F.concat(F.lit("u"), F.floor(F.col(c) / 3).cast("string")).alias("url")
+    rows = t.lineitem.select(url("l_partkey"), F.when(F.col("l_partkey") % 200 < 3, F.col("l_linenumber") % 2 + 22).otherwise(22).alias("multiplier"))
+    located = t.part.where((k % 3 == 0) | (F.col("p_size") == 7)).select(url("p_partkey"), k.alias("product"))
+    source = t.part.where("p_size % 3 > 0").select(url("p_partkey"), F.col("p_type").alias("colour"), (F.col("p_size") > 2).alias("identified"))
+    target = t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("product"), F.col("l_returnflag").alias("colour"), (F.col("l_quantity") > 1).alias("mapped"), (F.col("l_discount") > 0.095).alias("placeholder"))
+    return matching.reconciled(rows, located, source, target)
 
 
 @query("""select l_orderkey, count(*) as variants, bool_and(abs(floor(l_extendedprice * 22 + 0.5) - (floor(l_extendedprice * 22 + 0.5) + case when l_partkey % 50 = 0 then 1 else 0 end)) < 0.01) as verified from lineitem group by 1""")
@@ -99,12 +106,22 @@ def p10_usable_records(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", usable.alias("usable"), target.alias("target"))
 
 
-@query("""with h as (select page_id, page_id % 9 = 0 as shut, regexp_matches(html, '<script', 'i') as ld, regexp_matches(html, '<h1|itemprop=["'']name|property=["'']og:title', 'i') and regexp_matches(html, '<img\\b|property=["'']og:image|itemprop=["'']price|data-price|class=["''][^"'']*price', 'i') as static from pages)
-    select page_id, case when shut then 'manual_review' when ld then 'json_ld' when static then 'static_html' else 'manual_review' end as strategy, case when shut then 20 when ld then 90 when static then 70 else 30 end::int as confidence from h""")
+STATIC = """regexp_matches(html, '<h1|itemprop=["'']name|property=["'']og:title', 'i') and regexp_matches(html, '<img\\b|property=["'']og:image|itemprop=["'']price|data-price|class=["''][^"'']*price', 'i')"""
+
+
+def page_sources() -> Column:
+    """The pages' sources; of five, one also has JSON-LD of a product, one the state of an application, and one is a shell."""
+    k = F.col("page_id") % 5
+    ld, state = F.lit('<script type="application/ld+json">{"@type": "Product", "name": "x"}</script>'), F.lit('<script id="__NEXT_DATA__" type="application/json">{}</script>')
+    return F.when(k == 0, F.concat("html", ld)).when(k == 1, F.concat("html", state)).when(k == 2, F.lit('<html><div id="root"></div></html>')).otherwise(F.col("html"))
+
+
+@query(f"""with h as (select page_id, page_id % 9 = 0 as shut, page_id % 5 as k, {STATIC} as static from pages)
+    select page_id, case when shut then 'manual_review' when k = 0 then 'json_ld' when k = 1 then 'embedded_state' when k = 2 then 'browser_rendering' when static then 'static_html' else 'manual_review' end as strategy,
+    case when shut then 20 when k = 0 then 90 when k = 1 then 80 when k = 2 then 45 when static then 70 else 30 end::int as confidence from h""")
 def p28_strategies(spark, sf_dir):
-    """How each page's source is best read, by the signals that it gives."""
-    found = extraction.signals(F.col("html")) | {"json_ld": F.col("html").rlike("(?i)<script"), "embedded": F.lit(False), "browser": F.lit(False)}
-    best = quality.strategy(found, F.col("page_id") % 9 == 0)
+    """How each page's source is best read, by all signals that the detector finds in it."""
+    best = quality.strategy(extraction.signals(page_sources()), F.col("page_id") % 9 == 0)
     return Tables(spark, sf_dir).pages.select("page_id", best.alias("s")).select("page_id", "s.strategy", F.col("s.confidence").cast("int").alias("confidence"))
 
 

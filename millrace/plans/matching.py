@@ -129,12 +129,14 @@ def j25_one_to_one(spark, sf_dir):
     return matching.one_to_one(pairs, "a", "b")
 
 
-@query("""with k as (select p_partkey, p_brand = 'Brand#1' or p_size > 25 as vendor_ok, contains(lower(p_type), lower(split_part(p_name, ' ', 1))) as title_ok, p_partkey % 3 = 0 as id_ok, p_size % 2 = 0 as comparable from part) select p_partkey, comparable and not vendor_ok and not title_ok and not id_ok as unrelated from k""")
+@query("""with p as (select p.p_partkey as product, p.p_brand = o.p_brand as v, p.p_name = o.p_name as t, p.p_partkey // 2 = o.p_partkey // 2 as i, p.p_size > 3 and o.p_size > 3 as ids from part as p join part as o on o.p_partkey = p.p_partkey - p.p_partkey % 3)
+    select product, v as vendor_exact, t as title_exact, ids and i as identity_exact, ids and not v and not t and not i as unrelated from p""")
 def j26_relation_audit(spark, sf_dir):
-    """Links that nothing supports: all evidence comparable, all different."""
-    n, k = F.col("p_name"), F.col("p_partkey")
-    vendor, title = (F.col("p_brand") == "Brand#1") | (F.col("p_size") > 25), F.contains(F.lower("p_type"), F.lower(F.split_part(n, F.lit(" "), F.lit(1))))
-    return Tables(spark, sf_dir).part.select("p_partkey", ((F.col("p_size") % 2 == 0) & ~vendor & ~title & (k % 3 != 0)).alias("unrelated"))
+    """Links of parts to a neighbour as the shop's product: what agrees, and those that nothing supports."""
+    part, k = Tables(spark, sf_dir).part, F.col("p_partkey")
+    each = part.select(k.alias("product"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 3, F.array(F.concat(F.lit("sku-"), F.floor(k / 2).cast("string")), F.lit("x"))).otherwise(F.array(F.lit("ab"))).alias("ids"))
+    live = part.select(k.alias("own"), (k - k % 3).alias("product")).join(each, "product").drop("product").withColumnRenamed("own", "product")
+    return matching.relation_audit(each, live)
 
 
 @query(f"""with {SIDES}, t as (select exact, count(distinct url) as n from r group by 1), v as (select vendor, exact, count(distinct url) as n from r group by 1, 2)

@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from ..functions import jsons, money, options, text, urls
 from ..operators import cycle, extraction, quality
 from ..sources import feeds, sheets, sinks, web
+from . import identity
 from .base import Tables, query
 
 
@@ -121,12 +122,11 @@ def p19_sellability(spark, sf_dir):
     return Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(quality.sellability(tracked, n, n > 45).alias("state"))
 
 
-@query("""with h as (select page_id, regexp_matches(html, '<h1|itemprop=["'']name|property=["'']og:title', 'i') and regexp_matches(html, '<img\\b|property=["'']og:image|itemprop=["'']price|data-price|class=["''][^"'']*price', 'i') as static, regexp_matches(html, '<script', 'i') as ld, contains(url, '/es/') as closed from pages)
-    select page_id, array_to_string(list_filter([case when closed then 'ROBOTS_DISALLOWED' end, case when page_id % 9 = 0 then 'RESTRICTED' end, case when not ld then 'NO_STRUCTURED_DATA' end, case when not ld and not static then 'NO_PRODUCT_DATA' end], lambda x: x is not null), ',') as warnings from h""")
+@query(f"""with h as (select page_id, page_id % 5 as k, {identity.STATIC} as static, contains(url, '/es/') as closed from pages)
+    select page_id, array_to_string(list_filter([case when closed then 'ROBOTS_DISALLOWED' end, case when page_id % 9 = 0 then 'RESTRICTED' end, case when k > 1 then 'NO_STRUCTURED_DATA' end, case when k = 2 or k > 2 and not static then 'NO_PRODUCT_DATA' end, case when k = 2 then 'BROWSER_NEEDED' end], lambda x: x is not null), ',') as warnings from h""")
 def p30_capability_warnings(spark, sf_dir):
-    """Warnings of the pages' reports, by the signals that their source gives."""
-    found = extraction.signals(F.col("html")) | {"json_ld": F.col("html").rlike("(?i)<script"), "embedded": F.lit(False)}
-    warnings = quality.capability_warnings(found, ~F.coalesce(F.contains("url", F.lit("/es/")), F.lit(False)), F.col("page_id") % 9 == 0)
+    """Warnings of the pages' reports, by all signals that the detector finds in their source."""
+    warnings = quality.capability_warnings(extraction.signals(identity.page_sources()), ~F.coalesce(F.contains("url", F.lit("/es/")), F.lit(False)), F.col("page_id") % 9 == 0)
     return Tables(spark, sf_dir).pages.select("page_id", F.array_join(warnings, ",").alias("warnings"))
 
 
