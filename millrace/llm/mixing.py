@@ -37,9 +37,9 @@ class Targets:
     is lost unless "other" is given 0. Within a cell all values are drawn at one rate.
     """
 
-    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.2})
+    source: dict[str, float] = field(default_factory=lambda: {"src0": 0.12, "src1": 0.1, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06, "src6": 0.05, "src7": 0.05, "src8": 0.04, "src9": 0.03})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1})
-    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.91, "tabular": 0.06, "legal": 0.02, "noise": 0.01})
+    topic: dict[str, float] = field(default_factory=lambda: {"prose": 0.88, "tabular": 0.08, "legal": 0.03, "noise": 0.01})
     #: Share of all tokens to draw.
     budget: float = 0.5
     #: Times that a document may be drawn at most; a bound of the fit.
@@ -193,7 +193,10 @@ def margins(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa
 
 
 def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None = None) -> DataFrame:  # noqa: B008  frozen
-    """docs drawn for the mix, with n_tokens, rate and copies; documents drawn no time are left out.
+    """docs drawn for the mix, with n_tokens, rate, copies and source_share, lang_share, topic_share; documents drawn no time are left out.
+
+    The shares are what the document's source, language and topic (or the others together) are expected to get of the
+    tokens drawn: what raking reached of their targets.
 
     copies is the rate rounded down, and one more with the chance of the rest. Null sources and languages are
     "other"; null and empty texts have no tokens and are never drawn; repeated rows are drawn alike; texts of any length
@@ -201,22 +204,24 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None =
     miss: raises if a share is further than this from its target, rather than warn.
     """
     own, back = apart(docs, "_source", "_lang", "_topic", "_tokens", "_words", "_rate", "_copies")
-    columns = [c for c in own.columns if c not in ("n_tokens", "rate", "copies")]
+    columns = [c for c in own.columns if c not in ("n_tokens", "rate", "copies", *(f"{m}_share" for m in MARGINS))]
     each = in_cells(own, targets)
     keys = ["_source", "_lang", "_topic"]
     cells = cell_sums(each)
     rate = rates(cells, targets)
     if miss is not None and (bad := [f"{m} {v}: {got:.4f} for {want:.4f}" for m, v, want, got in reached(cells, rate, targets) if abs(got - want) > miss]):
         raise ValueError(f"targets out of reach: {'; '.join(bad)}")
-    known = docs.sparkSession.createDataFrame([(*c, x) for c, x in sorted(rate.items())], "_source string, _lang string, _topic string, _rate double")
+    share = {(m, v): got for m, v, _, got in reached(cells, rate, targets)}
+    rows = [(*c, x, *(share.get((m, v), 0.0) for m, v in zip(MARGINS, c, strict=True))) for c, x in sorted(rate.items())]
+    known = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, _rate double, source_share double, lang_share double, topic_share double")
     drawn = each.join(F.broadcast(known), keys).where("_tokens > 0")
     copies = F.floor("_rate") + (chance(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies")).withColumnsRenamed(back)
+    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *(f"{m}_share" for m in MARGINS)).withColumnsRenamed(back)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn for the default mix."""
-    return sampled(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+    return sampled(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_tokens", F.round("rate", 6).alias("rate"), "copies", *[F.round(f"{m}_share", 6).alias(f"{m}_share") for m in MARGINS])
 
 
 def sql(targets: Targets = Targets()) -> str:  # noqa: B008
@@ -252,7 +257,8 @@ def sql(targets: Targets = Targets()) -> str:  # noqa: B008
     e as (select *, {name('source')} as s, {name('lang')} as l, {name('topic')} as t from d),
     c as (select s, l, t, sum(n_tokens)::double as n from e group by 1, 2, 3),
     w0 as (select s, l, t, n, {float(targets.repeats)} * n / ({targets.budget} * sum(n) over ()) as most, n / sum(n) over () as u from c where n > 0), {steps},
-    r as (select s, l, t, {targets.budget} * (sum(n) over ()) * least(u, most) / n as rate from w{3 * targets.sweeps}),
-    z as (select doc_id, source, lang, n_tokens, rate, (floor(rate) + case when ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < rate - floor(rate) then 1 else 0 end)::bigint as copies
+    y as (select s, l, t, n, least(u, most) as w, sum(n) over () as all_n from w{3 * targets.sweeps}),
+    r as (select s, l, t, {targets.budget} * all_n * w / n as rate, sum(w) over (partition by s) / sum(w) over () as ss, sum(w) over (partition by l) / sum(w) over () as ls, sum(w) over (partition by t) / sum(w) over () as ts from y),
+    z as (select doc_id, source, lang, n_tokens, rate, ss, ls, ts, (floor(rate) + case when ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < rate - floor(rate) then 1 else 0 end)::bigint as copies
         from e join r using (s, l, t) where n_tokens > 0)
-    select doc_id, source, lang, n_tokens, round(rate, 6) as rate, copies from z where copies > 0"""
+    select doc_id, source, lang, n_tokens, round(rate, 6) as rate, copies, round(ss, 6) as source_share, round(ls, 6) as lang_share, round(ts, 6) as topic_share from z where copies > 0"""

@@ -87,7 +87,7 @@ def test_topics_by_their_share_of_the_text(spark):
 
 def test_infeasible_targets_can_be_refused(spark):
     docs = spark.createDataFrame([(i, "word " * 60, "en", "src0") for i in range(20)], "doc_id bigint, text string, lang string, source string")
-    with pytest.raises(ValueError, match="topic tabular: 0.0000 for 0.0600"):
+    with pytest.raises(ValueError, match="topic tabular: 0.0000 for 0.0800"):
         mixing.sampled(docs, miss=0.01)
 
 
@@ -97,6 +97,11 @@ def test_margins_of_the_default_mix_hold(spark, sf):
     for r in mixing.margins(docs).collect():
         assert r["reached"] == pytest.approx(r["target"], abs=1e-6), r
     drawn = mixing.sampled(docs).collect()
+    targets = mixing.Targets()
+    for r in drawn[:200]:
+        for m, value in (("source", r["source"]), ("lang", r["lang"])):
+            assert r[f"{m}_share"] == pytest.approx(targets.shares(m)[value if value in getattr(targets, m) else "other"], abs=1e-6)
+    assert len(targets.source) == 10 and {round(r["topic_share"], 6) for r in drawn} <= set(targets.topic.values())
     tokens = sum(r["n_tokens"] * r["copies"] for r in drawn)
     if sf == "sf0.1":
         for lang, share in mixing.Targets().lang.items():
