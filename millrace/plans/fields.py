@@ -80,19 +80,29 @@ def z03_swatches(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", options.hex_color(text).alias("hex"))
 
 
-@query("select p_partkey, case p_partkey % 3 when 0 then 'Color,Size,Fit' when 1 then 'Title' else 'Size,Brand' end as names from part")
+_NAMES = {"A": "Fit", "R": "Colour", "N": "Size", "O": "Length", "F": "Color"}
+
+
+@query("""with n as (select l_orderkey, case when l_linenumber % 2 = 0 then case l_linestatus when 'O' then 'Length' else 'Color' end else case l_returnflag when 'A' then 'Fit' when 'R' then 'Color' else 'Size' end end as name, l_linenumber as i, l_partkey, l_suppkey from lineitem),
+    f as (select l_orderkey, name, min((i, l_partkey, l_suppkey)) as first from n group by 1, 2), r as (select *, row_number() over (partition by l_orderkey order by case name when 'Color' then 0 when 'Size' then 1 else 2 end, first) as k from f)
+    select l_orderkey, string_agg(name, ',' order by k) as names from r where k <= 3 group by 1""")
 def z05_option_names(spark, sf_dir):
-    """Option names in the shop's order."""
-    k = F.col("p_partkey") % 3
-    names = F.when(k == 0, F.array(F.lit("Fit"), F.lit("Size"), F.lit("Colour"), F.lit("X"))).when(k == 2, F.array(F.lit("Brand"), F.lit("Size"))).otherwise(F.array().cast("array<string>"))
-    return Tables(spark, sf_dir).part.select("p_partkey", F.array_join(options.option_names(names), ",").alias("names"))
+    """Option names of orders' lines in the shop's order."""
+    sign = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).otherwise(F.col("l_returnflag"))
+    name = F.create_map(*[F.lit(x) for kv in _NAMES.items() for x in kv])[sign]
+    each = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", name.alias("name")))).alias("n"))
+    return each.select("l_orderkey", F.array_join(options.option_names(F.transform("n", lambda x: x["name"])), ",").alias("names"))
 
 
-@query("select p_partkey, case when p_size % 2 = 0 then 'navy blue' when p_size % 3 = 0 then 'blue' end as value from part")
+@query("""with v as (select distinct p_size, case when p_partkey % 3 = 0 then p_name else split_part(p_name, ' ', 1) end as value from part), t as (select p_partkey, p_size, p_name || '-' || p_type as title, ' ' || lower(p_name || ' ' || p_type) || ' ' as words from part),
+    m as (select p_partkey, value, row_number() over (partition by p_partkey order by length(value) desc, value) as k from t join v using (p_size) where contains(words, ' ' || lower(value) || ' '))
+    select t.p_partkey, m.value from t left join m on m.p_partkey = t.p_partkey and m.k = 1""")
 def z07_value_from_title(spark, sf_dir):
-    """The option value that a title names."""
-    title = F.when(F.col("p_size") % 2 == 0, "Dress navy blue XL").when(F.col("p_size") % 3 == 0, "Blue-dress").otherwise("bluest dress")
-    return Tables(spark, sf_dir).part.select("p_partkey", options.value_in_title(title, F.array(F.lit("blue"), F.lit("navy blue"), F.lit("green"))).alias("value"))
+    """The longest of the values that parts of one size have, words and pairs of them, that a title names."""
+    part = Tables(spark, sf_dir).part
+    value = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.split_part("p_name", F.lit(" "), F.lit(1)))
+    values = part.groupBy("p_size").agg(F.collect_set(value).alias("values"))
+    return part.join(values, "p_size").select("p_partkey", options.value_in_title(F.concat_ws("-", "p_name", "p_type"), F.col("values")).alias("value"))
 
 
 @query("""select p_partkey, case when p_partkey % 3 < 2 then upper(substr(p_name, 1, 1)) || substr(p_name, 2) end as color, case when p_size % 4 = 3 then 'out_of_stock' when p_size % 4 = 1 then 'unknown' when p_size % 4 = 2 then 'low_stock' else 'in_stock' end as stock from part""")
@@ -104,10 +114,12 @@ def z09_title_colors_and_stock(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", options.title_color(title).alias("color"), options.stock_status(F.col("p_size") % 4 != 3, said).alias("stock"))
 
 
-@query("select p_partkey, case p_partkey % 4 when 0 then 3.0 when 1 then 1022.0 when 2 then 24.0 else 5000.0 end::double as strict, case p_partkey % 4 when 0 then 3.0 when 1 then 1022.0 when 2 then 24.0 else 5000.0 end::double as lenient, case p_partkey % 4 when 2 then 24.0 when 3 then 5000.0 else 3000.0 end::double as sku from part")
+@query("""select p_partkey, case p_partkey % 4 when 0 then p_size when 1 then 1000 + p_size when 2 then 12 * p_size else p_size - 70 end::double as strict, case p_partkey % 4 when 0 then p_size when 1 then 1000 + p_size when 2 then 12 * p_size else p_size - 70 end::double as lenient,
+    case p_partkey % 4 when 2 then 12 * p_size when 3 then p_size else 3000 end::double as sku from part""")
 def o10_size_ranks(spark, sf_dir):
-    """The three orders of sizes."""
-    t = _pick(["3-6M", "EU-22-UK-5", "2Y", "ONE"])
+    """The three orders of sizes, of tokens made of the parts' sizes."""
+    z, half, more = (c.cast("string") for c in (F.col("p_size"), F.floor(F.col("p_size") / 2), F.col("p_size") + 3))
+    t = _by(F.col("p_partkey") % 4, F.concat(z, F.lit("-"), more, F.lit("M")), F.concat(F.lit("EU-"), z, F.lit("-UK-"), half), F.concat(z, F.lit("Y")), F.concat(F.lit("UP-TO-"), z, F.lit("M")))
     return Tables(spark, sf_dir).part.select("p_partkey", options.size_rank_strict(t).alias("strict"), options.size_rank_lenient(t).alias("lenient"), options.size_rank_sku(t).alias("sku"))
 
 
@@ -145,21 +157,28 @@ def l10_image_urls(spark, sf_dir):
     return Tables(spark, sf_dir).part.select("p_partkey", urls.canonical_image(image).alias("image"), urls.image_width(image).alias("width"), urls.is_product_image(name).alias("product"))
 
 
-@query("select p_partkey, case p_partkey % 3 when 0 then 'Pyjamas & Homewear' when 1 then 'General' else 'Tops & T-shirts' end as collection, case when p_size % 2 = 0 then p_size end::int as row, substr(p_name, 1, 5) as head from part")
+_COLLECTIONS = list(text.COLLECTIONS.items())
+
+
+@query(f"""select p_partkey, case when p_size % 3 = 1 then coalesce(nullif(trim(case when p_size % 2 = 0 then p_type else '' end), ''), case when p_size % 5 = 0 then 'Tops & T-shirts' else 'General' end)
+    else case p_partkey % {len(_COLLECTIONS)} {" ".join(f"when {i} then '{v}'" for i, (_, v) in enumerate(_COLLECTIONS))} end end as collection, case when p_size % 2 = 0 then p_size end::int as row, substr(p_name, 1, 5) as head from part""")
 def x11_collections_and_rows(spark, sf_dir):
-    """Collections by their common names, row numbers out of reasons, cut texts."""
-    k = F.col("p_partkey") % 3
-    name, path = F.when(k == 0, " Pyjama ").otherwise(""), F.when(k == 2, "/mens-shirts/1").otherwise("/x")
-    reason = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("bad price in Row #"), F.col("p_size").cast("string"))).otherwise("none")
+    """Collections by all their other names, row numbers out of reasons, cut texts."""
+    z = F.col("p_size")
+    alias = F.concat(F.lit(" "), F.upper(_pick([k for k, _ in _COLLECTIONS])), F.lit(" "))
+    name, path = F.when(z % 3 != 1, alias).when(z % 2 == 0, F.col("p_type")).otherwise(""), F.when(z % 5 == 0, F.concat(F.lit("/mens-shirts/"), F.col("p_name"))).otherwise(F.concat(F.lit("/x/"), F.col("p_name")))
+    reason = F.when(z % 2 == 0, F.concat(F.lit("bad price in Row #"), z.cast("string"))).otherwise("none")
     return Tables(spark, sf_dir).part.select("p_partkey", text.collection(name, path).alias("collection"), text.row_number_in(reason).alias("row"), text.truncated(F.col("p_name"), 5).alias("head"))
 
 
-@query("""select p_partkey, case p_partkey % 4 when 0 then 'tom and jerry half set' when 1 then 'a and b it s' when 2 then 'a and b' else 'shirt' end as title from part""")
+@query("""select p_partkey, n || ' and ' || t || ' half set' as link, n || ' and ' || t || ' it s' as catalog, n || ' and ' || t as assisted, n as relation, n || ' and ' || t || ' half' as census from (select p_partkey, lower(p_name) as n, lower(p_type) as t from part)""")
 def x05_five_titles(spark, sf_dir):
-    """Each title normaliser on what sets it apart."""
-    k = F.col("p_partkey") % 4
-    made = F.when(k == 0, text.title_link(F.lit("Tom &amp; Jerry &#189; set"))).when(k == 1, text.title_catalog(F.lit("A & B It’s"))).when(k == 2, text.title_assisted(F.lit("A&amp;B")))
-    return Tables(spark, sf_dir).part.select("p_partkey", made.otherwise(text.title_relation(F.lit("Shirt (3-6 months) - Size XL"))).alias("title"))
+    """Each title normaliser on what sets it apart, over the parts' names and types."""
+    made = lambda *parts: F.concat(F.col("p_name"), *[F.lit(x) if i % 2 == 0 else F.col(x) for i, x in enumerate(parts)])
+    return Tables(spark, sf_dir).part.select(
+        "p_partkey", text.title_link(made(" &amp; ", "p_type", " &#189; set")).alias("link"), text.title_catalog(made(" & ", "p_type", " It’s")).alias("catalog"), text.title_assisted(made("&amp;", "p_type")).alias("assisted"),
+        text.title_relation(made(" (3-6 months) - Size XL")).alias("relation"), text.title_census(made(" &amp; ", "p_type", "&#xBD;")).alias("census"),
+    )
 
 
 @query("""select p_partkey, case when p_size % 5 = 0 then 0 when p_size % 5 = 1 then p_size + 1 else p_size end as quantity,

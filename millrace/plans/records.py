@@ -223,12 +223,13 @@ def n03_lists(spark, sf_dir):
     return Tables(spark, sf_dir).customer.select("c_custkey", F.array_join(jsons.as_list(written), "|").alias("listed"))
 
 
-@query("""select p_partkey, 2 as products from part""")
+@query("""select p_partkey, least(25, 1 + p_size % 30) as products, p_name as first from part""")
 def n05_embedded_nodes(spark, sf_dir):
-    """Product-like nodes somewhere inside a state object."""
-    state = F.concat(F.lit('<script type="application/json">{"a":[{"title":"'), F.col("p_name"), F.lit('","sku":"1"},{"title":"alone"}],"b":{"name":"x","price":2,"c":{"deep":1}}}</script>'))
+    """Product-like nodes somewhere inside a state object, as many as the part's size says and 25 at most."""
+    nodes = F.transform(F.sequence(F.lit(1), F.col("p_size") % 30 + 1), lambda i: F.when(i % 3 == 0, F.concat(F.lit('{"x":{"name":"n","price":'), i.cast("string"), F.lit("}}"))).otherwise(F.concat(F.lit('{"title":"'), F.col("p_name"), F.lit('","sku":"'), i.cast("string"), F.lit('"}'))))
+    state = F.concat(F.lit('<script type="application/json">{"a":['), F.array_join(nodes, ","), F.lit('],"b":{"title":"alone","c":{"deep":1}}}</script>'))
     found = extraction.candidates(Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("page_id"), F.lit("https://x/").alias("url"), state.alias("html"))).where("source = 'embedded'")
-    return found.groupBy(F.col("page_id").alias("p_partkey")).agg(F.count("*").cast("int").alias("products"))
+    return found.groupBy(F.col("page_id").alias("p_partkey")).agg(F.count("*").cast("int").alias("products"), F.min_by("title", "pos").alias("first"))
 
 
 @query("""select max(p_partkey) as cursor, count(*) as items from (select p_partkey from part where p_partkey > 100 order by 1 limit 50)""")

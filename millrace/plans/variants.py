@@ -109,20 +109,23 @@ def w02_dedupe_any_key(spark, sf_dir):
     return variants.dedupe_rows(rows, "l_orderkey", "idx", ["signature", "sku", "source_id"])
 
 
-@query("""select p_partkey, 3 * 2 * 1 as sets, p_brand || '/S/' || p_type as first from part""")
+@query(f"""with {LINES} select l_orderkey, (count(distinct l_returnflag) * count(distinct l_suppkey % 3) * count(distinct l_partkey % 2))::int as sets, min(l_returnflag) || '/' || min(l_suppkey % 3) || '/' || min(l_partkey % 2) as first from lines group by 1""")
 def j27_option_matrix(spark, sf_dir):
-    """Cross product of option values."""
-    sets = variants.product_sets({"Color": F.array("p_brand", F.lit("Red"), F.lit("Blue")), "Size": F.array(F.lit("S"), F.lit("M")), "Type": F.array("p_type")})
-    p = Tables(spark, sf_dir).part.select("p_partkey", sets.alias("s"))
-    return p.select("p_partkey", F.size("s").alias("sets"), F.concat_ws("/", F.col("s")[0]["Color"], F.col("s")[0]["Size"], F.col("s")[0]["Type"]).alias("first"))
+    """Cross product of the option values that an order's lines have."""
+    own = lambda c: F.array_sort(F.collect_set(c.cast("string")))
+    each = _lines(spark, sf_dir).groupBy("l_orderkey").agg(own(F.col("l_returnflag")).alias("a"), own(F.col("l_suppkey") % 3).alias("b"), own(F.col("l_partkey") % 2).alias("c"))
+    p = each.select("l_orderkey", variants.product_sets({"Color": F.col("a"), "Size": F.col("b"), "Type": F.col("c")}).alias("s"))
+    return p.select("l_orderkey", F.size("s").alias("sets"), F.concat_ws("/", F.col("s")[0]["Color"], F.col("s")[0]["Size"], F.col("s")[0]["Type"]).alias("first"))
 
 
-@query("""select p_partkey, case when p_size % 2 = 0 then 'u2' when p_size % 3 = 0 then 'u1' end as url from part""")
+@query(f"""with {LINES}, w as (select *, case l_orderkey % 4 when 0 then 'a' when 1 then 'r' when 2 then 'n' else '7' end as wanted from lines)
+    select l_orderkey, 'u' || min(idx) filter (where lower(l_returnflag) = wanted and l_partkey % 2 = 0 or l_suppkey % 10 = 7 and wanted = '7') as url from w group by 1""")
 def j23_image_by_color(spark, sf_dir):
-    """An image for a variant's colour: same colour, or named as a word in its text."""
-    image = lambda u, c, a: F.struct(F.lit(u).alias("url"), c.alias("color"), a.alias("alt"))
-    images = F.array(image("u0", F.lit("Green"), F.lit("a redder thing")), image("u1", F.lit(""), F.when(F.col("p_size") % 6 == 3, "the red one").otherwise("nothing")), image("u2", F.when(F.col("p_size") % 2 == 0, "RED ").otherwise("blue"), F.lit(None).cast("string")))
-    return Tables(spark, sf_dir).part.select("p_partkey", variants.image_for_color(images, F.lit("red")).alias("url"))
+    """An image for a colour among an order's lines: the first of that colour, or named as a word in its text."""
+    image = F.struct("idx", F.concat(F.lit("u"), F.col("idx").cast("string")).alias("url"), F.when(F.col("l_partkey") % 2 == 0, F.concat(F.col("l_returnflag"), F.lit(" "))).alias("color"), F.concat(F.lit("No. "), (F.col("l_suppkey") % 10).cast("string"), F.lit(", 17")).alias("alt"))
+    each = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(image)).alias("images"))
+    wanted = F.array(*map(F.lit, ("a", "R", "n", "7")))[(F.col("l_orderkey") % 4).cast("int")]
+    return each.select("l_orderkey", variants.image_for_color(F.col("images"), wanted).alias("url"))
 
 
 @query(f"""with {LINES} select l_orderkey, idx, price, floor(price * 22 + 0.5) as shop_price, case when l_returnflag = 'R' then 0 else l_quantity::int end as quantity from (select *, min(l_extendedprice) over (partition by l_orderkey, l_partkey) as price, row_number() over (partition by l_orderkey, l_partkey order by idx) as n from lines) where n = 1""")
