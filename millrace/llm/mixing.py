@@ -192,19 +192,19 @@ def margins(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:  # noqa
     return docs.sparkSession.createDataFrame(reached(cells, rates(cells, targets), targets), "margin string, value string, target double, reached double")
 
 
-def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None = None) -> DataFrame:  # noqa: B008  frozen
-    """docs drawn for the mix, with n_tokens, rate, copies and source_share, lang_share, topic_share; documents drawn no time are left out.
+def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None = None, shares: bool = False) -> DataFrame:  # noqa: B008  frozen
+    """docs drawn for the mix, with n_tokens, rate and copies; documents drawn no time are left out.
 
-    The shares are what the document's source, language and topic (or the others together) are expected to get of the
-    tokens drawn: what raking reached of their targets.
+    With shares, source_share, lang_share and topic_share follow: what the document's source, language and topic (or the
+    others together) are expected to get of the tokens drawn, so what raking reached of their targets.
 
     copies is the rate rounded down, and one more with the chance of the rest. Null sources and languages are
     "other"; null and empty texts have no tokens and are never drawn; repeated rows are drawn alike; texts of any length
     are counted whole. Columns topic and n_tokens are used if there are such; columns rate and copies are replaced.
     miss: raises if a share is further than this from its target, rather than warn.
     """
-    own, back = apart(docs, "_source", "_lang", "_topic", "_tokens", "_words", "_rate", "_copies")
-    columns = [c for c in own.columns if c not in ("n_tokens", "rate", "copies", *(f"{m}_share" for m in MARGINS))]
+    own, back = apart(docs, "_source", "_lang", "_topic", "_tokens", "_words", "_rate", "_copies", *(f"_{m}_share" for m in MARGINS))
+    columns = [c for c in own.columns if c not in ("n_tokens", "rate", "copies", *(f"{m}_share" for m in MARGINS if shares))]
     each = in_cells(own, targets)
     keys = ["_source", "_lang", "_topic"]
     cells = cell_sums(each)
@@ -213,15 +213,15 @@ def sampled(docs: DataFrame, targets: Targets = Targets(), miss: float | None =
         raise ValueError(f"targets out of reach: {'; '.join(bad)}")
     share = {(m, v): got for m, v, _, got in reached(cells, rate, targets)}
     rows = [(*c, x, *(share.get((m, v), 0.0) for m, v in zip(MARGINS, c, strict=True))) for c, x in sorted(rate.items())]
-    known = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, _rate double, source_share double, lang_share double, topic_share double")
+    known = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, _rate double, _source_share double, _lang_share double, _topic_share double")
     drawn = each.join(F.broadcast(known), keys).where("_tokens > 0")
     copies = F.floor("_rate") + (chance(F.col("doc_id")) < F.col("_rate") - F.floor("_rate")).cast("long")
-    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *(f"{m}_share" for m in MARGINS)).withColumnsRenamed(back)
+    return drawn.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.col("_tokens").alias("n_tokens"), F.col("_rate").alias("rate"), F.col("_copies").alias("copies"), *[F.col(f"_{m}_share").alias(f"{m}_share") for m in MARGINS if shares]).withColumnsRenamed(back)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn for the default mix."""
-    return sampled(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "n_tokens", F.round("rate", 6).alias("rate"), "copies", *[F.round(f"{m}_share", 6).alias(f"{m}_share") for m in MARGINS])
+    return sampled(table(spark, sf_dir, "documents"), shares=True).select("doc_id", "source", "lang", "n_tokens", F.round("rate", 6).alias("rate"), "copies", *[F.round(f"{m}_share", 6).alias(f"{m}_share") for m in MARGINS])
 
 
 def sql(targets: Targets = Targets()) -> str:  # noqa: B008

@@ -96,7 +96,7 @@ def test_margins_of_the_default_mix_hold(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     for r in mixing.margins(docs).collect():
         assert r["reached"] == pytest.approx(r["target"], abs=1e-6), r
-    drawn = mixing.sampled(docs).collect()
+    drawn = mixing.sampled(docs, shares=True).collect()
     targets = mixing.Targets()
     for r in drawn[:200]:
         for m, value in (("source", r["source"]), ("lang", r["lang"])):
