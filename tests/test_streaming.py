@@ -26,7 +26,7 @@ def wanted(name: str, data: str):
 
 @pytest.mark.parametrize(
     ("name", "files"),
-    [("t06_streamed_limits", 6), ("t09_streamed_confirmations", 6), ("t07_streamed_budget", 6), ("t06_streamed_limits", 120), ("t06_streamed_ratchet", 120), ("t09_streamed_confirmations", 120), ("t01_streamed_unseen", 120), ("t05_streamed_cache", 120), ("t11_streamed_counts", 120)],
+    [("t09_streamed_confirmations", 6), ("t07_streamed_budget", 6), ("t06_streamed_ratchet", 6), ("t06_streamed_limits", 120), ("t01_streamed_unseen", 120), ("t05_streamed_cache", 120), ("t11_streamed_counts", 120)],
 )
 def test_files_in_any_order(spark, data, tmp_path, name, files, monkeypatch):
     """Each batch reads a part of the files only: 6 files one by one, 120 by twenty."""
