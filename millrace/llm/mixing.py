@@ -69,10 +69,16 @@ def topic_of(text: Column, words: Column) -> Column:
     out = F.lit("prose")
     for topic, (marks, most) in reversed(TOPICS.items()):
         n = reduce(Column.__add__, map(count, marks))
-        out = F.when((n > 0) & (n * most >= words), topic).otherwise(out)
+        out = F.when(n * most >= F.greatest(words, F.lit(1)), topic).otherwise(out)  # some marks, and enough; n stands here once, as it reads the text
     return out
 
 
+def _named(value: Column, names: list[str]) -> Column:
+    """value if it is one of the names, else "other"; value stands here once, as a topic's reads the whole text."""
+    known = F.create_map(*[F.lit(x) for k in names for x in (k, k)]) if names else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(known, value), F.lit(OTHER))
+
+
 def in_cells(docs: DataFrame, targets: Targets) -> DataFrame:
     """docs with _source, _lang, _topic (their values, or "other") and _tokens.
 
@@ -84,7 +90,7 @@ def in_cells(docs: DataFrame, targets: Targets) -> DataFrame:
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"), F.col("_words"))
     tokens = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)) if "n_tokens" in docs.columns else F.col("_words")
     own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
-    named = {f"_{m}": F.when(c.isin(*(k for k in getattr(targets, m) if k != OTHER)), c).otherwise(OTHER) for m, c in own.items()}
+    named = {f"_{m}": _named(c, [k for k in getattr(targets, m) if k != OTHER]) for m, c in own.items()}
     return docs.withColumns(named | {"_tokens": tokens})
 
 
