@@ -19,8 +19,9 @@ LINES = "lines as (select l_orderkey, row_number() over (partition by l_orderkey
 
 
 @query(f"""with {LINES}, f as (select l_orderkey, idx, 'sku:' || l_partkey as k1, 'combo:' || l_suppkey || '|' || l_returnflag as k2 from lines where idx % 2 = 1), s as (select l_orderkey, idx, 'sku:' || (l_partkey + l_partkey % 2) as k1, 'combo:' || l_suppkey || '|' || l_returnflag as k2 from lines),
-    m as (select l_orderkey, key, min(idx) as stored from (select l_orderkey, k1 as key, idx from s union all select l_orderkey, k2, idx from s) group by 1, 2)
-    select f.l_orderkey, f.idx, coalesce(a.stored, b.stored, f.idx)::int as stored, case when a.stored is not null then 0 when b.stored is not null then 1 end::int as tier from f left join m a on a.l_orderkey = f.l_orderkey and a.key = k1 left join m b on b.l_orderkey = f.l_orderkey and b.key = k2""")
+    u as (select l_orderkey, k1 as key, idx, 0 as tier from f union all select l_orderkey, k2, idx, 1 from f union all select l_orderkey, k1, idx, null from s union all select l_orderkey, k2, idx, null from s),
+    w as (select *, min(case when tier is null then idx end) over (partition by l_orderkey, key) as stored from u)
+    select l_orderkey, idx, coalesce(arg_min(stored, tier) filter (where stored is not null), idx)::int as stored, (min(tier) filter (where stored is not null))::int as tier from w where tier is not null group by 1, 2""")
 def j18_variant_cascade(spark, sf_dir):
     """Stored variants for fresh ones: by SKU, else by supplier and flag, else by position."""
     n = _lines(spark, sf_dir)
