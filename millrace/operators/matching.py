@@ -59,13 +59,6 @@ def cascade(products: DataFrame, evidence: DataFrame, titles: DataFrame, explici
     )
 
 
-def scored_match(pairs: DataFrame, left: str, score: str) -> DataFrame:
-    """The pair with each left key's greatest score, if no other pair ties with it."""
-    by = W.Window.partitionBy(left)
-    top = pairs.withColumn("_max", F.max(score).over(by)).where(F.col(score) == F.col("_max"))
-    return top.withColumn("_n", F.count("*").over(by)).where("_n = 1").drop("_max", "_n")
-
-
 def one_to_one(pairs: DataFrame, *keys: str) -> DataFrame:
     """Pairs whose every key stands in one pair only."""
     marked = reduce(lambda df, k: df.withColumn(f"_{k}", F.count("*").over(W.Window.partitionBy(k))), keys, pairs.distinct())

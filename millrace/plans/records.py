@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions import jsons, money, options, text, urls
+from ..functions import jsons, money, options, text
 from ..operators import cycle, extraction, quality
 from ..sources import feeds, sheets, sinks, web
 from . import identity
