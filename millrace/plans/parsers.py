@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import options
-from ..operators import extraction, records
+from ..operators import extraction, records, sites
 from .base import Tables, query
 
 #: Line items in order, numbered within their order.
@@ -282,3 +282,27 @@ def e18_option_labels(spark, sf_dir):
     made = records.merged_options(F.from_json(rows, "array<struct<id:string,name:string,label:string,order:bigint>>"))
     out = _orders(spark, sf_dir).select("o_orderkey", made.alias("o"))
     return out.select("o_orderkey", F.array_join(F.transform("o", lambda x: F.concat_ws("=", x["name"], F.array_join(x["values"], ","))), ";").alias("options"))
+
+
+@query("""with p as (select o_orderkey, any_value(said) as colour, min(l_extendedprice) as price, max(l_extendedprice) as most, bool_or(l_linenumber = 3) as stocked, count(distinct l_quantity::int) filter (where l_returnflag <> 'R') as sizes, min(l_quantity::int) filter (where l_returnflag <> 'R') as least, count(distinct l_suppkey) + 1 as images
+        from (select o.o_orderkey, case when o.o_orderkey % 3 > 0 then 'Red' end as said, l.* from orders as o join lineitem as l on l.l_orderkey = o.o_orderkey) group by 1)
+    select o_orderkey, 'H' || o_orderkey as id, 'Order ' || o_orderkey as title, colour as color, price, most, 'AED' as currency, images::int as images, sizes::int as variants, case when sizes > 0 then 'H' || o_orderkey || '-EU-' || least end as first_sku, stocked as in_stock from p""")
+def e11_storefront_records(spark, sf_dir):
+    """Whole products from a storefront's records, made of the orders and their lines: a line is a size, its supplier an image."""
+    t = Tables(spark, sf_dir)
+    line = F.struct("l_quantity", "l_returnflag", "l_extendedprice", "l_suppkey", "l_linenumber")
+    each = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
+    k = F.col("o_orderkey").cast("string")
+    sizes = F.transform("l", lambda x: F.struct(F.concat(F.lit(" EU "), x["l_quantity"].cast("int").cast("string")).alias("title"), (x["l_returnflag"] != "R").alias("inStock")))
+    assets = F.to_json(F.transform("l", lambda x: F.struct(F.lit("no url").alias("url"), F.struct(F.concat(F.lit("https://h.com/"), x["l_suppkey"].cast("string"), F.lit(".jpg")).alias("product_zoom_large_800x800")).alias("styles"))))
+    amount = lambda c: F.struct(F.struct(F.struct(c.alias("value"), F.lit("AED").alias("currency")).alias("amount")).alias("final"))
+    prices = F.transform("l", lambda x: x["l_extendedprice"])
+    attributes = F.array(F.struct(F.lit("assets_pdp").alias("name"), F.lit(None).cast("string").alias("label"), assets.alias("value")), F.struct(F.lit("x").alias("name"), F.lit("Colour").alias("label"), F.when(F.col("o_orderkey") % 3 > 0, "Red").alias("value")))
+    record = F.to_json(F.struct(
+        F.concat(F.lit("H"), k).alias("sku"), F.concat(F.lit(" Order  "), k).alias("name"), F.exists("l", lambda x: x["l_linenumber"] == 3).alias("inStock"), F.array(F.struct(F.lit("https://h.com/main.jpg").alias("url"))).alias("images"), attributes.alias("attributes"),
+        F.array(F.struct(F.lit("Size").alias("id"), sizes.alias("values"))).alias("options"),
+        F.struct(amount(F.array_min(prices)).alias("minimum"), amount(F.array_max(prices)).alias("maximum")).alias("priceRange"),
+    ))
+    p = each.select("o_orderkey", sites.storefront(record, F.lit("https://www2.hm.com/en/productpage.1.html")).alias("p"), F.array_min(F.transform(F.filter("l", lambda x: x["l_returnflag"] != "R"), lambda x: x["l_quantity"].cast("int"))).alias("least"))
+    first = F.get(F.filter(F.transform("p.variants", lambda v: v["sku"]), lambda s: s.endswith(F.concat(F.lit("-EU-"), F.col("least").cast("string")))), F.lit(0))
+    return p.select("o_orderkey", "p.id", "p.title", "p.color", "p.price", "p.most", "p.currency", F.size("p.images").alias("images"), F.size("p.variants").alias("variants"), first.alias("first_sku"), "p.in_stock")

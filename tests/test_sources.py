@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import extraction, matching, nested, pricing, quality, variants
+from millrace.operators import extraction, matching, nested, pricing, quality, sites, variants
 from millrace.sources import sheets, sinks, web
 
 
@@ -146,6 +146,24 @@ def test_nested_records(spark):
         assert (got[i]["quantity"], got[i]["description"]) == (units(record), full), (j, d)
 
 
+def test_storefront_record(spark):
+    record = {
+        "sku": "123", "name": " Cotton  dress ", "inStock": True, "images": [{"url": "https://h.com/1.jpg"}, {"url": "rel.jpg"}],
+        "attributes": [{"name": "assets_pdp", "value": json.dumps([{"url": "https://h.com/2.jpg"}, {"url": "https://h.com/1.jpg"}, {"url": "x", "styles": {"product_zoom_large_800x800": "https://h.com/3.jpg"}}])}, {"name": "assets_plp", "value": "no list"}, {"name": "Color", "value": "Dark blue"}],
+        "options": [{"id": "SIZE", "values": [{"title": "S "}, {"value": "EU 36", "inStock": True}, {"title": "L", "inStock": False}, {"title": "S"}]}],
+        "price": {"regular": {"amount": {"value": 90, "currency": "SAR"}}}, "priceRange": {"minimum": {"final": {"amount": {"value": 0}}}, "maximum": {"final": {"amount": {"value": 120.5}}}},
+    }
+    url = "https://www2.hm.com/en/productpage.0777.html"
+    rows = [(1, json.dumps(record)), (2, json.dumps(record | {"inStock": False, "options": [], "attributes": None})), (3, "{}"), (4, None), (5, "broken")]
+    got = {r["i"]: r["p"] for r in spark.createDataFrame(rows, "i int, j string").select("i", sites.storefront(F.col("j"), F.lit(url)).alias("p")).collect()}
+    one = got[1]
+    assert (one["id"], one["title"], one["color"], one["price"], one["most"], one["currency"], one["sizes"]) == ("123", "Cotton dress", "Dark blue", 90.0, 120.5, "SAR", ["S", "EU 36"])
+    assert one["images"] == ["https://h.com/1.jpg", "https://h.com/2.jpg", "https://h.com/3.jpg"]
+    assert [(v["id"], v["sku"], v["color"], v["price"], v["available"]) for v in one["variants"]] == [("123-s", "123-S", "Dark blue", 90.0, True), ("123-eu-36", "123-EU-36", "Dark blue", 90.0, True)]
+    assert got[2]["variants"] == [] and got[2]["color"] is None and not got[2]["in_stock"]
+    assert all(got[i]["price"] is None and got[i]["sizes"] == [] and got[i]["images"] == [] for i in (3, 4, 5))
+
+
 def test_restrictions(spark):
     found = quality.restrictions(F.lit("Verify you are human. Cloudflare. Too many requests."), F.lit(429))
     got = spark.range(1).select(*[c.alias(k) for k, c in found.items()], quality.warning_code(found).alias("code")).first()
