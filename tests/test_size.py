@@ -1,9 +1,12 @@
 """Work that must not grow faster than the tables, held small."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from millrace.functions import options
 from millrace.registry import QUERIES
+from millrace.streaming import stateful
 
 
 def test_a_ladder_reads_its_title_once(spark, data):
@@ -13,3 +16,17 @@ def test_a_ladder_reads_its_title_once(spark, data):
     titles = {None: 0, "": 0, "Romper (3mths-8yrs)": 11, "Romper (99999999999mths - 2yrs)": 7, "up to 2-3 years": 8, "BABY set": 8, "3 months": 0}
     got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", F.size(options.size_ladder(F.col("t"))).alias("n")).collect()
     assert dict(map(tuple, got)) == titles
+
+
+def test_keys_share_slots_of_state(spark, tmp_path):
+    """Rows of 6,000 keys wait in a few entries of state, not in several a key, and come out for every key."""
+    spark.range(6000).selectExpr("id as event_id", "id % 3000 as k", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, id) as ts").write.parquet(str(tmp_path / "rows.parquet"))
+    source = spark.readStream.schema("event_id long, k long, ts timestamp").parquet(str(tmp_path / "rows.parquet"))
+    replay = stateful.Replay(spark, "slots", str(tmp_path / "state"))
+    out = stateful.folded(replay.closed(source, "k", "ts"), "k", "ts", "900 days", stateful.unseen_fold(3600), slots=16)
+    query = out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "held")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 3000
+    replay.run(out)
+    got = replay.close(out, dt.datetime(2040, 1, 1))  # noqa: DTZ001
+    assert got.count() == got.select("event_id").distinct().count() == 6000
