@@ -15,6 +15,12 @@ from ..functions import text, urls
 METHODS = ("source_url", "exact_sku", "dab_product_prefix", "source_product_identifier", "source_url_title")
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides: what is exploded or read from a well packed file is taken for far smaller than it
+    is, and would be broadcast through the driver."""
+    return df.hint("merge")
+
+
 def unique_by(rows: DataFrame, keys: list[str], url: str, keep: list[str]) -> DataFrame:
     """One row for each key whose rows all name one URL: the first by `keep`'s order. Empty keys match nothing."""
     fine = reduce(lambda a, k: a & F.col(k).isNotNull() & (F.col(k) != ""), keys, F.lit(True))
@@ -156,7 +162,7 @@ def weighted_unique(left: DataFrame, right: DataFrame, key: str, weights: dict[s
         return df.select("id", key, F.explode(F.array_compact(F.array(*[level(i, s) for i, (_, s) in enumerate(subsets)]))).alias("_by")).where(F.col(key).isNotNull())
 
     there = asked(right).groupBy(key, "_by").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
-    best = asked(left).join(there, [key, "_by"]).groupBy("id").agg(F.min(F.struct(F.col("_by.level").alias("level"), "_n", "_id")).alias("b")).where("b._n = 1")
+    best = asked(left).join(unsized(there), [key, "_by"]).groupBy("id").agg(F.min(F.struct(F.col("_by.level").alias("level"), "_n", "_id")).alias("b")).where("b._n = 1")
     score = F.array(*[F.lit(w) for w, _ in subsets])
     return best.select(F.col("id").alias("left_id"), F.col("b._id").alias("right_id"), score[F.col("b.level")].alias("score"))
 

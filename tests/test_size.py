@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import options
@@ -39,3 +40,9 @@ def test_cycles_do_not_copy_their_items():
     two, _ = fold.step(one, 2, ("b", "y", False))
     assert two[1] is one[1] and set(two[1]) == {"a", "b"} and fold.start == (None, {})
     assert fold.end(two, 86_400_000_000)[1] == [(0, "a", "first", True), (0, "b", "first", False)]
+
+
+@pytest.mark.parametrize("name", ["j17_weighted_score"])
+def test_exploded_rows_are_not_broadcast(spark, data, name):
+    """What is exploded is many times the file it comes from, whose size is all that a plan knows."""
+    assert "Broadcast" not in QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
