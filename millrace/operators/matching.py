@@ -37,6 +37,21 @@ def unique_or_base(left: DataFrame, right: DataFrame, vendor: str, exact: str, b
     return both.withColumn(url, F.coalesce("_exact_url", "_base_url")).withColumn("method", method).drop("_exact_url", "_base_url")
 
 
+def unique_evidence(left: DataFrame, right: DataFrame, kinds: list[list[str]], id: str, url: str, pos: str) -> DataFrame:
+    """id, pos, url of left rows if all right rows that agree with them by any of the kinds (columns) name one URL.
+
+    That is so where the least and the greatest URL are the same, so the right side is a row for each value of a kind, and no
+    pair of rows is made. Null columns agree with none; pos is the least.
+    """
+    found = left
+    for i, keys in enumerate(kinds):
+        each = right.groupBy(*keys).agg(F.min(F.col(pos)).alias(f"_pos{i}"), F.min(F.col(url)).alias(f"_least{i}"), F.max(F.col(url)).alias(f"_most{i}"))
+        found = found.join(unsized(each), keys, "left")
+    of = lambda f, name: reduce(lambda a, b: f(a, b), [F.col(f"_{name}{i}") for i in range(len(kinds))])  # noqa: E731  nulls count for nothing
+    own = found.groupBy(id).agg(F.min(of(F.least, "pos")).alias(pos), F.min(of(F.least, "least")).alias(url), F.max(of(F.greatest, "most")).alias("_most"))
+    return own.where(F.col(url) == F.col("_most")).drop("_most")
+
+
 def cascade(products: DataFrame, evidence: DataFrame, titles: DataFrame, explicit: str = "has_explicit_url") -> DataFrame:
     """product, status, method, row of every product.
 

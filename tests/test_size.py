@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import options
+from millrace.operators import matching
 from millrace.registry import QUERIES
 from millrace.streaming import stateful
 
@@ -46,3 +47,16 @@ def test_cycles_do_not_copy_their_items():
 def test_exploded_rows_are_not_broadcast(spark, data, name):
     """What is exploded is many times the file it comes from, whose size is all that a plan knows."""
     assert "Broadcast" not in QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_makes_no_pairs(spark, data):
+    """60,000 parts of one vendor and title would be 900,000,000 pairs; one left part stands beside a single right one."""
+    side = lambda rest: spark.range(60_000).where(f"id % 2 = {rest}").selectExpr("id", "id as pos", "'v' as vendor", "'hot' as exact", "'hot' as base", "'u' || id as url")
+    few = [(100_000, None, "w", "t", "b", None), (100_002, None, "w", "t", "other", None), (100_004, None, "w", None, "c", None), (100_006, None, None, "t", "b", None)]
+    there = [(1, 1, "w", "t", "b", "u1"), (2, 3, "w", "x", "b", "u1"), (3, 0, "w", "y", "other", "u2"), (4, 9, "w", None, "c", "u3"), (5, 4, "w", None, "c", None)]
+    schema = "id long, pos long, vendor string, exact string, base string, url string"
+    left, right = side(0).unionByName(spark.createDataFrame(few, schema)), side(1).unionByName(spark.createDataFrame(there, schema))
+    out = matching.unique_evidence(left.drop("pos", "url"), right, [["vendor", "exact"], ["vendor", "base"]], "id", "url", "pos")
+    assert sorted(map(tuple, out.select("id", "pos", "url").collect())) == [(100_000, 1, "u1"), (100_004, 4, "u3")]
+    plan = QUERIES["j13_unique_evidence"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("Join LeftOuter") == 2 and plan.count("Aggregate") == 3
