@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import jsons, money, options, text
 from ..operators import cycle, extraction, quality
-from ..sources import feeds, sheets, sinks, web
+from ..sources import feeds, shared, sheets, sinks, web
 from . import identity
 from .base import Tables, query
 
@@ -36,9 +38,12 @@ def s12_feed_candidates(spark, sf_dir):
 def _paged(spark, sf_dir, page: int) -> DataFrame:
     """The parts, read page by page through the paged data source, as many as the table has."""
     spark.dataSource.register(web.PagedCatalog)
-    total = Tables(spark, sf_dir).part.count()
-    source = spark.read.format("paged_catalog").options(path=f"{sf_dir}/part.parquet", total=total, page=page, key="p_partkey", title="p_name")
-    return web.complete(source.load(), total)
+    part, key = Tables(spark, sf_dir).part.select("p_partkey", "p_name"), F.col("p_partkey").asc_nulls_last()
+    path = f"{shared.folder(spark)}/catalog-{uuid.uuid4().hex}.parquet"
+    part.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+    total = part.count()
+    source = spark.read.format("paged_catalog").options(path=path, total=total, page=page, key="p_partkey", title="p_name")
+    return web.complete(shared.written(source.load(), "pages"), total)
 
 
 @query("""with p as (select p_partkey, p_name, (row_number() over (order by p_partkey) - 1) // 50 as page from part) select page::int as page, count(*) as items, max(p_partkey) as cursor, min(p_name) as title from p group by 1""")

@@ -63,7 +63,11 @@ class PageStream(DataSourceStreamReader):
         return {"page": pages if self.until is None else min(pages, self.until)}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        first, last, at, out = start["page"] * self.page, end["page"] * self.page, 0, []
+        return self.between(start["page"] * self.page, end["page"] * self.page)
+
+    def between(self, first: int, last: int) -> list[Rows]:
+        """The row groups, or parts of them, that hold the catalog's rows from `first` up to `last`."""
+        at, out = 0, []
         for file, group, n in self.groups():
             if at < last and at + n > first:
                 out.append(Rows(file, group, max(0, first - at), min(n, last - at), max(at, first)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
+from itertools import islice, takewhile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.urls import robots_allowed
+from . import paged
 from .shared import written
 
 
@@ -128,10 +131,12 @@ def retried(call: Callable[[], object], tries: int = 9, first: float = 1.0, most
     raise ValueError("no tries")
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        super().__init__(offset)
-        self.offset, self.limit = offset, limit
+class _Pages(InputPartition):
+    """Rows `at` to `end` of a catalog, and the row groups that hold them, if it is a table."""
+
+    def __init__(self, at: int, end: int, groups: Sequence[paged.Rows] = ()):
+        super().__init__(at)
+        self.at, self.end, self.groups = at, end, groups
 
 
 def page_after(rows: DataFrame, key: str, cursor: object | None, size: int = 50) -> DataFrame:
@@ -141,32 +146,42 @@ def page_after(rows: DataFrame, key: str, cursor: object | None, size: int = 50)
 
 
 class PagedReader(DataSourceReader):
-    """Pages of a catalog as partitions; each page is fetched, with retries, by the task that reads it.
+    """Runs of a catalog's pages as partitions; each is fetched, with retries, by the task that reads it, and reads no other's rows.
 
-    A client stands behind `path`: a file of JSON lines, or a Parquet table in order of the column that `key` names.
+    A client stands behind `path`: a file of JSON lines, or Parquet (named so) in order of the column that `key` names.
     """
 
     def __init__(self, options: dict):
         self.path, self.total, self.page = options["path"], int(options["total"]), int(options.get("page", 50))
         self.key, self.title = options.get("key", "id"), options.get("title", "title")
+        self.table = None if not self.path.endswith(".parquet") else paged.PageStream({"path": self.path, "page": self.page, "columns": f"{self.key},{self.title}"})
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [_Page(i, self.page) for i in range(0, self.total, self.page)]
-
-    def read(self, partition: _Page) -> Iterator[tuple]:
+        """Eight runs at least where there are as many pages, and none of more than 50,000 rows but for one page's."""
+        pages = -(-self.total // self.page)
+        run = self.page * max(1, min(-(-pages // 8), 50_000 // self.page))
+        groups = [] if self.table is None else self.table.between(0, self.total)
+        out, first = [], 0
+        for at in range(0, self.total, run):
+            end = min(at + run, self.total)
+            while first < len(groups) and groups[first].at + groups[first].end - groups[first].start <= at:
+                first += 1
+            own = list(takewhile(lambda g: g.at < end, islice(groups, first, None)))  # noqa: B023
+            out.append(_Pages(at, end, [replace(g, start=g.start + max(0, at - g.at), end=min(g.end, g.start + end - g.at), at=max(at, g.at)) for g in own]))
+        return out
+
+    def read(self, partition: _Pages) -> Iterator[tuple]:
         import json
 
-        def fetch() -> list[dict]:  # stands for one request
-            if self.path.endswith(".parquet"):
-                from pyarrow import parquet
-
-                rows = parquet.read_table(self.path, columns=[self.key, self.title]).sort_by(self.key)
-                return rows.slice(partition.offset, partition.limit).rename_columns(["id", "title"]).to_pylist()
+        def fetch() -> list[dict]:  # stands for the requests of a run
+            if self.table is not None:
+                batches = [b for g in partition.groups for b in self.table.read(g)]
+                return [r for b in batches for r in b.drop_columns("page").rename_columns(["id", "title"]).to_pylist()]
             with open(self.path, encoding="utf-8") as f:
-                return [json.loads(line) for i, line in enumerate(f) if partition.offset <= i < partition.offset + partition.limit]
+                return [json.loads(line) for line in islice(f, partition.at, partition.end)]
 
-        for item in retried(fetch):
-            yield (str(item.get("id", "")), str(item.get("title", "")), json.dumps(item, sort_keys=True), partition.offset // self.page)
+        for i, item in enumerate(retried(fetch), partition.at):
+            yield (str(item.get("id", "")), str(item.get("title", "")), json.dumps(item, sort_keys=True), i // self.page)
 
 
 class PagedCatalog(DataSource):

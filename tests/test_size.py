@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import options
 from millrace.operators import matching
 from millrace.registry import QUERIES, SQL
+from millrace.sources import web
 from millrace.streaming import stateful
 from tests.oracle import same
 
@@ -68,3 +69,13 @@ def test_index_row_of_parts_beyond_a_million(spark, tmp_path):
     spark.createDataFrame([(o, n, p, f, 2.0, 10.0 * n) for o, n, p, f in rows], "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / "rows"))
     next((tmp_path / "rows").glob("*.parquet")).rename(tmp_path / "lineitem.parquet")
     same(spark, QUERIES["a20_index_row"], SQL["a20_index_row"], str(tmp_path))
+
+
+def test_pages_are_read_in_runs(spark, tmp_path):
+    """A task reads the row groups of its run of pages, not the whole catalog for each page; rows of a page may stand in two files."""
+    spark.range(1010).selectExpr("id as k", "'t' || id as t").repartitionByRange(7, "k").sortWithinPartitions("k").write.option("parquet.block.size", 1024).parquet(str(tmp_path / "c.parquet"))
+    for page, total, runs in ((50, 1010, 7), (5, 1010, 8), (50, 120, 3)):
+        reader = web.PagedReader({"path": str(tmp_path / "c.parquet"), "total": str(total), "page": str(page), "key": "k", "title": "t"})
+        parts = reader.partitions()
+        assert len(parts) == runs and sum(g.end - g.start for p in parts for g in p.groups) == total
+        assert [(r[0], r[1], r[3]) for p in parts for r in reader.read(p)] == [(str(i), f"t{i}", i // page) for i in range(total)]
