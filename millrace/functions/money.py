@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import clean, text
+from .text import clean, once, text
 
 EASTERN = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬"
 WESTERN = "01234567890123456789.,"
@@ -32,7 +32,7 @@ def _western(c: Column) -> Column:
 
 def localized_number(c: Column) -> Column:
     """The first number in a text of any of three digit systems; null without one."""
-    return _number(F.nullif(F.regexp_extract(_western(c), r"\d[\d.,]*", 0), F.lit("")))
+    return once(_western(c), lambda t: once(F.regexp_substr(t, F.lit(r"\d[\d.,]*")), _number))
 
 
 def localized_money(c: Column) -> Column:

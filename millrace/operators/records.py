@@ -214,14 +214,16 @@ def markdown_product(page: Column) -> Column:
     The title is the first heading's, else that of a Title line; the price is the last with a currency before the VAT
     line, or in the page without one; sizes stand between a Size line and the next section; images are those of products.
     """
-    lines = lines_of(page)
-    vat = place(lines, "(?i)vat$")
-    before = F.when(vat > 0, F.slice(lines, F.lit(1), F.greatest(vat - 1, F.lit(0)))).otherwise(lines)
-    price = F.try_element_at(F.filter(before, lambda x: x.rlike(r"(?:AED|USD|EGP)\s*\d")), F.lit(-1))
-    sizes = window_after(lines, "(?i)^sizes?$", "(?i)^(?:overview|description|details|add to )")
-    images = F.filter(F.regexp_extract_all(text.text(page), F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), urls.is_product_image)
     title = first_of(F.regexp_extract(page, r"(?m)^# (.*)$", 1), F.regexp_extract(page, r"(?m)^Title: (.*)$", 1))
-    return F.struct(title.alias("title"), money.localized_number(price).alias("price"), sizes.alias("sizes"), images.alias("images"))
+    images = F.filter(F.regexp_extract_all(text.text(page), F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), urls.is_product_image)
+
+    def read(lines: Column) -> Column:
+        before = text.once(place(lines, "(?i)vat$"), lambda vat: F.when(vat > 0, F.slice(lines, F.lit(1), F.greatest(vat - 1, F.lit(0)))).otherwise(lines))
+        price = F.try_element_at(F.filter(before, lambda x: x.rlike(r"(?:AED|USD|EGP)\s*\d")), F.lit(-1))
+        sizes = window_after(lines, "(?i)^sizes?$", "(?i)^(?:overview|description|details|add to )")
+        return F.struct(title.alias("title"), money.localized_number(price).alias("price"), sizes.alias("sizes"), images.alias("images"))
+
+    return text.once(lines_of(page), read)
 
 
 def lines_of(page: Column) -> Column:
@@ -236,10 +238,9 @@ def place(lines: Column, pattern: str) -> Column:
 
 def window_after(lines: Column, marker: str, stop: str, most: int = 60) -> Column:
     """Lines after the first that fits the marker, up to one that fits the stop or `most`; none without the marker."""
-    at = place(lines, marker)
-    after = F.when(at > 0, F.slice(lines, at + 1, F.lit(most))).otherwise(F.array().cast("array<string>"))
-    end = place(after, stop)
-    return F.when(end > 0, F.slice(after, F.lit(1), end - 1)).otherwise(after)
+    after = text.once(place(lines, marker), lambda at: F.when(at > 0, F.slice(lines, at + 1, F.lit(most))).otherwise(F.array().cast("array<string>")))
+    cut = lambda rest: text.once(place(rest, stop), lambda end: F.when(end > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(rest))
+    return text.once(after, cut)
 
 
 def snapshot(lines: Column, picker: str = "(?i)^choose a size$", price: str = r"^AED\s*\d", stop: str = "(?i)^(?:details|description|delivery)$") -> Column:

@@ -241,7 +241,7 @@ def e32_markdown_pages(spark, sf_dir):
     sizes = _some(lambda x: x["flag"] != "N", lambda x: F.concat(F.lit(" "), _text(x["qty"])))
     images = _each(lambda x: F.concat(F.lit("![x](https://x/"), F.when(x["st"] == "O", "a").otherwise("logo"), _text(x["part"]), F.lit(".jpg)")))
     page = F.array_join(F.concat(line("Title: ", F.col("o_orderpriority")), heading, prices, line("Inclusive of VAT"), line("AED 1 delivery"), line("Size"), sizes, line("Overview of ", _text(F.col("o_custkey"))), images), "\n")
-    out = _orders(spark, sf_dir).select("o_orderkey", records.markdown_product(page).alias("r"))
+    out = _orders(spark, sf_dir).select("o_orderkey", page.alias("page")).select("o_orderkey", records.markdown_product(F.col("page")).alias("r"))
     return out.select("o_orderkey", "r.title", "r.price", F.size("r.sizes").cast("long").alias("sizes"), F.size("r.images").cast("long").alias("images"))
 
 

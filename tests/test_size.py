@@ -79,3 +79,9 @@ def test_pages_are_read_in_runs(spark, tmp_path):
         parts = reader.partitions()
         assert len(parts) == runs and sum(g.end - g.start for p in parts for g in p.groups) == total
         assert [(r[0], r[1], r[3]) for p in parts for r in reader.read(p)] == [(str(i), f"t{i}", i // page) for i in range(total)]
+
+
+def test_a_markdown_page_is_cut_into_lines_once(spark, data):
+    """What is named several times in a lambda or a case is computed as often, unless it is held by `once`."""
+    plan = QUERIES["e32_markdown_pages"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("now AED") == 1 and plan.count("(?i)vat$") == 1 and plan.count("(?i)^sizes?$") == 1
