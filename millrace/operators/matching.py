@@ -95,13 +95,14 @@ def contained(texts: DataFrame, codes: DataFrame, vendor: str, text: str, code:
     def grams(x):
         return F.when(F.length(x) >= least, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - (least - 1)), lambda i: F.substr(x, i, F.lit(least)))))
 
+    texts = texts.repartition(vendor, text)  # a file of few row groups is few tasks, and each row becomes a row a gram
     held = texts.select(vendor, F.explode(grams(F.col(text))).alias("_gram"))
     often = held.groupBy(vendor, "_gram").agg(F.count("*").alias("_n"))
     own = codes.select(vendor, code).where(F.length(code) >= least).distinct()
     each = own.withColumn("_grams", grams(F.col(code))).select(vendor, code, F.size("_grams").alias("_all"), F.explode("_grams").alias("_gram"))
-    rarest = each.join(often, [vendor, "_gram"]).groupBy(vendor, code).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count("*").alias("_met"), F.first("_all").alias("_all"))
+    rarest = each.join(unsized(often), [vendor, "_gram"]).groupBy(vendor, code).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count("*").alias("_met"), F.first("_all").alias("_all"))
     asked = rarest.where("_met = _all").select(vendor, code, "_gram")
-    met = texts.withColumn("_gram", F.explode(grams(F.col(text)))).join(asked, [vendor, "_gram"])
+    met = texts.withColumn("_gram", F.explode(grams(F.col(text)))).join(unsized(asked), [vendor, "_gram"])
     return met.where(F.contains(text, code)).drop("_gram")
 
 

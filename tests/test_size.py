@@ -45,7 +45,7 @@ def test_cycles_do_not_copy_their_items():
     assert fold.end(two, 86_400_000_000)[1] == [(0, "a", "first", True), (0, "b", "first", False)]
 
 
-@pytest.mark.parametrize("name", ["j17_weighted_score"])
+@pytest.mark.parametrize("name", ["j14_code_in_sku", "j17_weighted_score"])
 def test_exploded_rows_are_not_broadcast(spark, data, name):
     """What is exploded is many times the file it comes from, whose size is all that a plan knows."""
     assert "Broadcast" not in QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
@@ -85,3 +85,9 @@ def test_a_markdown_page_is_cut_into_lines_once(spark, data):
     """What is named several times in a lambda or a case is computed as often, unless it is held by `once`."""
     plan = QUERIES["e32_markdown_pages"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("now AED") == 1 and plan.count("(?i)vat$") == 1 and plan.count("(?i)^sizes?$") == 1
+
+
+def test_codes_of_keys_beyond_six_digits(spark, tmp_path):
+    spark.createDataFrame([(k, n, "b", t, 1) for k in (7, 123_456, 1_234_565, 1_234_567) for n, t in (("red cup", "TIN"), ("hot bolt", "ECONOMY"))], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    next((tmp_path / "rows").glob("*.parquet")).rename(tmp_path / "part.parquet")
+    same(spark, QUERIES["j14_code_in_sku"], SQL["j14_code_in_sku"], str(tmp_path))
