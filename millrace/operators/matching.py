@@ -99,9 +99,9 @@ def contained(texts: DataFrame, codes: DataFrame, vendor: str, text: str, code:
     held = texts.select(vendor, F.explode(grams(F.col(text))).alias("_gram"))
     often = held.groupBy(vendor, "_gram").agg(F.count("*").alias("_n"))
     own = codes.select(vendor, code).where(F.length(code) >= least).distinct()
-    each = own.withColumn("_grams", grams(F.col(code))).select(vendor, code, F.size("_grams").alias("_all"), F.explode("_grams").alias("_gram"))
-    rarest = each.join(unsized(often), [vendor, "_gram"]).groupBy(vendor, code).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count("*").alias("_met"), F.first("_all").alias("_all"))
-    asked = rarest.where("_met = _all").select(vendor, code, "_gram")
+    each = own.select(vendor, code, F.explode(grams(F.col(code))).alias("_gram"))
+    rarest = each.join(unsized(often), [vendor, "_gram"]).groupBy(vendor, code).agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count("*").alias("_met"))
+    asked = rarest.where(F.col("_met") == F.size(grams(F.col(code)))).select(vendor, code, "_gram")  # beside the explode the size would carry all grams with each
     met = texts.withColumn("_gram", F.explode(grams(F.col(text)))).join(unsized(asked), [vendor, "_gram"])
     return met.where(F.contains(text, code)).drop("_gram")
 
